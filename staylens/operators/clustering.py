@@ -130,7 +130,7 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
             t = _x(c) * F.lit(float(s[j, i]))
             dot = t if dot is None else dot + t
         tot.append(F.lit(float(n[j])) * F.col("_xx") - F.lit(2.0) * dot + F.lit(float(q[j])))
-    frame = df.select(F.col(label), xx.alias("_xx"))
+    frame = df.select(F.col(label), *[_x(c).alias(c) for c in cols], xx.alias("_xx"))
     frame = frame.select(F.col(label), *[t.alias(f"_t{j}") for j, t in enumerate(tot)])
     own = None
     for j, l in enumerate(labels):
@@ -199,7 +199,7 @@ def calinski_harabasz(df: DataFrame, cols: Sequence[str], label: str) -> DataFra
     between = float((n * ((cent - grand) ** 2).sum(1)).sum())
     w = inertia(df, cols, label).first()["inertia"]
     k, total = len(labels), n.sum()
-    val = None if k < 2 or w == 0 else (between / (k - 1)) / (w / (total - k))
+    val = None if k < 2 or w == 0 else float((between / (k - 1)) / (w / (total - k)))
     return df.sparkSession.createDataFrame([(val,)], "calinski_harabasz double")
 
 

@@ -45,7 +45,8 @@ def min_max(df: DataFrame, col: str):
 def bin_index(col: Column, lo: float, hi: float, bins: int) -> Column:
     """Equal-width bin 0..bins-1 over [lo, hi]; hi falls into the last bin."""
     w = (hi - lo) / bins if hi > lo else 1.0
-    return F.least(F.lit(bins - 1), F.floor((col - F.lit(lo)) / F.lit(w))).cast("bigint")
+    # least() skips NULL, so a missing value must stay NULL explicitly.
+    return F.when(col.isNotNull(), F.least(F.lit(bins - 1), F.floor((col - F.lit(lo)) / F.lit(w)))).cast("bigint")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
@@ -76,7 +77,7 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0) -> Da
                 F.stddev_samp(_x(col)).alias("sd")).first()
     spark = df.sparkSession
     if not st["n"] or st["sd"] is None or st["sd"] == 0:
-        return spark.createDataFrame([], "point int, x double, density double")
+        return spark.createDataFrame([], "point bigint, x double, density double")
     n, sd = st["n"], st["sd"]
     h = sd * n ** (-1.0 / 5.0)
     g0 = st["lo"] - cut * h
@@ -85,7 +86,7 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0) -> Da
     gx = F.lit(g0) + F.col("point").cast("double") * F.lit(step)
     contrib = F.exp(F.lit(-0.5) * F.pow((gx - F.col("_v")) / F.lit(h), 2))
     return df.select(_x(col).alias("_v")).where(F.col("_v").isNotNull()) \
-        .select("_v", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")) \
+        .select("_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("point")) \
         .groupBy("point").agg(F.sum(contrib).alias("_s")) \
         .select("point", (F.lit(g0) + F.col("point").cast("double") * F.lit(step)).alias("x"),
                 (F.col("_s") * F.lit(norm)).alias("density"))
