@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.operators.features import assemble_features
+from staylens.session import default_parallelism, materialize
 
 MAX_CLUSTERS = 1000
 
@@ -221,19 +222,22 @@ def cluster_indices(df: DataFrame, cols: Sequence[str], label: str) -> dict:
 
 
 def kmeans_restart(df: DataFrame, cols: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
-                   max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4) -> KMeansModel:
+                   max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None) -> KMeansModel:
     """n_init k-means fits with seeds seed..seed+n_init-1; the lowest inertia wins.
 
     The fits run from a bounded thread pool over one persisted vector frame.
     """
     vec = assemble_features(df, cols, "_km_features").select("_km_features")
+    if not vec.storageLevel.useMemory:
+        vec = materialize(vec)
 
     def fit(i):
         km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_km_features")
         m = km.fit(vec)
         return m.summary.trainingCost, i, m
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
+    workers = parallelism or default_parallelism(df.sparkSession)
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
         fits = list(pool.map(fit, range(n_init)))
     fits.sort(key=lambda t: (t[0], t[1]))
     return fits[0][2]
@@ -253,7 +257,7 @@ def k_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11)
             seed: int = 42, max_iter: int = 300) -> DataFrame:
     """best-restart fit per k and its four indices, one row per k."""
     spark = df.sparkSession
-    data = df.select(*[_x(c).alias(c) for c in cols])
+    data = materialize(df.select(*[_x(c).alias(c) for c in cols]))
     rows = []
     for k in ks:
         model = kmeans_restart(data, cols, k, n_init=n_init, seed=seed, max_iter=max_iter)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.operators.features import assemble_features, gramian, normal_equations, solve_ols
+from staylens.session import materialize
 
 
 def ols_fit(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.0, elastic: float = 0.0):
@@ -126,7 +127,7 @@ class SegmentSpec:
     model_types: list = field(default_factory=lambda: ["linear", "rf"])
     cv_folds: int = 3
     seed: int = 42
-    parallelism: int = 4
+    parallelism: int = 8
     linear_grid: dict = field(default_factory=lambda: {"elasticNetParam": [0.0, 0.5, 1.0],
                                                        "regParam": [0.01, 0.1]})
     rf_grid: dict = field(default_factory=lambda: {"maxDepth": [3, 5], "numTrees": [30, 50]})
@@ -158,7 +159,8 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
     data = assemble_features(df.where(F.col(spec.target_col).isNotNull()), feats, "features")
     data = hash_split(data, key, 0.2, spec.seed)
     data = kfold(data, key, spec.cv_folds, spec.seed + 1, "fold")
-    ids = _segment_ids(df, spec)
+    data = materialize(data.select(spec.cluster_col, "features", spec.target_col, "split", "fold"))
+    ids = _segment_ids(data, spec)
 
     def run(task):
         seg, mtype = task
@@ -173,7 +175,7 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
             grid = spec.rf_grid
         if tune:
             model = cross_validator(est, grid, spec.target_col, spec.cv_folds, spec.seed,
-                                    fold_col="fold", parallelism=1).fit(train.drop("split")).bestModel
+                                    fold_col="fold", parallelism=3).fit(train.drop("split")).bestModel
         else:
             model = est.fit(train)
         m = regression_metrics(model.transform(test), spec.target_col).first()
@@ -250,6 +252,7 @@ def rf_grid_search(df: DataFrame, features: Sequence[str], label: str, key: str,
     spark = df.sparkSession
     data = kfold(assemble_features(df.where(F.col(label).isNotNull()), features, "features", invalid="keep"),
                  key, k, seed + 1, "_cv_fold").select("features", label, "_cv_fold")
+    data = materialize(data)
     est = rf_regressor(label, seed=seed)
     cv = cross_validator(est, mllib_grid(grid), label, k=k, seed=seed, parallelism=parallelism, fold_col="_cv_fold")
     cvm = cv.fit(data)

@@ -49,3 +49,19 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the checkpoint root for one written table."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, cache: bool = True):
+    """Cut the lineage of a frame that many jobs will re-read (fits, restarts, CV folds).
+
+    The rows are written once to the shared checkpoint folder (``checkpoint``,
+    which survives executor loss, unlike a local checkpoint) and optionally
+    cached on top so repeated passes do not re-read the files.
+    """
+    checkpoint_root(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    return out.persist() if cache else out
+
+
+def default_parallelism(spark) -> int:
+    return max(1, int(spark.sparkContext.defaultParallelism))
