@@ -120,34 +120,8 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     labels, n, s, q = _collect_stats(df, cols, label)
     if len(labels) < 2:
         return df.sparkSession.createDataFrame([(None,)], "silhouette double")
-    xx = None
-    for c in cols:
-        t = _x(c) * _x(c)
-        xx = t if xx is None else xx + t
-    tot = []
-    for j in range(len(labels)):
-        dot = None
-        for i, c in enumerate(cols):
-            t = _x(c) * F.lit(float(s[j, i]))
-            dot = t if dot is None else dot + t
-        tot.append(F.lit(float(n[j])) * F.col("_xx") - F.lit(2.0) * dot + F.lit(float(q[j])))
-    frame = df.select(F.col(label), *[_x(c).alias(c) for c in cols], xx.alias("_xx"))
-    frame = frame.select(F.col(label), *[t.alias(f"_t{j}") for j, t in enumerate(tot)])
-    own = None
-    for j, l in enumerate(labels):
-        cond = F.col(label) == F.lit(l)
-        a = F.col(f"_t{j}") / F.lit(max(n[j] - 1.0, 1.0))
-        own = F.when(cond, a) if own is None else own.when(cond, a)
-    bs = []
-    for j, l in enumerate(labels):
-        bs.append(F.when(F.col(label) != F.lit(l), F.col(f"_t{j}") / F.lit(float(n[j]))))
-    b = F.least(*bs)
-    size = _by_label(label, labels, n)
-    a_col, b_col = F.greatest(own, F.lit(0.0)), F.greatest(b, F.lit(0.0))
-    sil = F.when(size <= 1, F.lit(0.0)).otherwise(
-        F.when(F.greatest(a_col, b_col) == 0, F.lit(0.0))
-        .otherwise((b_col - a_col) / F.greatest(a_col, b_col)))
-    return frame.where(F.col(label).isNotNull()).agg(F.avg(sil).alias("silhouette"))
+    term = _silhouette_term(cols, label, labels, n, s, q)
+    return df.where(F.col(label).isNotNull()).agg(F.avg(term).alias("silhouette"))
 
 
 def silhouette_pairs(points: np.ndarray, labels: np.ndarray, squared: bool = True) -> float:
@@ -210,12 +184,62 @@ def cluster_sizes(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def cluster_indices(df: DataFrame, cols: Sequence[str], label: str) -> dict:
-    return {
-        "inertia": inertia(df, cols, label).first()["inertia"],
-        "silhouette": silhouette(df, cols, label).first()["silhouette"],
-        "davies_bouldin": davies_bouldin(df, cols, label).first()["davies_bouldin"],
-        "calinski_harabasz": calinski_harabasz(df, cols, label).first()["calinski_harabasz"],
-    }
+    """F5-F8 together in two passes: per-cluster statistics, then one grouped aggregate of
+    the squared distance to the own centroid, its square root and the silhouette term."""
+    labels, n, s, q = _collect_stats(df, cols, label)
+    k = len(labels)
+    cent = s / n[:, None]
+    d2 = None
+    for i, c in enumerate(cols):
+        t = _sq(_x(c) - _by_label(label, labels, cent[:, i]))
+        d2 = t if d2 is None else d2 + t
+    aggs = [F.sum("_d2").alias("w"), F.avg(F.sqrt("_d2")).alias("S")]
+    frame = df.where(F.col(label).isNotNull()).select(F.col(label), d2.alias("_d2"), *[_x(c).alias(c) for c in cols])
+    if k >= 2:
+        frame = frame.withColumn("_sil", _silhouette_term(cols, label, labels, n, s, q))
+        aggs.append(F.sum("_sil").alias("sil"))
+    rows = {r[label]: r for r in frame.groupBy(label).agg(*aggs).collect()}
+    w = float(sum(rows[l]["w"] for l in labels))
+    out = {"inertia": w, "silhouette": None, "davies_bouldin": None, "calinski_harabasz": None}
+    if k < 2:
+        return out
+    out["silhouette"] = float(sum(rows[l]["sil"] for l in labels) / n.sum())
+    sv = np.array([rows[l]["S"] for l in labels])
+    worst = []
+    for a in range(k):
+        m = np.sqrt(((cent[a] - np.delete(cent, a, 0)) ** 2).sum(1))
+        sa = sv[a] + np.delete(sv, a)
+        worst.append(float(np.max(np.where(m == 0, np.inf, sa / np.where(m == 0, 1, m)))))
+    out["davies_bouldin"] = float(np.mean(worst))
+    grand = s.sum(0) / n.sum()
+    between = float((n * ((cent - grand) ** 2).sum(1)).sum())
+    out["calinski_harabasz"] = None if w == 0 else float((between / (k - 1)) / (w / (n.sum() - k)))
+    return out
+
+
+def _silhouette_term(cols, label, labels, n, s, q) -> Column:
+    """Per-row squared-Euclidean silhouette from per-cluster statistics (see ``silhouette``)."""
+    xx = None
+    for c in cols:
+        t = _x(c) * _x(c)
+        xx = t if xx is None else xx + t
+    tot = []
+    for j in range(len(labels)):
+        dot = None
+        for i, c in enumerate(cols):
+            t = _x(c) * F.lit(float(s[j, i]))
+            dot = t if dot is None else dot + t
+        tot.append(F.lit(float(n[j])) * xx - F.lit(2.0) * dot + F.lit(float(q[j])))
+    own = None
+    for j, l in enumerate(labels):
+        cond = F.col(label) == F.lit(l)
+        a = tot[j] / F.lit(max(n[j] - 1.0, 1.0))
+        own = F.when(cond, a) if own is None else own.when(cond, a)
+    b = F.least(*[F.when(F.col(label) != F.lit(l), tot[j] / F.lit(float(n[j]))) for j, l in enumerate(labels)])
+    size = _by_label(label, labels, n)
+    a_col, b_col = F.greatest(own, F.lit(0.0)), F.greatest(b, F.lit(0.0))
+    return F.when(size <= 1, F.lit(0.0)).otherwise(
+        F.when(F.greatest(a_col, b_col) == 0, F.lit(0.0)).otherwise((b_col - a_col) / F.greatest(a_col, b_col)))
 
 
 # ----------------------------------------------------------------------------- fits
@@ -254,16 +278,36 @@ def model_centroids(model: KMeansModel) -> list[list[float]]:
 
 
 def k_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11), n_init: int = 10,
-            seed: int = 42, max_iter: int = 300) -> DataFrame:
-    """best-restart fit per k and its four indices, one row per k."""
+            seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None) -> DataFrame:
+    """best-restart fit per k and its four indices, one row per k.
+
+    All len(ks) x n_init fits share one bounded thread pool over one checkpointed,
+    cached vector frame, so small fits overlap instead of running k by k.
+    """
     spark = df.sparkSession
     data = materialize(df.select(*[_x(c).alias(c) for c in cols]))
-    rows = []
-    for k in ks:
-        model = kmeans_restart(data, cols, k, n_init=n_init, seed=seed, max_iter=max_iter)
-        labelled = assign_clusters(data, cols, model_centroids(model), "_label")
-        idx = cluster_indices(labelled, cols, "_label")
-        rows.append((int(k), idx["inertia"], idx["silhouette"], idx["davies_bouldin"], idx["calinski_harabasz"]))
+    vec = materialize(assemble_features(data, cols, "_km_features").select("_km_features"))
+
+    def fit(task):
+        k, i = task
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_km_features").fit(vec)
+        return k, m.summary.trainingCost, i, m
+
+    workers = parallelism or default_parallelism(spark)
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        fits = list(pool.map(fit, [(k, i) for k in ks for i in range(n_init)]))
+        best = {}
+        for k, cost, i, m in fits:
+            if k not in best or (cost, i) < best[k][:2]:
+                best[k] = (cost, i, m)
+
+        def indices(k):
+            labelled = assign_clusters(data, cols, model_centroids(best[k][2]), "_label")
+            return k, cluster_indices(labelled, cols, "_label")
+
+        results = dict(pool.map(indices, list(ks)))
+    rows = [(int(k), results[k]["inertia"], results[k]["silhouette"], results[k]["davies_bouldin"],
+             results[k]["calinski_harabasz"]) for k in ks]
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, "
                                        "calinski_harabasz double")
 

@@ -89,9 +89,13 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(_mod(ok, 97) == 0, F.lit("$0.00"))
         .otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("price"),
     )
-    dups = listings.where(_mod(F.col("id"), DUPLICATE_EVERY) == 0) \
-        .withColumn("id", F.col("id") + F.lit(DUPLICATE_ID_OFFSET))
-    return listings.unionByName(dups)
+    # Every DUPLICATE_EVERY-th listing is emitted twice (second copy with a shifted id) by a
+    # generator in the same stage: the joins and aggregates above run once, not once per copy.
+    copies = F.when(_mod(F.col("id"), DUPLICATE_EVERY) == 0, F.array(F.lit(0), F.lit(1))) \
+        .otherwise(F.array(F.lit(0)))
+    out = listings.select("*", F.explode(copies).alias("_copy"))
+    out = out.withColumn("id", F.col("id") + F.col("_copy") * F.lit(DUPLICATE_ID_OFFSET))
+    return out.drop("_copy")
 
 
 # DuckDB text of the same derivation, used as a CTE prefix by every oracle query.
