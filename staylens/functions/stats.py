@@ -23,15 +23,7 @@ from pyspark.sql import functions as F
 
 from staylens.session import checkpoint_root
 
-_V, _W, _PID = "_q_v", "_q_w", "_q_pid"
-
-
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column | None:
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
+_V, _W, _PID, _G = "_q_v", "_q_w", "_q_pid", "_q_g"
 
 
 def weighted_values(df: DataFrame, col: str | Column, by: Sequence[str] = ()) -> DataFrame:
@@ -52,14 +44,18 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float]
     spark = df.sparkSession
     checkpoint_root(spark)
     dist = weighted_values(df, col, by)
+    # One non-null key per group (NULL group values included), so that the joins below
+    # are plain equi-joins on the same keys the windows partition by: no re-shuffle.
+    gkey = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("")
+    dist = dist.withColumn(_G, gkey)
     # Slices: contiguous (group, value) ranges; a hot group spans many slices.
     sliced = dist.repartitionByRange(*by, _V).withColumn(_PID, F.spark_partition_id())
     sliced = sliced.checkpoint(eager=True)
 
-    totals = sliced.groupBy(_PID, *by).agg(F.sum(_W).alias("_q_tw"))
-    gw = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy()
+    totals = sliced.groupBy(_PID, _G).agg(F.sum(_W).alias("_q_tw"))
+    gw = Window.partitionBy(_G)
     totals = totals.select(
-        _PID, *by, "_q_tw",
+        _PID, _G, "_q_tw",
         F.coalesce(F.sum("_q_tw").over(gw.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_q_off"),
         F.sum("_q_tw").over(gw).alias("_q_n"),
@@ -73,22 +69,17 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float]
         frac = pos - lo
         targets.append(F.struct(F.lit(name).alias("qn"), F.lit(0).alias("side"), lo.alias("rank"), frac.alias("frac")))
         targets.append(F.struct(F.lit(name).alias("qn"), F.lit(1).alias("side"), hi.alias("rank"), frac.alias("frac")))
-    tt = totals.select(_PID, *by, "_q_off", "_q_tw", "_q_n", F.explode(F.array(*targets)).alias("t")) \
+    tt = totals.select(_PID, _G, "_q_off", "_q_tw", "_q_n", F.explode(F.array(*targets)).alias("t")) \
         .where((F.col("t.rank") >= F.col("_q_off")) & (F.col("t.rank") < F.col("_q_off") + F.col("_q_tw"))) \
-        .select(_PID, *by, "_q_off", "_q_n", F.col("t.qn").alias("qn"), F.col("t.side").alias("side"),
+        .select(_PID, _G, "_q_off", "_q_n", F.col("t.qn").alias("qn"), F.col("t.side").alias("side"),
                 F.col("t.rank").alias("rank"), F.col("t.frac").alias("frac"))
 
-    sw = Window.partitionBy(_PID, *by).orderBy(_V).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sliced.select(_PID, *by, _V, _W, F.coalesce(F.sum(_W).over(sw), F.lit(0)).alias("_q_before"))
-    tt_a, rk = tt.alias("tt"), ranked.alias("rk")
-    on = (F.col(f"rk.{_PID}") == F.col(f"tt.{_PID}"))
-    for c in by:
-        on = on & F.col(f"rk.{c}").eqNullSafe(F.col(f"tt.{c}"))
-    start = F.col("tt._q_off") + F.col("rk._q_before")
-    hit = rk.join(tt_a, on & (F.col("tt.rank") >= start) & (F.col("tt.rank") < start + F.col(f"rk.{_W}"))) \
-        .select(*[F.col(f"rk.{c}").alias(c) for c in by], F.col("tt.qn").alias("qn"),
-                F.col("tt.side").alias("side"), F.col("tt.frac").alias("frac"),
-                F.col("tt._q_n").alias("_q_n"), F.col(f"rk.{_V}").alias(_V))
+    sw = Window.partitionBy(_PID, _G).orderBy(_V).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.select(_PID, _G, *by, _V, _W, F.coalesce(F.sum(_W).over(sw), F.lit(0)).alias("_q_before"))
+    start = F.col("_q_off") + F.col("_q_before")
+    hit = ranked.join(tt, [_PID, _G]) \
+        .where((F.col("rank") >= start) & (F.col("rank") < start + F.col(_W))) \
+        .select(*by, "qn", "side", "frac", "_q_n", _V)
     per_q = hit.groupBy(*by, "qn").agg(
         F.max(F.when(F.col("side") == 0, F.col(_V))).alias("lo"),
         F.max(F.when(F.col("side") == 1, F.col(_V))).alias("hi"),

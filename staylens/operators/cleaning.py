@@ -165,10 +165,16 @@ def min_segment_size(df: DataFrame, col: str = "cluster", n: int = 20) -> DataFr
         .withColumn("keep", F.col("rows") >= F.lit(n))
 
 
-def keep_large_segments(df: DataFrame, col: str = "cluster", n: int = 20) -> DataFrame:
-    """B17 applied: rows of segments with at least n rows (left-semi join on the size table)."""
+def keep_large_segments(df: DataFrame, col: str = "cluster", n: int = 20,
+                        broadcast_limit: int = 200_000) -> DataFrame:
+    """B17 applied: rows of segments with at least n rows (left-semi join on the size table).
+
+    The kept-segment table has one row per segment; it is broadcast only after its
+    row count is checked, so a segment holding most rows is never shuffled to one task.
+    """
     sizes = min_segment_size(df, col, n).where("keep").select(col)
-    return df.join(sizes, col, "left_semi")
+    side = F.broadcast(sizes) if sizes.count() <= broadcast_limit else sizes
+    return df.join(side, col, "left_semi")
 
 
 def rename_prediction(df: DataFrame, new: str, old: str = "prediction") -> DataFrame:

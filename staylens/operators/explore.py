@@ -116,24 +116,23 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
         .orderBy(F.desc("count"), col)
 
 
-def _long(row, pairs, names=("col_a", "col_b", "corr")):
-    return [(a, b, row[f"{i}"]) for i, (a, b) in enumerate(pairs)]
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation of every column pair in one aggregate."""
-    pairs = [(a, b) for a in cols for b in cols]
-    uniq = {}
-    aggs = []
-    for a, b in pairs:
-        k = tuple(sorted((a, b)))
-        if k not in uniq:
-            uniq[k] = f"c{len(uniq)}"
-            aggs.append(F.corr(_x(k[0]), _x(k[1])).alias(uniq[k]))
-    one = df.agg(*aggs)
-    items = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                      F.col(uniq[tuple(sorted((a, b)))]).alias("corr")) for a, b in pairs]
-    return one.select(F.explode(F.array(*items)).alias("p")).select("p.col_a", "p.col_b", "p.corr")
+    """Pairwise-complete Pearson correlation of every column pair.
+
+    Each row is turned into one (pair, x, y) record per unordered pair by an
+    ``inline`` generator in the scan stage, and ``corr`` is aggregated per pair:
+    a narrow, codegen-friendly aggregate (a single aggregate with one ``corr`` per
+    pair is too wide for whole-stage codegen), partially aggregated per task.
+    """
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    items = [F.struct(F.lit(i).alias("_p"), _x(a).alias("_a"), _x(b).alias("_b")) for i, (a, b) in enumerate(pairs)]
+    per_pair = df.select(F.inline(F.array(*items))).groupBy("_p").agg(F.corr("_a", "_b").alias("corr"))
+    spark = df.sparkSession
+    # Both orientations of every pair: a fixed table of d*d names, joined by broadcast.
+    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] +
+                                  [(i, b, a) for i, (a, b) in enumerate(pairs) if a != b],
+                                  "_p int, col_a string, col_b string")
+    return F.broadcast(names).join(per_pair, "_p").select("col_a", "col_b", "corr")
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:

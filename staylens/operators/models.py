@@ -147,8 +147,11 @@ class SegmentSpec:
 
 def _segment_ids(df: DataFrame, spec: SegmentSpec) -> list:
     from staylens.operators.cleaning import min_segment_size
+    from staylens.operators.clustering import MAX_CLUSTERS
     rows = min_segment_size(df, spec.cluster_col, spec.min_cluster_size).where("keep") \
-        .orderBy(spec.cluster_col).collect()
+        .orderBy(spec.cluster_col).limit(MAX_CLUSTERS + 1).collect()
+    if len(rows) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} segments to model one by one")
     return [r[spec.cluster_col] for r in rows]
 
 

@@ -163,7 +163,26 @@ def geo_grid(spark, sf):
         .select("cell_x", "cell_y", "count", "mean", "median")
 
 
-@register("residual_profile")
+RESIDUAL_CTES = """
+rp AS (SELECT prediction AS pred, label - prediction AS residual FROM ols_scored
+       WHERE label - prediction IS NOT NULL),
+rs AS (SELECT min(residual) AS lo_r,
+              CASE WHEN max(residual) > min(residual) THEN (max(residual) - min(residual)) / 50 ELSE 1.0 END AS w_r,
+              min(pred) AS lo_p,
+              CASE WHEN max(pred) > min(pred) THEN (max(pred) - min(pred)) / 50 ELSE 1.0 END AS w_p
+       FROM rp)
+"""
+
+
+@register("residual_profile", """
+SELECT 'hist' AS kind, g.b AS bin_x, CAST(NULL AS BIGINT) AS bin_y, coalesce(c.n, 0) AS count
+FROM (SELECT * FROM range(0, 50) t(b)) g
+LEFT JOIN (SELECT CAST(least(49, floor((residual - rs.lo_r) / rs.w_r)) AS BIGINT) AS b, count(*) AS n
+           FROM rp, rs GROUP BY 1) c ON c.b = g.b
+UNION ALL
+SELECT 'cloud' AS kind, CAST(least(49, floor((pred - rs.lo_p) / rs.w_p)) AS BIGINT) AS bin_x,
+       CAST(least(49, floor((residual - rs.lo_r) / rs.w_r)) AS BIGINT) AS bin_y, count(*) AS count
+FROM rp, rs GROUP BY 2, 3""", None, RESIDUAL_CTES)
 def residual_profile(spark, sf):
     from staylens.plans.q_models import ols_scored
     return X.residual_profile(ols_scored(spark, sf), "label", "prediction", 50)
