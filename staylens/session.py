@@ -51,15 +51,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, cache: bool = True):
+ROWS_PER_PARTITION = 1_000_000
+
+
+def materialize(df, cache: bool = True, rows_per_partition: int | None = ROWS_PER_PARTITION):
     """Cut the lineage of a frame that many jobs will re-read (fits, restarts, CV folds).
 
     The rows are written once to the shared checkpoint folder (``checkpoint``,
     which survives executor loss, unlike a local checkpoint) and optionally
-    cached on top so repeated passes do not re-read the files.
+    cached on top so repeated passes do not re-read the files.  Partitions are
+    merged (narrowly, no shuffle) down to about ``rows_per_partition`` rows each:
+    iterative fits launch one task per partition per pass, so a small input
+    spread over many partitions pays task overhead on every iteration, while a
+    large input keeps one partition per million rows.
     """
     checkpoint_root(df.sparkSession)
     out = df.checkpoint(eager=True)
+    if rows_per_partition:
+        n = out.count()
+        want = max(1, -(-n // rows_per_partition))
+        if out.rdd.getNumPartitions() > want:
+            out = out.coalesce(want)
     return out.persist() if cache else out
 
 
