@@ -350,20 +350,48 @@ def solve_ols(a: np.ndarray, b: np.ndarray, active: Sequence[int] | None = None)
     return full
 
 
+def gramian_matrix(df: DataFrame, cols: Sequence[str], label: str) -> np.ndarray:
+    """Z'Z for Z = [1, x_1..x_d, y] over the complete rows, from one ``gramian`` aggregate."""
+    d = len(cols)
+    complete = df.dropna(subset=list(cols) + [label])
+    row = gramian(complete, cols, label).first()
+    a, b = normal_equations(row, d)
+    g = np.zeros((d + 2, d + 2))
+    g[:d + 1, :d + 1] = a
+    g[:d + 1, d + 1] = g[d + 1, :d + 1] = b
+    g[d + 1, d + 1] = row["yy"]
+    return g
+
+
+def standardized_gramian(g: np.ndarray) -> np.ndarray:
+    """The Gramian of [1, (x - mean) / std_pop, y] from the Gramian of [1, x, y] (zero spread -> /1)."""
+    n = g[0, 0]
+    d = g.shape[0] - 2
+    mean = g[0, 1:d + 1] / n
+    var = np.diag(g)[1:d + 1] / n - mean ** 2
+    sd = np.where(var > 1e-12 * np.maximum(1.0, mean ** 2), np.sqrt(np.maximum(var, 0)), 1.0)
+    a = np.eye(d + 2)
+    a[0, 1:d + 1] = -mean / sd
+    a[1:d + 1, 1:d + 1] = np.diag(1.0 / sd)
+    return a.T @ g @ a
+
+
 def rfe_select(df: DataFrame, features: Sequence[str], label: str, n: int = 5, standardize: bool = True):
     """C11: recursive feature elimination, one feature at a time by squared OLS coefficient.
 
-    One distributed Gramian pass; every elimination step solves only the d x d system.
-    Returns a list of (feature, ranking, selected) tuples, ranking 1 = kept.
+    One distributed Gramian pass (standardisation is applied to the Gramian
+    algebraically, so no extra pass scales the rows); every elimination step
+    solves only the d x d system.  Returns a
+    list of (feature, ranking, selected) tuples, ranking 1 = kept.
     """
-    data = df
+    d = len(features)
+    g = gramian_matrix(df, features, label)
     if standardize:
-        data = scaler_pop(features).fit(df).transform(df)
-    row = gramian(data.where(F.col(label).isNotNull()), features, label).first()
-    a, b = normal_equations(row, len(features))
-    active = list(range(len(features)))
+        g = standardized_gramian(g)
+    a, b = g[:d + 1, :d + 1], g[:d + 1, d + 1]
+    active = list(range(d))
     ranking = {}
-    step_rank = len(features) - n + 1
+    step_rank = d - n + 1
     while len(active) > n:
         coef = solve_ols(a, b, active)
         weights = [coef[i + 1] ** 2 for i in active]
@@ -373,4 +401,4 @@ def rfe_select(df: DataFrame, features: Sequence[str], label: str, n: int = 5, s
         active.remove(worst)
     for i in active:
         ranking[i] = 1
-    return [(features[i], ranking[i], ranking[i] == 1) for i in range(len(features))]
+    return [(features[i], ranking[i], ranking[i] == 1) for i in range(d)]

@@ -61,3 +61,16 @@ def test_depth_one_tree_matches_best_split(spark):
     right = pred[pred.x > best].prediction.unique()
     assert len(left) == 1 and len(right) == 1
     assert left[0] == pytest.approx(y[x <= best].mean()) and right[0] == pytest.approx(y[x > best].mean())
+
+
+def test_gramian_matrix_and_standardisation(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(5, 3, size=(300, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=300)
+    df = spark.createDataFrame([tuple(map(float, r)) + (float(t),) for r, t in zip(x, y)],
+                               "a double, b double, c double, y double").repartition(3)
+    g = FT.gramian_matrix(df, ["a", "b", "c"], "y")
+    z = np.column_stack([np.ones(300), x, y])
+    assert np.allclose(g, z.T @ z, rtol=1e-10)
+    zs = np.column_stack([np.ones(300), (x - x.mean(0)) / x.std(0), y])
+    assert np.allclose(FT.standardized_gramian(g), zs.T @ zs, rtol=1e-8, atol=1e-6)
