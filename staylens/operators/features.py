@@ -350,16 +350,32 @@ def solve_ols(a: np.ndarray, b: np.ndarray, active: Sequence[int] | None = None)
     return full
 
 
+CODEGEN_SUMS_PER_PASS = 90  # stays under whole-stage codegen's 100-field limit
+
+
 def gramian_matrix(df: DataFrame, cols: Sequence[str], label: str) -> np.ndarray:
-    """Z'Z for Z = [1, x_1..x_d, y] over the complete rows, from one ``gramian`` aggregate."""
+    """Z'Z for Z = [1, x_1..x_d, y] over the complete rows.
+
+    The (d+2)(d+3)/2 distinct cells are sums of products.  One aggregate with all of
+    them would be too wide for whole-stage codegen once d reaches a dozen or so, so
+    the projected doubles are materialised once (checkpoint + cache) and the cells
+    are summed in passes of at most CODEGEN_SUMS_PER_PASS codegen'd sums each.
+    """
+    from staylens.session import materialize, wide_projection_mode
     d = len(cols)
-    complete = df.dropna(subset=list(cols) + [label])
-    row = gramian(complete, cols, label).first()
-    a, b = normal_equations(row, d)
+    names = [f"_g{i}" for i in range(d)] + ["_gy"]
+    sel = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(list(cols) + [label], names)]).dropna()
+    z = [F.lit(1.0)] + [F.col(n) for n in names]
+    cells = [(i, j) for i in range(d + 2) for j in range(i, d + 2)]
+    if len(cells) > CODEGEN_SUMS_PER_PASS:
+        sel = materialize(sel)
     g = np.zeros((d + 2, d + 2))
-    g[:d + 1, :d + 1] = a
-    g[:d + 1, d + 1] = g[d + 1, :d + 1] = b
-    g[d + 1, d + 1] = row["yy"]
+    for start in range(0, len(cells), CODEGEN_SUMS_PER_PASS):
+        chunk = cells[start:start + CODEGEN_SUMS_PER_PASS]
+        with wide_projection_mode(sel.sparkSession):
+            row = sel.agg(*[F.sum(z[i] * z[j]).alias(f"c{k}") for k, (i, j) in enumerate(chunk)]).first()
+        for k, (i, j) in enumerate(chunk):
+            g[i, j] = g[j, i] = row[f"c{k}"] or 0.0
     return g
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.operators.features import assemble_features, gramian, normal_equations, solve_ols
-from staylens.session import materialize
+from staylens.session import materialize, wide_projection_mode
 
 
 def ols_fit(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.0, elastic: float = 0.0):
@@ -29,7 +29,8 @@ def ols_fit(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.0
     data = assemble_features(df.where(F.col(label).isNotNull()), features, "features")
     lr = LinearRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=elastic,
                           solver="normal" if reg == 0 else "auto", standardization=False)
-    return lr.fit(data)
+    with wide_projection_mode(df.sparkSession):
+        return lr.fit(data)
 
 
 def score(model, df: DataFrame, features: Sequence[str], out: str = "prediction") -> DataFrame:
@@ -89,12 +90,14 @@ def gbt_regressor(label: str, features_col: str = "features", **kw) -> GBTRegres
 
 def fit_forest(df: DataFrame, features: Sequence[str], label: str, **kw):
     data = assemble_features(df.where(F.col(label).isNotNull()), features, "features", invalid="keep")
-    return rf_regressor(label, **kw).fit(data)
+    with wide_projection_mode(df.sparkSession):
+        return rf_regressor(label, **kw).fit(data)
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, **kw):
     data = assemble_features(df.where(F.col(label).isNotNull()), features, "features", invalid="keep")
-    return gbt_regressor(label, **kw).fit(data)
+    with wide_projection_mode(df.sparkSession):
+        return gbt_regressor(label, **kw).fit(data)
 
 
 # ----------------------------------------------------------------------------- segments

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -51,6 +52,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def wide_projection_mode(spark):
+    """Run an action over a wide derived projection with constraint propagation off.
+
+    Dozens of CASE / COALESCE aliases of the same source columns (one-hot levels,
+    imputed copies) under a null filter make the optimizer's constraint inference
+    combinatorial: planning, not execution, then takes minutes.  The setting is
+    restored afterwards, so the caller's session is unchanged.
+    """
+    key = "spark.sql.constraintPropagation.enabled"
+    old = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 ROWS_PER_PARTITION = 1_000_000
 
 
@@ -66,7 +85,8 @@ def materialize(df, cache: bool = True, rows_per_partition: int | None = ROWS_PE
     large input keeps one partition per million rows.
     """
     checkpoint_root(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    with wide_projection_mode(df.sparkSession):
+        out = df.checkpoint(eager=True)
     if rows_per_partition:
         n = out.count()
         want = max(1, -(-n // rows_per_partition))
