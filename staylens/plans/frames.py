@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from staylens.operators.cleaning import ListingCleaner
 from staylens.operators.splits import hash_split, kfold
+from staylens.session import materialize
 from staylens.sources.fixtures import listings_raw
 
 SPLIT_SEED = 42
@@ -31,13 +32,16 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned listings, written once to the checkpoint folder: the queries run
+    several jobs over it (statistics, then the result), and none of them should
+    re-run the fixture joins and the deduplication."""
     r = raw(spark, sf)
-    return ListingCleaner().fit(r).transform(r)
+    return materialize(ListingCleaner().fit(r).transform(r), cache=False, rows_per_partition=None)
 
 
 def keyed(spark: SparkSession, sf: str) -> DataFrame:
     r = raw(spark, sf)
-    return ListingCleaner(keyCol="id").fit(r).transform(r)
+    return materialize(ListingCleaner(keyCol="id").fit(r).transform(r), cache=False, rows_per_partition=None)
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
