@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -97,3 +98,19 @@ def materialize(df, cache: bool = True, rows_per_partition: int | None = ROWS_PE
 
 def default_parallelism(spark) -> int:
     return max(1, int(spark.sparkContext.defaultParallelism))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark application.
+
+    Functions that run on executors are pickled by reference, so the workers must be able to
+    import the package also where only the driver's ``sys.path`` holds it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_staylens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="staylens-pkg-"), "staylens_pkg"), "zip",
+                                  os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(archive)
+    sc._staylens_shipped = True
