@@ -22,12 +22,42 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.repeated_passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staylens.llm.url_filter import filter_urls
 
     return filter_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.quality import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staylens.llm.topk import top_k_queries
 
@@ -47,6 +77,8 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op5_url_filter, op8_top_k, op9_mix_sources, op10_page_text)}
+    f.__name__: f for f in (
+        op1_token_counts, op2_pack_documents, op3_near_duplicates, op4_repeated_passages, op5_url_filter, op6_quality,
+        op7_licenses, op8_top_k, op9_mix_sources, op10_page_text)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -113,7 +113,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     q = (q.withColumn("block", F.pmod(F.xxhash64("id", "x", F.lit(1)), F.lit(blocks)).cast("int"))
          .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
 
-    def cell(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+    def cell(qs, vs):
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         if not len(qs) or not len(vs):
             return empty
