@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from staylens.llm.common import table
+from staylens.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,7 +57,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staylens.llm.licenses import scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    total = F.aggregate("matches", F.lit(0).cast("long"), lambda a, n: a + n)
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.concat_ws(";", "licenses").alias("licenses"), total.alias("n_matches"), F.size("sentence_ids").alias("n_sentences"))
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_pack_documents, op3_near_duplicates, op4_repeated_passages, op5_url_filter, op6_quality,
         op7_licenses, op8_top_k, op9_mix_sources, op10_page_text)}
-
-ORACLE_SQL: dict[str, str] = {}
