@@ -55,3 +55,13 @@ def na_to_null(c: Column, tokens=PANDAS_NA_TOKENS) -> Column:
 def nan_to_null(c: Column) -> Column:
     """NaN is a value in Spark; statistics want it as NULL."""
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+
+
+def quoted(name: str) -> str:
+    """A column name for ``F.col`` that may hold dots and backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def x_of(name: str) -> Column:
+    """A numeric column as double with NaN as NULL."""
+    return nan_to_null(F.col(quoted(name)).cast("double"))

@@ -93,20 +93,3 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float]
     if count_col:
         return out.withColumnRenamed("_q_n", count_col)
     return out.drop("_q_n")
-
-
-def exact_quantile_value(df: DataFrame, col: str, q: float) -> float | None:
-    """A single global quantile as a Python float (an Estimator statistic)."""
-    row = exact_quantiles(df, col, {"q": q}).first()
-    return None if row is None else row["q"]
-
-
-def mode_value(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
-    """Most frequent non-null value per group; ties go to the smallest value.
-
-    Counting is a partially aggregated ``groupBy(by, value)``; the pick is a
-    constant-memory ``min_by`` over the distinct values.
-    """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_m_n"))
-    order = F.struct((-F.col("_m_n")).alias("neg_n"), F.col(col).alias("v"))
-    return counts.groupBy(*by).agg(F.min_by(F.col(col), order).alias(name))

@@ -15,21 +15,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from staylens.functions.scalar import quoted, x_of
 from staylens.operators.features import assemble_features
 from staylens.session import default_parallelism, materialize
 
-MAX_CLUSTERS = 1000
+#: Up to so many centroid cells, distances are written out as arithmetic (whole-stage code);
+#: beyond, the same formulas run over array literals, so that plans stay small for any k.
+WRITTEN_OUT_CELLS = 256
 
 
 def _x(c: str) -> Column:
-    return F.col(f"`{c}`").cast("double")
+    return x_of(c)
+
+
+def _complete(df: DataFrame, cols: Sequence[str], label: str | None = None) -> DataFrame:
+    """The rows with a value in every feature and, if given, a label: the ones indices are about."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & _x(c).isNotNull()
+    if label is not None:
+        cond = cond & F.col(quoted(label)).isNotNull()
+    return df.where(cond)
+
+
+def _point(cols: Sequence[str]) -> Column:
+    return F.array(*[_x(c) for c in cols])
+
+
+def _literal(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _array_sqdist(point: Column, center: Column) -> Column:
+    squares = F.zip_with(point, center, lambda a, b: (a - b) * (a - b))
+    return F.aggregate(squares, F.lit(0.0), lambda t, v: t + v)
 
 
 def _sqdist(cols: Sequence[str], center: Sequence[float]) -> Column:
@@ -46,7 +72,12 @@ def _sq(e: Column) -> Column:
 
 def assign_clusters(df: DataFrame, cols: Sequence[str], centroids: Sequence[Sequence[float]],
                     out: str = "cluster") -> DataFrame:
-    """Nearest centroid (squared Euclidean), ties to the lowest id."""
+    """Nearest centroid (squared Euclidean), ties to the lowest id; NULL if a feature is NULL or NaN."""
+    known = reduce(lambda a, b: a & b, [_x(c).isNotNull() for c in cols], F.lit(True))
+    if len(centroids) * len(cols) > WRITTEN_OUT_CELLS:
+        d = F.transform(F.array(*[_literal(c) for c in centroids]), lambda c: _array_sqdist(_point(cols), c))
+        label = F.array_position(d, F.array_min(d)) - 1
+        return df.withColumn(out, F.when(known, label.cast("int")))
     d = [_sqdist(cols, c) for c in centroids]
     dcols = [f"_d{j}" for j in range(len(d))]
     tmp = df.withColumns({n: e for n, e in zip(dcols, d)})
@@ -54,43 +85,55 @@ def assign_clusters(df: DataFrame, cols: Sequence[str], centroids: Sequence[Sequ
     label = None
     for j in reversed(range(len(dcols))):
         label = F.lit(j) if label is None else F.when(F.col(dcols[j]) == m, F.lit(j)).otherwise(label)
-    return tmp.withColumn(out, label.cast("int")).drop(*dcols)
+    return tmp.withColumn(out, F.when(known, label.cast("int"))).drop(*dcols)
 
 
-def cluster_stats(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """Per-cluster n, sums and sums of squares: one partially aggregated groupBy."""
+def cluster_stats(df: DataFrame, cols: Sequence[str], label: str, shift: Sequence[float] | None = None) -> DataFrame:
+    """Per-cluster n, sums and sums of squares of the complete rows, less ``shift``: one partially aggregated groupBy."""
     aggs = [F.count(F.lit(1)).alias("n")]
     sq = None
     for i, c in enumerate(cols):
-        aggs.append(F.sum(_x(c)).alias(f"s{i}"))
-        t = _x(c) * _x(c)
-        sq = t if sq is None else sq + t
+        x = _x(c) - F.lit(float(shift[i])) if shift is not None else _x(c)
+        aggs.append(F.sum(x).alias(f"s{i}"))
+        sq = x * x if sq is None else sq + x * x
     aggs.append(F.sum(sq).alias("q"))
-    return df.groupBy(label).agg(*aggs)
+    return _complete(df, cols, label).groupBy(quoted(label)).agg(*aggs)
 
 
-def _collect_stats(df: DataFrame, cols: Sequence[str], label: str):
-    rows = cluster_stats(df, cols, label).orderBy(label).limit(MAX_CLUSTERS + 1).collect()
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+def _collect_stats(df: DataFrame, cols: Sequence[str], label: str, shift: Sequence[float] | None = None):
+    """The per-cluster statistics: one row for each of the k clusters, a model's size."""
+    rows = cluster_stats(df, cols, label, shift).orderBy(quoted(label)).collect()
     labels = [r[label] for r in rows]
     n = np.array([r["n"] for r in rows], dtype=float)
-    s = np.array([[r[f"s{i}"] for i in range(len(cols))] for r in rows], dtype=float)
+    s = np.array([[r[f"s{i}"] for i in range(len(cols))] for r in rows], dtype=float).reshape(len(rows), len(cols))
     q = np.array([r["q"] for r in rows], dtype=float)
     return labels, n, s, q
 
 
+def _centered(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+    """(label, features less their grand means) of the complete rows.
+
+    Sums of squares and products then stay as small as the spread of the data, so that the
+    closed forms below don't cancel when the points lie far from the origin."""
+    rows = _complete(df, cols, label)
+    means = rows.agg(*[F.avg(_x(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return rows.select(F.col(quoted(label)), *[(_x(c) - F.lit(means[i] or 0.0)).alias(c) for i, c in enumerate(cols)])
+
+
 def _by_label(label: str, labels: Sequence, values: Sequence[float]) -> Column:
+    if len(labels) > WRITTEN_OUT_CELLS:
+        table = F.create_map(*[F.lit(x) for l, v in zip(labels, values) for x in (l, float(v))])
+        return F.element_at(table, F.col(quoted(label)))
     e = None
     for l, v in zip(labels, values):
-        cond = F.col(label) == F.lit(l)
+        cond = F.col(quoted(label)) == F.lit(l)
         e = F.when(cond, F.lit(float(v))) if e is None else e.when(cond, F.lit(float(v)))
-    return e
+    return e if e is not None else F.lit(None).cast("double")
 
 
 def centroids(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """Per-cluster mean of every column and size."""
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(_x(c)).alias(c) for c in cols])
+    """Per-cluster mean of every column and size, over the complete rows."""
+    return _complete(df, cols, label).groupBy(quoted(label)).agg(F.count(F.lit(1)).alias("n"), *[F.avg(_x(c)).alias(c) for c in cols])
 
 
 def lloyd_step(df: DataFrame, cols: Sequence[str], centers: Sequence[Sequence[float]],
@@ -100,7 +143,8 @@ def lloyd_step(df: DataFrame, cols: Sequence[str], centers: Sequence[Sequence[fl
 
 
 def inertia(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """within-cluster sum of squared distances to the cluster mean."""
+    """within-cluster sum of squared distances to the cluster mean, over complete labelled rows."""
+    df = _complete(df, cols, label)
     labels, n, s, _ = _collect_stats(df, cols, label)
     cent = s / n[:, None]
     dist = None
@@ -110,18 +154,23 @@ def inertia(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     return df.agg(F.sum(dist).alias("inertia"))
 
 
+SILHOUETTE_METHOD = "squared_euclidean"
+
+
 def silhouette(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """mean silhouette with squared Euclidean dissimilarity, exact, O(n * k).
 
     For x in cluster A: a = sum_{y in A} |x-y|^2 / (n_A - 1); b = min over B != A of
     sum_{y in B} |x-y|^2 / n_B; s = (b - a) / max(a, b), 0 for singleton clusters.
-    sum_{y in C} |x-y|^2 = n_C |x|^2 - 2 x.S_C + Q_C uses per-cluster statistics only.
+    sum_{y in C} |x-y|^2 = n_C |x|^2 - 2 x.S_C + Q_C uses per-cluster statistics only, of
+    centred points.  ``method`` says which dissimilarity it is.
     """
+    df = _centered(df, cols, label)
     labels, n, s, q = _collect_stats(df, cols, label)
     if len(labels) < 2:
-        return df.sparkSession.createDataFrame([(None,)], "silhouette double")
+        return df.sparkSession.createDataFrame([(None, SILHOUETTE_METHOD)], "silhouette double, method string")
     term = _silhouette_term(cols, label, labels, n, s, q)
-    return df.where(F.col(label).isNotNull()).agg(F.avg(term).alias("silhouette"))
+    return df.agg(F.avg(term).alias("silhouette")).withColumn("method", F.lit(SILHOUETTE_METHOD))
 
 
 def silhouette_pairs(points: np.ndarray, labels: np.ndarray, squared: bool = True) -> float:
@@ -143,13 +192,14 @@ def silhouette_pairs(points: np.ndarray, labels: np.ndarray, squared: bool = Tru
 
 def davies_bouldin(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """mean over clusters of max_j (S_i + S_j) / |c_i - c_j|, S = mean distance to centroid."""
+    df = _complete(df, cols, label)
     labels, n, s, _ = _collect_stats(df, cols, label)
     cent = s / n[:, None]
     dist = None
     for i, c in enumerate(cols):
         t = _sq(_x(c) - _by_label(label, labels, cent[:, i]))
         dist = t if dist is None else dist + t
-    spread = df.groupBy(label).agg(F.avg(F.sqrt(dist)).alias("S")).orderBy(label).collect()
+    spread = df.groupBy(quoted(label)).agg(F.avg(F.sqrt(dist)).alias("S")).orderBy(label).collect()
     sv = {r[label]: r["S"] for r in spread}
     k = len(labels)
     worst = []
@@ -167,7 +217,8 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """F8: (B / (k - 1)) / (W / (n - k))."""
+    """F8: (B / (k - 1)) / (W / (n - k)) over the complete labelled rows."""
+    df = _complete(df, cols, label)
     labels, n, s, _ = _collect_stats(df, cols, label)
     cent = s / n[:, None]
     grand = s.sum(0) / n.sum()
@@ -185,7 +236,9 @@ def cluster_sizes(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 def cluster_indices(df: DataFrame, cols: Sequence[str], label: str) -> dict:
     """F5-F8 together in two passes: per-cluster statistics, then one grouped aggregate of
-    the squared distance to the own centroid, its square root and the silhouette term."""
+    the squared distance to the own centroid, its square root and the silhouette term.
+    Rows without a label or with a missing feature take no part."""
+    df = _centered(df, cols, label)
     labels, n, s, q = _collect_stats(df, cols, label)
     k = len(labels)
     cent = s / n[:, None]
@@ -194,11 +247,13 @@ def cluster_indices(df: DataFrame, cols: Sequence[str], label: str) -> dict:
         t = _sq(_x(c) - _by_label(label, labels, cent[:, i]))
         d2 = t if d2 is None else d2 + t
     aggs = [F.sum("_d2").alias("w"), F.avg(F.sqrt("_d2")).alias("S")]
-    frame = df.where(F.col(label).isNotNull()).select(F.col(label), d2.alias("_d2"), *[_x(c).alias(c) for c in cols])
+    if not labels:
+        return {"inertia": None, "silhouette": None, "davies_bouldin": None, "calinski_harabasz": None}
+    frame = df.select(F.col(quoted(label)), d2.alias("_d2"), *[_x(c).alias(c) for c in cols])
     if k >= 2:
         frame = frame.withColumn("_sil", _silhouette_term(cols, label, labels, n, s, q))
         aggs.append(F.sum("_sil").alias("sil"))
-    rows = {r[label]: r for r in frame.groupBy(label).agg(*aggs).collect()}
+    rows = {r[label]: r for r in frame.groupBy(quoted(label)).agg(*aggs).collect()}
     w = float(sum(rows[l]["w"] for l in labels))
     out = {"inertia": w, "silhouette": None, "davies_bouldin": None, "calinski_harabasz": None}
     if k < 2:
@@ -223,19 +278,34 @@ def _silhouette_term(cols, label, labels, n, s, q) -> Column:
     for c in cols:
         t = _x(c) * _x(c)
         xx = t if xx is None else xx + t
-    tot = []
-    for j in range(len(labels)):
-        dot = None
-        for i, c in enumerate(cols):
-            t = _x(c) * F.lit(float(s[j, i]))
-            dot = t if dot is None else dot + t
-        tot.append(F.lit(float(n[j])) * xx - F.lit(2.0) * dot + F.lit(float(q[j])))
-    own = None
-    for j, l in enumerate(labels):
-        cond = F.col(label) == F.lit(l)
-        a = tot[j] / F.lit(max(n[j] - 1.0, 1.0))
-        own = F.when(cond, a) if own is None else own.when(cond, a)
-    b = F.least(*[F.when(F.col(label) != F.lit(l), tot[j] / F.lit(float(n[j]))) for j, l in enumerate(labels)])
+    if len(labels) * len(cols) > WRITTEN_OUT_CELLS:
+        table = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(float(n[j])).alias("n"), _literal(s[j]).alias("s"),
+                                   F.lit(float(q[j])).alias("q")) for j, l in enumerate(labels)])
+        point, mine = _point(cols), F.col(quoted(label))
+
+        def total(c):
+            dot = F.aggregate(F.zip_with(point, c["s"], lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+            return c["n"] * xx - F.lit(2.0) * dot + c["q"]
+
+        own = F.transform(F.filter(table, lambda c: c["l"] == mine),
+                          lambda c: total(c) / F.greatest(c["n"] - 1, F.lit(1.0)))[0]
+        b = F.array_min(F.transform(F.filter(table, lambda c: c["l"] != mine), lambda c: total(c) / c["n"]))
+    else:
+        tot = []
+        for j in range(len(labels)):
+            dot = None
+            for i, c in enumerate(cols):
+                t = _x(c) * F.lit(float(s[j, i]))
+                dot = t if dot is None else dot + t
+            tot.append(F.lit(float(n[j])) * xx - F.lit(2.0) * dot + F.lit(float(q[j])))
+        own = None
+        for j, l in enumerate(labels):
+            cond = F.col(quoted(label)) == F.lit(l)
+            a = tot[j] / F.lit(max(n[j] - 1.0, 1.0))
+            own = F.when(cond, a) if own is None else own.when(cond, a)
+        # least() passes over NULL; a single branch needs no least().
+        others = [F.when(F.col(quoted(label)) != F.lit(l), tot[j] / F.lit(float(n[j]))) for j, l in enumerate(labels)]
+        b = F.least(*others)
     size = _by_label(label, labels, n)
     a_col, b_col = F.greatest(own, F.lit(0.0)), F.greatest(b, F.lit(0.0))
     return F.when(size <= 1, F.lit(0.0)).otherwise(
@@ -251,9 +321,7 @@ def kmeans_restart(df: DataFrame, cols: Sequence[str], k: int, n_init: int = 10,
 
     The fits run from a bounded thread pool over one persisted vector frame.
     """
-    vec = assemble_features(df, cols, "_km_features").select("_km_features")
-    if not vec.storageLevel.useMemory:
-        vec = materialize(vec)
+    vec = materialize(assemble_features(_complete(df, cols), cols, "_km_features").select("_km_features"))
 
     def fit(i):
         km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_km_features")
@@ -263,13 +331,14 @@ def kmeans_restart(df: DataFrame, cols: Sequence[str], k: int, n_init: int = 10,
     workers = parallelism or default_parallelism(df.sparkSession)
     with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
         fits = list(pool.map(fit, range(n_init)))
+    vec.unpersist()
     fits.sort(key=lambda t: (t[0], t[1]))
     return fits[0][2]
 
 
 def kmeans_spark(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42) -> KMeansModel:
     """MLlib k-means|| with defaults on the given (imputed, unscaled) columns."""
-    vec = assemble_features(df, cols, "_km_features")
+    vec = assemble_features(_complete(df, cols), cols, "_km_features")
     return KMeans(k=k, seed=seed, featuresCol="_km_features").fit(vec)
 
 
@@ -279,13 +348,20 @@ def model_centroids(model: KMeansModel) -> list[list[float]]:
 
 def k_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11), n_init: int = 10,
             seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None) -> DataFrame:
-    """best-restart fit per k and its four indices, one row per k.
+    """best-restart fit per k and its four indices, one row per k."""
+    return k_sweep_models(df, cols, ks, n_init, seed, max_iter, tol, parallelism)[0]
+
+
+def k_sweep_models(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11), n_init: int = 10,
+                   seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
+                   parallelism: int | None = None) -> tuple[DataFrame, dict[int, KMeansModel]]:
+    """The frame of ``k_sweep`` and the fit of each k.
 
     All len(ks) x n_init fits share one bounded thread pool over one checkpointed,
     cached vector frame, so small fits overlap instead of running k by k.
     """
     spark = df.sparkSession
-    data = materialize(df.select(*[_x(c).alias(c) for c in cols]))
+    data = materialize(_complete(df, cols).select(*[_x(c).alias(c) for c in cols]))
     vec = materialize(assemble_features(data, cols, "_km_features").select("_km_features"))
 
     def fit(task):
@@ -306,10 +382,13 @@ def k_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11)
             return k, cluster_indices(labelled, cols, "_label")
 
         results = dict(pool.map(indices, list(ks)))
+    data.unpersist()
+    vec.unpersist()
     rows = [(int(k), results[k]["inertia"], results[k]["silhouette"], results[k]["davies_bouldin"],
              results[k]["calinski_harabasz"]) for k in ks]
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, "
-                                       "calinski_harabasz double")
+    frame = spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, "
+                                        "calinski_harabasz double")
+    return frame, {k: m for k, (_, _, m) in best.items()}
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
@@ -318,4 +397,4 @@ def best_k(sweep: DataFrame) -> DataFrame:
         F.max_by("k", F.struct("silhouette", (-F.col("k")).alias("t"))).alias("best_k_silhouette"),
         F.min_by("k", F.struct("davies_bouldin", "k")).alias("best_k_davies_bouldin"),
         F.max_by("k", F.struct("calinski_harabasz", (-F.col("k")).alias("t"))).alias("best_k_calinski_harabasz"),
-    )
+    ).withColumn("silhouette_method", F.lit(SILHOUETTE_METHOD))

@@ -2,39 +2,40 @@
 
 Bin edges, bandwidths and fences are scalars learned by one small aggregate
 and then inlined as literals, so binning is a projection followed by a
-partially aggregated ``groupBy``.  Per-group statistics are joined back with a
-broadcast only after their row count is checked.
+partially aggregated ``groupBy``.  Per-group statistics are joined back as
+the planner sees fit.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.functions.stats import exact_quantiles
-
-BROADCAST_ROW_LIMIT = 200_000
-
+from staylens.functions.scalar import quoted, x_of
+from staylens.functions.stats import exact_quantiles, weighted_values
+from staylens.operators.splits import hash_bucket
+from staylens.session import ship_package
 
 def _x(c: str) -> Column:
-    return F.col(f"`{c}`").cast("double")
+    return F.col(quoted(c)).cast("double")
 
 
-def attach_group_stats(df: DataFrame, stats: DataFrame, by: Sequence[str],
-                       limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join per-group statistics back to the rows.
+def attach_group_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join per-group statistics (one row per group) back to the rows, null groups too.
 
-    The statistics table has one row per group; it is broadcast when its
-    counted size is within ``limit`` (no shuffle of the big side, so a hot group
-    never lands in one task), otherwise a shuffle join is left to AQE, which
-    splits skewed partitions.
+    How is left to the planner: it knows the size of the statistics at run time, broadcasts them
+    if they are small and splits skewed partitions if they aren't.
     """
-    n = stats.count()
-    side = F.broadcast(stats) if n <= limit else stats
-    return df.join(side, list(by), "inner")
+    by = list(by)
+    renamed = stats.select(*[F.col(quoted(c)).alias(f"_by{by.index(c)}" if c in by else c) for c in stats.columns])
+    same = reduce(lambda a, b: a & b, [F.col(quoted(c)).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
+    return df.join(renamed, same).drop(*[f"_by{i}" for i in range(len(by))])
 
 
 def min_max(df: DataFrame, col: str):
@@ -70,8 +71,8 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0) -> Da
     """Gaussian KDE with Scott's bandwidth (sd_sample * n^(-1/5)) on ``points`` grid points
     spanning [min - cut*h, max + cut*h].
 
-    Every row contributes to every grid point: a fixed ``points``-fold generator
-    inside the scan stage whose sums are partially aggregated per task.
+    The values are first collapsed to distinct values with weights; each task then adds up its
+    values' kernels on the whole grid, and sends one row per grid point.
     """
     st = df.agg(F.min(_x(col)).alias("lo"), F.max(_x(col)).alias("hi"), F.count(_x(col)).alias("n"),
                 F.stddev_samp(_x(col)).alias("sd")).first()
@@ -83,11 +84,18 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0) -> Da
     g0 = st["lo"] - cut * h
     step = (st["hi"] - st["lo"] + 2 * cut * h) / (points - 1)
     norm = 1.0 / (n * h * math.sqrt(2.0 * math.pi))
-    gx = F.lit(g0) + F.col("point").cast("double") * F.lit(step)
-    contrib = F.exp(F.lit(-0.5) * F.pow((gx - F.col("_v")) / F.lit(h), 2))
-    return df.select(_x(col).alias("_v")).where(F.col("_v").isNotNull()) \
-        .select("_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("point")) \
-        .groupBy("point").agg(F.sum(contrib).alias("_s")) \
+    ship_package(spark)
+
+    def run(batches):
+        grid, total = g0 + step * np.arange(points), np.zeros(points)
+        for b in batches:
+            v, w = (c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns)
+            for low in range(0, len(v), 1024):
+                z = (grid[None, :] - v[low:low + 1024, None]) / h
+                total += w[low:low + 1024] @ np.exp(-0.5 * z * z)
+        yield pa.RecordBatch.from_arrays([pa.array(range(points), pa.int64()), pa.array(total)], ["point", "s"])
+
+    return weighted_values(df, _x(col)).mapInArrow(run, "point long, s double").groupBy("point").agg(F.sum("s").alias("_s")) \
         .select("point", (F.lit(g0) + F.col("point").cast("double") * F.lit(step)).alias("x"),
                 (F.col("_s") * F.lit(norm)).alias("density"))
 
@@ -119,20 +127,38 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation of every column pair.
 
-    Each row is turned into one (pair, x, y) record per unordered pair by an
-    ``inline`` generator in the scan stage, and ``corr`` is aggregated per pair:
-    a narrow, codegen-friendly aggregate (a single aggregate with one ``corr`` per
-    pair is too wide for whole-stage codegen), partially aggregated per task.
+    Each task multiplies its batches with their masks of present values (counts, sums, squares and
+    products of every pair at once, of values less their column means) and sends one row per column.
+    The d x d sums are then a statistic of the model's size.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    items = [F.struct(F.lit(i).alias("_p"), _x(a).alias("_a"), _x(b).alias("_b")) for i, (a, b) in enumerate(pairs)]
-    per_pair = df.select(F.inline(F.array(*items))).groupBy("_p").agg(F.corr("_a", "_b").alias("corr"))
-    spark = df.sparkSession
-    # Both orientations of every pair: a fixed table of d*d names, joined by broadcast.
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] +
-                                  [(i, b, a) for i, (a, b) in enumerate(pairs) if a != b],
-                                  "_p int, col_a string, col_b string")
-    return F.broadcast(names).join(per_pair, "_p").select("col_a", "col_b", "corr")
+    spark, d = df.sparkSession, len(cols)
+    ship_package(spark)
+    means = df.agg(*[F.avg(x_of(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    data = df.select(F.array(*[x_of(c) - F.lit(means[i] or 0.0) for i, c in enumerate(cols)]).alias("x"))
+
+    def run(batches):
+        total = np.zeros((d, 4, d))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, d)
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            for k, part in enumerate((m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)):
+                total[:, k] += part
+        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(total.reshape(d, -1).tolist(), pa.list_(pa.float64()))],
+                                         ["i", "v"])
+
+    cells = (data.mapInArrow(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
+             .groupBy("i", "j").agg(F.sum("v").alias("v")))
+    sums = np.zeros((d, 4 * d))
+    for r in cells.collect():
+        sums[r["i"], r["j"]] = r["v"]
+    n, s, q, p = sums.reshape(d, 4, d).transpose(1, 0, 2)
+    rows = []
+    for i in range(d):
+        for j in range(d):
+            spread = (n[i, j] * q[i, j] - s[i, j] ** 2) * (n[i, j] * q[j, i] - s[j, i] ** 2)
+            rows.append((cols[i], cols[j], float((n[i, j] * p[i, j] - s[i, j] * s[j, i]) / math.sqrt(spread)) if spread > 0 else None))
+    return spark.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
@@ -167,41 +193,55 @@ def reg_line(df: DataFrame, x: str, y: str) -> DataFrame:
                   F.regr_count(_x(y), _x(x)).alias("n"))
 
 
-# Poisson(1) cumulative probabilities for k = 0..9 (bootstrap weights).
-POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-                0.9999988747974149, 0.9999998885745217]
+def poisson1_cdf() -> list[float]:
+    """P(X <= k) of the Poisson distribution with mean 1, up to where it is 1 in double precision."""
+    out, term, k = [], math.exp(-1.0), 0
+    while not out or out[-1] < 1.0 and term > 0:
+        out.append((out[-1] if out else 0.0) + term)
+        k += 1
+        term /= k
+        if len(out) > 1 and out[-1] == out[-2]:
+            break
+    return out
 
 
-def _uniform(key: Column, b: Column, seed: int) -> Column:
-    h = F.xxhash64(key, b, F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 53)).cast("double")) / F.lit(float(1 << 53))
+BAND_BUCKETS = 1000
 
 
-def reg_band(df: DataFrame, x: str, y: str, key: str, n_boot: int = 1000, points: int = 100,
-             level: float = 0.95, seed: int = 42) -> DataFrame:
-    """G9 band: Poisson bootstrap of the OLS line, hash-seeded per (row key, draw).
+def _draw_uniform(*parts: Column) -> Column:
+    """A number in [0, 1) from the first 13 hex digits of an md5 (the same in other engines)."""
+    digest = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)
+    return F.conv(digest, 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
-    Every row carries a Poisson(1) weight per draw (a fixed n_boot-fold generator,
-    partially aggregated per task), giving n_boot weighted fits; the band is the
-    (1 - level)/2 and (1 + level)/2 quantiles of the fitted values on a grid.
+
+def reg_band(df: DataFrame, x: str, y: str, key: str, n_boot: int = 1000, points: int = 100,
+             level: float = 0.95, seed: int = 42, buckets: int = BAND_BUCKETS) -> DataFrame:
+    """G9 band: Poisson bootstrap of the OLS line over hash buckets of rows.
+
+    One pass sums the rows into ``buckets`` buckets by a hash of the key (n, x, y, xx, xy).  Every
+    draw gives each bucket a Poisson(1) weight (a block bootstrap: rows of a bucket are drawn
+    together; with hashed buckets the blocks are random), so the work of the draws depends on
+    ``buckets`` and ``n_boot`` alone.  The band is the (1 - level)/2 and (1 + level)/2 quantiles of
+    the fitted values on a grid.
     """
-    lo, hi, _ = min_max(df, x)
     base = df.select(F.col(key).alias("_k"), _x(x).alias("_x"), _x(y).alias("_y")) \
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    draws = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("draw"))
-    u = _uniform(F.col("_k"), F.col("draw"), seed)
-    w = F.lit(len(POISSON1_CDF))
-    for k in reversed(range(len(POISSON1_CDF))):
-        w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
-    draws = draws.withColumn("_w", w.cast("double"))
-    fits = draws.groupBy("draw").agg(
-        F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_x")).alias("sx"),
-        F.sum(F.col("_w") * F.col("_y")).alias("sy"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("sxx"),
-        F.sum(F.col("_w") * F.col("_x") * F.col("_y")).alias("sxy"))
-    slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / \
-        (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    fits = fits.select("draw", slope.alias("b1"), ((F.col("sy") - slope * F.col("sx")) / F.col("sw")).alias("b0"))
+    lo, hi, _ = min_max(base, "_x")
+    if lo is None:
+        return df.sparkSession.createDataFrame([], "point int, x double, band_lo double, band_hi double")
+    sums = base.groupBy(hash_bucket("_k", buckets, seed).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_x").alias("x"), F.sum("_y").alias("y"),
+        F.sum(F.col("_x") * F.col("_x")).alias("xx"), F.sum(F.col("_x") * F.col("_y")).alias("xy"))
+    draws = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("draw"))
+    u = _draw_uniform(F.lit(seed), F.col("bucket"), F.col("draw"))
+    cdf = poisson1_cdf()
+    weight = F.lit(len(cdf))
+    for k in reversed(range(len(cdf))):
+        weight = F.when(F.col("_u") < F.lit(cdf[k]), F.lit(k)).otherwise(weight)
+    fits = draws.withColumn("_u", u).withColumn("_w", weight.cast("double")).groupBy("draw").agg(
+        *[F.sum(F.col("_w") * F.col(c)).alias(f"s{c}") for c in ("n", "x", "y", "xx", "xy")])
+    slope = (F.col("sn") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sn") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    fits = fits.select("draw", slope.alias("b1"), ((F.col("sy") - slope * F.col("sx")) / F.col("sn")).alias("b0"))
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     # n_boot x points rows: bounded by the parameters, so the exact percentile holds n_boot values per point.
@@ -233,7 +273,10 @@ def geo_grid(df: DataFrame, x: str, y: str, cell: float, value: str = "price",
         F.floor(_x(y) / F.lit(cell)).alias("cell_y"), _x(value).alias("_v"))
     agg = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.avg("_v").alias("mean"))
     med = exact_quantiles(cells, "_v", {"median": 0.5}, by=keys)
-    return agg.join(med, keys, "left")
+    # Left: cells without a value have no median.  Null-safe: rows without a level are a group too.
+    renamed = med.select(*[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(keys)], "median")
+    same = reduce(lambda a, b: a & b, [F.col(quoted(k)).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return agg.join(renamed, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def residual_profile(df: DataFrame, label: str, prediction: str = "prediction", bins: int = 50) -> DataFrame:

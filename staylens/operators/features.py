@@ -2,8 +2,8 @@
 
 Learned statistics (levels, medians, modes, means, spreads) come from one
 aggregate over the training rows; applying them is a projection.  Level lists
-are model state: they are collected (bounded by ``max_levels``) like the
-labels of a StringIndexerModel.
+are model state: they are collected like the labels of a StringIndexerModel
+where each level becomes a column, and stay a table in ``one_hot_sparse``.
 """
 
 from __future__ import annotations
@@ -12,31 +12,29 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import (OneHotEncoder, PCA, StandardScaler, StringIndexer,
-                                VectorAssembler, Imputer)
+import pyarrow as pa
+from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staylens.functions.scalar import quoted, x_of
 from staylens.functions.stats import exact_quantiles
 from staylens.operators.params import Persistable
+from staylens.session import ship_package
 
-MAX_LEVELS = 10000
 
-
-def _levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted non-null levels of a categorical column (a bounded model statistic)."""
-    rows = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{col}: more than {max_levels} levels; use the vector encoder")
-    return [r[0] for r in rows]
+def _levels(df: DataFrame, col: str) -> list:
+    """Sorted non-null levels of a categorical column, one output column each (see ``one_hot_sparse`` for many)."""
+    c = F.col(quoted(col))
+    return [r[0] for r in df.where(c.isNotNull()).select(c.alias("v")).distinct().orderBy("v").collect()]
 
 
 def _stack(df: DataFrame, cols: Sequence[str], key: str = "_col", value: str = "_val") -> DataFrame:
     """Long format (column name, value as double) of several numeric columns."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("k"), x_of(c).alias("v")) for c in cols])
     return df.select(F.explode(pairs).alias("_p")).select(F.col("_p.k").alias(key), F.col("_p.v").alias(value))
 
 
@@ -86,7 +84,7 @@ class OneHotColumnsModel(Model, _OneHotParams, Persistable):
         for c in self.getOrDefault("inputCols"):
             lv = self.getOrDefault("levels")[c]
             for v in (lv[1:] if drop else lv):
-                new[f"{c}_{v}"] = F.when(F.col(c).cast("string") == F.lit(v), F.lit(1)).otherwise(F.lit(0))
+                new[f"{c}_{v}"] = F.when(F.col(quoted(c)).cast("string") == F.lit(v), F.lit(1)).otherwise(F.lit(0))
         return df.withColumns(new).drop(*self.getOrDefault("inputCols"))
 
 
@@ -110,9 +108,44 @@ def one_hot_vector(cols: Sequence[str], drop_first: bool = True, keep_unknown: b
     return [idx, enc]
 
 
+def level_index(df: DataFrame, col: str) -> DataFrame:
+    """(level, idx): the sorted non-null levels numbered from 0, as a distributed table."""
+    c = F.col(quoted(col)).cast("string")
+    levels = df.where(c.isNotNull()).select(c.alias("level")).distinct().orderBy("level")
+    numbered = levels.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1]))
+    return df.sparkSession.createDataFrame(numbered, "level string, idx long")
+
+
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], drop_first: bool = True, train: DataFrame | None = None) -> DataFrame:
+    """C1/C2 for any number of levels: ``<col>_vec`` as a sparse vector with one slot per level of
+    ``train`` (default: ``df``).  Unseen and null levels, and the first one if dropped, are all zeros.
+
+    The levels stay a table that is joined, so neither the driver nor the plan grows with them;
+    only their number is collected."""
+    for c in cols:
+        index = level_index(df if train is None else train, c).persist()
+        size = index.count()
+        at = F.col("idx") - 1 if drop_first else F.col("idx")
+        slots = max(size - 1 if drop_first else size, 1)
+        # The encoder's dropped last slot takes the rows that are to be all zeros.
+        joined = (df.join(index.select("level", at.alias("_at")), F.col(quoted(c)).cast("string") == F.col("level"), "left")
+                  .withColumn("_at", F.when(F.col("_at") >= 0, F.col("_at")).otherwise(slots).cast("double")).drop("level"))
+        sizes = df.sparkSession.createDataFrame([(float(slots),)], "_at double")
+        encoder = OneHotEncoder(inputCols=["_at"], outputCols=[f"{c}_vec"], dropLast=True).fit(sizes)
+        df = encoder.transform(joined).drop("_at")
+        index.unpersist()
+    return df
+
+
 # ----------------------------------------------------------------------------- C3-C5
 
 
+def _value(col: str, kind: str) -> Column:
+    """A column with NaN as NULL."""
+    c = F.col(quoted(col))
+    return F.when(~F.isnan(c), c) if kind in ("double", "float") else c
+
+
 class _ImputeParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "columns to impute")
     strategy = Param(Params._dummy(), "strategy", "median | mode | mean")
@@ -124,7 +157,8 @@ class ExactImputer(Estimator, _ImputeParams, Persistable):
     """C3 (exact median), C4 (mode, ties to smallest), C5 (mean) in one fit.
 
     Medians: one distributed exact-quantile plan over the stacked columns.
-    Modes: one grouped count over (column, value) + min_by.  Means: one agg.
+    Modes: one grouped count over (column, value).  Means: one agg.  NaN counts as
+    missing, in the statistics and in the rows to fill.
     """
 
     def __init__(self, inputCols: Sequence[str] = (), strategy: str = "median", suffix: str = ""):
@@ -135,19 +169,23 @@ class ExactImputer(Estimator, _ImputeParams, Persistable):
         cols = list(self.getOrDefault("inputCols"))
         strategy = self.getOrDefault("strategy")
         if strategy == "mean":
-            row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in cols]).first()
-            values = {c: row[c] for c in cols}
+            row = df.agg(*[F.avg(x_of(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+            values = {c: row[f"m{i}"] for i, c in enumerate(cols)}
         elif strategy == "median":
             st = _stack(df, cols)
             rows = exact_quantiles(st, "_val", {"m": 0.5}, by=["_col"]).collect()
             values = {r["_col"]: r["m"] for r in rows}
         elif strategy == "mode":
-            values = {}
-            for c in cols:  # one small job per column: modes of text columns keep their type
-                counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-                row = counts.agg(F.min_by(F.col(c), F.struct((-F.col("n")).alias("a"), F.col(c).alias("b")))
-                                 .alias("m")).first()
-                values[c] = None if row is None else row["m"]
+            # One plan for all columns: each value goes along as text (to count and order by) in a struct
+            # with a slot per column, so that it keeps its type.
+            kinds = dict(df.dtypes)
+            slots = [F.struct(F.lit(i).alias("i"), *[(_value(c, kinds[c]) if i == j else F.lit(None).cast(kinds[c])).alias(f"v{j}")
+                                                    for j, c in enumerate(cols)]) for i in range(len(cols))]
+            names = [f"v{j}" for j in range(len(cols))]
+            counts = (df.select(F.inline(F.array(*slots))).where(F.coalesce(*[F.col(v).cast("string") for v in names]).isNotNull())
+                      .groupBy("i", *names).agg(F.count(F.lit(1)).alias("n")))
+            best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), *names)).alias("m")).collect()
+            values = {cols[r["i"]]: r["m"][f"v{r['i']}"] for r in best}
         else:
             raise ValueError(strategy)
         return ExactImputerModel(cols, strategy, self.getOrDefault("suffix"), values)
@@ -161,12 +199,10 @@ class ExactImputerModel(Model, _ImputeParams, Persistable):
     def _transform(self, df: DataFrame) -> DataFrame:
         vals = self.getOrDefault("values")
         sfx = self.getOrDefault("suffix")
-        out = {}
+        out, kinds = {}, dict(df.dtypes)
         for c in self.getOrDefault("inputCols"):
             v = vals.get(c)
-            src = F.col(f"`{c}`")
-            if self.getOrDefault("strategy") in ("median", "mean"):
-                src = src.cast("double")
+            src = x_of(c) if self.getOrDefault("strategy") in ("median", "mean") else _value(c, kinds[c])
             out[c + sfx] = src if v is None else F.coalesce(src, F.lit(v))
         return df.withColumns(out)
 
@@ -176,11 +212,6 @@ def impute_mean(df: DataFrame, cols: Sequence[str], suffix: str = "_imputed") ->
     return ExactImputer(cols, "mean", suffix).fit(df).transform(df)
 
 
-def mllib_mean_imputer(cols: Sequence[str], suffix: str = "_imputed") -> Imputer:
-    """C5 as one MLlib Imputer stage (cast integer columns to double first)."""
-    return Imputer(inputCols=list(cols), outputCols=[c + suffix for c in cols], strategy="mean")
-
-
 # ----------------------------------------------------------------------------- C6 / C7
 
 
@@ -205,7 +236,7 @@ class ColumnScaler(Estimator, _ScalerParams, Persistable):
         sd = F.stddev_pop if self.getOrDefault("ddof") == 0 else F.stddev_samp
         aggs = []
         for i, c in enumerate(cols):
-            x = F.col(f"`{c}`").cast("double")
+            x = x_of(c)
             aggs += [F.avg(x).alias(f"m{i}"), sd(x).alias(f"s{i}")]
         row = df.agg(*aggs).first()
         stats = {c: [row[f"m{i}"], row[f"s{i}"]] for i, c in enumerate(cols)}
@@ -223,7 +254,7 @@ class ColumnScalerModel(Model, _ScalerParams, Persistable):
         out = {}
         for c in self.getOrDefault("inputCols"):
             mean, sd = self.getOrDefault("stats")[c]
-            x = F.col(f"`{c}`").cast("double")
+            x = x_of(c)
             if self.getOrDefault("withMean"):
                 div = sd if (sd is not None and sd > 0 and not math.isnan(sd)) else 1.0
                 out[c + self.getOrDefault("suffix")] = (x - F.lit(mean)) / F.lit(div)
@@ -248,8 +279,11 @@ def spark_standard_scaler(input_col: str = "features", output_col: str = "scaled
 def assemble_features(df: DataFrame, cols: Sequence[str], out: str = "features",
                       invalid: str = "error") -> DataFrame:
     """numeric/boolean columns into one vector (``invalid='keep'`` lets NaN/null through)."""
-    cast = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols})
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid=invalid).transform(cast)
+    cast = df.withColumns({c: F.col(quoted(c)).cast("double") for c in cols})
+    # The assembler can't take names with dots or backticks.
+    plain = [f"_f{i}" for i in range(len(cols))]
+    cast = cast.withColumns({p: F.col(quoted(c)) for p, c in zip(plain, cols)})
+    return VectorAssembler(inputCols=plain, outputCol=out, handleInvalid=invalid).transform(cast).drop(*plain)
 
 
 def explode_vector(df: DataFrame, key: str, vec: str, idx: str = "idx", value: str = "value") -> DataFrame:
@@ -282,7 +316,7 @@ def pca_project(df: DataFrame, cols: Sequence[str], loadings: np.ndarray, names=
     for j, name in enumerate(names):
         e = None
         for i, c in enumerate(cols):
-            t = F.col(f"`{c}`").cast("double") * F.lit(float(loadings[i, j]))
+            t = F.col(quoted(c)).cast("double") * F.lit(float(loadings[i, j]))
             e = t if e is None else e + t
         out[name] = e
     return df.withColumns(out)
@@ -298,32 +332,57 @@ def pca_2d(df: DataFrame, cols: Sequence[str], names=("pc1", "pc2")) -> DataFram
 # ----------------------------------------------------------------------------- C10 / C11
 
 
-def column_pipeline(numeric: Sequence[str], categorical: Sequence[str], out: str = "features") -> Pipeline:
-    """Numeric -> median impute -> assemble -> scale; categorical -> index (keep) -> one-hot;
-    everything else is dropped by the final assembler."""
-    num_imp = [f"{c}_imp" for c in numeric]
-    stages = [Imputer(inputCols=list(numeric), outputCols=num_imp, strategy="median"),
-              VectorAssembler(inputCols=num_imp, outputCol="_num_vec", handleInvalid="keep"),
-              StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True)]
-    stages += one_hot_vector(categorical, drop_first=False, keep_unknown=True)
-    stages.append(VectorAssembler(inputCols=["_num_scaled"] + [f"{c}_vec" for c in categorical], outputCol=out))
-    return Pipeline(stages=stages)
+class ColumnPipeline:
+    """Numeric columns -> exact median -> (x - mean) / population spread; categorical columns ->
+    mode -> one 0/1 column per level of the training rows (unseen levels: all zeros); all other
+    columns are dropped by the assembled vector."""
+
+    def __init__(self, numeric: Sequence[str], categorical: Sequence[str]):
+        self.numeric, self.categorical = list(numeric), list(categorical)
+
+    def fit(self, df: DataFrame) -> "ColumnPipeline":
+        self.stages, self.features = [], list(self.numeric)
+        if self.numeric:
+            self._add(ExactImputer(self.numeric, "median"), df)
+            self._add(scaler_pop(self.numeric), df)
+        if self.categorical:
+            self._add(ExactImputer(self.categorical, "mode"), df)
+            encoder = self._add(OneHotColumns(self.categorical, dropFirst=False), df)
+            self.features += encoder.new_columns()
+        return self
+
+    def _add(self, estimator, df: DataFrame):
+        for stage in self.stages:
+            df = stage.transform(df)
+        self.stages.append(estimator.fit(df))
+        return self.stages[-1]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the feature columns in place of the ones they come from."""
+        for stage in self.stages:
+            df = stage.transform(df)
+        return df
+
+    def vectors(self, df: DataFrame, out: str = "features") -> DataFrame:
+        return assemble_features(self.transform(df), self.features, out)
 
 
 def gramian(df: DataFrame, cols: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
     """Sufficient statistics of least squares in one aggregate: n, sums, cross products.
 
-    Output columns: n, s_<i>, s_y, p_<i>_<j> (i <= j), py_<i>, yy.  Partial
-    aggregation makes this one small row per task before the shuffle.
+    Output columns: n, s_<i>, s_y, p_<i>_<j> (i <= j), py_<i>, yy, over the rows that have a
+    value in every column.  Partial aggregation makes this one small row per task before the shuffle.
     """
-    xs = [F.col(f"`{c}`").cast("double") for c in cols]
-    y = F.col(f"`{label}`").cast("double")
+    xs = [x_of(c) for c in cols]
+    y = x_of(label)
+    for x in [*xs, y]:
+        df = df.where(x.isNotNull())
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("s_y"), F.sum(y * y).alias("yy")]
     for i, x in enumerate(xs):
         aggs += [F.sum(x).alias(f"s_{i}"), F.sum(x * y).alias(f"py_{i}")]
         for j in range(i, len(xs)):
             aggs.append(F.sum(x * xs[j]).alias(f"p_{i}_{j}"))
-    return df.groupBy(*by).agg(*aggs)
+    return df.groupBy(*[quoted(c) for c in by]).agg(*aggs)
 
 
 def normal_equations(row, d: int):
@@ -350,32 +409,41 @@ def solve_ols(a: np.ndarray, b: np.ndarray, active: Sequence[int] | None = None)
     return full
 
 
-CODEGEN_SUMS_PER_PASS = 90  # stays under whole-stage codegen's 100-field limit
+def gramian_rows(df: DataFrame, cols: Sequence[str], label: str, by: str | None = None) -> DataFrame:
+    """(by, i, cells) of Z'Z for Z = [1, x_1..x_d, y] over the complete rows: row i of the matrix.
+
+    One pass: every task multiplies its batches and sends one row of cells per matrix row (and value
+    of ``by``); these are summed cell by cell."""
+    ship_package(df.sparkSession)
+    d = len(cols) + 2
+    xs = [x_of(c) for c in [*cols, label]]
+    kind = dict(df.dtypes)[by] if by else "int"
+    key = F.col(quoted(by)) if by else F.lit(0)
+    data = df.select(key.alias("key"), F.array(*xs).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+
+    def run(batches):
+        total: dict = {}
+        for b in batches:
+            z = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d - 1)
+            z = np.hstack([np.ones((b.num_rows, 1)), z])
+            keys = np.array(b.column(0).to_pylist(), dtype=object)
+            for k in set(keys.tolist()):
+                part = z if not by else z[[x == k for x in keys]]
+                total[k] = total.get(k, 0.0) + part.T @ part
+        for k, g in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * d, b.schema.field(0).type), pa.array(range(d), pa.int32()),
+                                              pa.array(g.tolist(), pa.list_(pa.float64()))], ["key", "i", "cells"])
+
+    rows = data.mapInArrow(run, f"key {kind}, i int, cells array<double>")
+    cells = rows.select("key", "i", F.posexplode("cells").alias("j", "v")).groupBy("key", "i", "j").agg(F.sum("v").alias("v"))
+    return cells.groupBy("key", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("cells"))
 
 
 def gramian_matrix(df: DataFrame, cols: Sequence[str], label: str) -> np.ndarray:
-    """Z'Z for Z = [1, x_1..x_d, y] over the complete rows.
-
-    The (d+2)(d+3)/2 distinct cells are sums of products.  One aggregate with all of
-    them would be too wide for whole-stage codegen once d reaches a dozen or so, so
-    the projected doubles are materialised once (checkpoint + cache) and the cells
-    are summed in passes of at most CODEGEN_SUMS_PER_PASS codegen'd sums each.
-    """
-    from staylens.session import materialize, wide_projection_mode
-    d = len(cols)
-    names = [f"_g{i}" for i in range(d)] + ["_gy"]
-    sel = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(list(cols) + [label], names)]).dropna()
-    z = [F.lit(1.0)] + [F.col(n) for n in names]
-    cells = [(i, j) for i in range(d + 2) for j in range(i, d + 2)]
-    if len(cells) > CODEGEN_SUMS_PER_PASS:
-        sel = materialize(sel)
-    g = np.zeros((d + 2, d + 2))
-    for start in range(0, len(cells), CODEGEN_SUMS_PER_PASS):
-        chunk = cells[start:start + CODEGEN_SUMS_PER_PASS]
-        with wide_projection_mode(sel.sparkSession):
-            row = sel.agg(*[F.sum(z[i] * z[j]).alias(f"c{k}") for k, (i, j) in enumerate(chunk)]).first()
-        for k, (i, j) in enumerate(chunk):
-            g[i, j] = g[j, i] = row[f"c{k}"] or 0.0
+    """Z'Z for Z = [1, x_1..x_d, y] over the complete rows, from one pass."""
+    g = np.zeros((len(cols) + 2, len(cols) + 2))
+    for r in gramian_rows(df, cols, label).collect():
+        g[r["i"]] = r["cells"]
     return g
 
 
@@ -395,7 +463,7 @@ def standardized_gramian(g: np.ndarray) -> np.ndarray:
 def rfe_select(df: DataFrame, features: Sequence[str], label: str, n: int = 5, standardize: bool = True):
     """C11: recursive feature elimination, one feature at a time by squared OLS coefficient.
 
-    One distributed Gramian pass (standardisation is applied to the Gramian
+    One distributed Gramian pass (``standardize``: features on one scale; standardisation is applied to the Gramian
     algebraically, so no extra pass scales the rows); every elimination step
     solves only the d x d system.  Returns a
     list of (feature, ranking, selected) tuples, ranking 1 = kept.

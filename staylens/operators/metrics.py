@@ -49,14 +49,6 @@ def cv_summary(scores: DataFrame, score: str = "score", by: Sequence[str] = ())
                                    F.count(F.lit(1)).alias("folds"))
 
 
-def best_of_grid(summary: DataFrame, key: str = "grid_point", metric: str = "cv_mean",
-                 lower_is_better: bool = True) -> DataFrame:
-    """the best grid point of a CV summary."""
-    pick = F.min_by if lower_is_better else F.max_by
-    return summary.agg(pick(key, F.col(metric)).alias(f"best_{key}"),
-                       (F.min if lower_is_better else F.max)(metric).alias(f"best_{metric}"))
-
-
 def segment_metrics(scored: DataFrame, ids: DataFrame, label: str, segment: str,
                     prediction: str = "prediction") -> DataFrame:
     """one row per segment id (all ids, also empty ones -> null metrics)."""

@@ -13,15 +13,22 @@ import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from staylens.operators.features import assemble_features, gramian, normal_equations, solve_ols
-from staylens.session import materialize, wide_projection_mode
+from staylens.functions.scalar import quoted, x_of
+from staylens.operators.features import (ColumnPipeline, assemble_features, gramian, gramian_matrix, normal_equations,
+                                         rfe_select, scaler_pop, solve_ols)
+from staylens.session import FIT_PARTITIONS, default_parallelism, materialize, scratch_path, ship_package, wide_projection_mode
+from staylens.sources.readers import path_exists
 
 
 def ols_fit(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.0, elastic: float = 0.0):
@@ -33,6 +40,32 @@ def ols_fit(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.0
         return lr.fit(data)
 
 
+class ClosedFormOLS:
+    """OLS over the complete rows from one Gramian pass over standardised features.
+
+    Collinear features share their weight (minimum norm of the standardised system), where an
+    iterative solver would stop somewhere along the valley."""
+
+    def __init__(self, features: Sequence[str], label: str):
+        self.features, self.label = list(features), label
+
+    def fit(self, df: DataFrame) -> "ClosedFormOLS":
+        df = df.where(reduce(lambda a, b: a & b, [x_of(c).isNotNull() for c in [*self.features, self.label]]))
+        self.scaler = scaler_pop(self.features).fit(df)
+        g = gramian_matrix(self.scaler.transform(df), self.features, self.label)
+        n = g[0, 0]
+        self.intercept, *self.coefficients = (
+            float(c) for c in np.linalg.pinv(g[:-1, :-1] / n, rcond=1e-10, hermitian=True) @ (g[:-1, -1] / n))
+        return self
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        e = F.lit(self.intercept)
+        for c, w in zip(self.features, self.coefficients):
+            mean, sd = self.scaler.getOrDefault("stats")[c]
+            e = e + (x_of(c) - F.lit(mean)) * F.lit(w / (sd if sd and sd > 0 else 1.0))
+        return df.withColumn(out, e)
+
+
 def score(model, df: DataFrame, features: Sequence[str], out: str = "prediction") -> DataFrame:
     """Predictions of a fitted model on (held-out) rows."""
     data = assemble_features(df, features, "features", invalid="keep")
@@ -40,13 +73,6 @@ def score(model, df: DataFrame, features: Sequence[str], out: str = "prediction"
     return pred if out == "prediction" else pred.withColumnRenamed("prediction", out)
 
 
-def linear_prediction(coef: Sequence[float], intercept: float, features: Sequence[str]):
-    e = F.lit(float(intercept))
-    for c, w in zip(features, coef):
-        e = e + F.col(f"`{c}`").cast("double") * F.lit(float(w))
-    return e
-
-
 def coefficient_map(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
     """(feature, coefficient) rows plus the intercept."""
     rows = [(n, float(c)) for n, c in zip(names, model.coefficients.toArray())]
@@ -100,36 +126,78 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, **kw):
         return gbt_regressor(label, **kw).fit(data)
 
 
+class LinearPipeline:
+    """Preprocessing (``ColumnPipeline``), recursive elimination to ``n`` features, and OLS on them."""
+
+    def __init__(self, numeric: Sequence[str], categorical: Sequence[str], label: str, n: int = 5):
+        self.pipeline, self.label, self.n = ColumnPipeline(numeric, categorical), label, n
+
+    def fit(self, df: DataFrame) -> "LinearPipeline":
+        df = df.where(x_of(self.label).isNotNull())
+        self.pipeline.fit(df)
+        data = self.pipeline.transform(df)
+        with wide_projection_mode(df.sparkSession):
+            ranked = rfe_select(data, self.pipeline.features, self.label, self.n, standardize=False)
+            self.chosen = [f for f, _, keep in ranked if keep]
+            self.ols = ClosedFormOLS(self.chosen, self.label).fit(data)
+        return self
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        return self.ols.transform(self.pipeline.transform(df), out)
+
+
+def pipeline_cv(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, fold: str = "fold",
+                n: int = 5, parallelism: int = 5) -> DataFrame:
+    """D3: (fold, r2, n, features) of the linear pipeline, every statistic of it learned without the fold.
+
+    Folds are as many as the caller asked for; their fits overlap in a thread pool."""
+    from staylens.operators.metrics import regression_metrics
+    spark = df.sparkSession
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)
+
+    def run(f):
+        model = LinearPipeline(numeric, categorical, label, n).fit(df.where(F.col(fold) != F.lit(f)))
+        with wide_projection_mode(spark):
+            m = regression_metrics(model.transform(df.where(F.col(fold) == F.lit(f))), label).first()
+        return int(f), m["r2"], int(m["samples"]), model.chosen
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds) or 1))) as pool:
+        rows = list(pool.map(run, folds))
+    return spark.createDataFrame(rows, "fold int, r2 double, n long, features array<string>")
+
+
 # ----------------------------------------------------------------------------- segments
 
 
 def segment_ols(df: DataFrame, features: Sequence[str], label: str, segment: str) -> DataFrame:
     """E3 (lambda = 0): OLS of every segment from one grouped Gramian aggregate.
 
-    The Gramian table has one row per segment; the d x d solves run in
-    ``applyInPandas`` over that small table, so no segment's rows are gathered.
+    The Gramian table has one row per segment, of the rows with a value in every
+    column; the d x d solves run over that table where it lies.
     Output: segment, n, intercept, coef_<feature>.
     """
     d = len(features)
-    gram = gramian(df.where(F.col(label).isNotNull()), features, label, by=[segment])
-    out_schema = f"`{segment}` {df.schema[segment].dataType.simpleString()}, n long, intercept double, " + \
-        ", ".join(f"`coef_{c}` double" for c in features)
+    ship_package(df.sparkSession)
+    gram = gramian(df, features, label, by=[segment])
+    out_schema = f"{quoted(segment)} {df.schema[segment].dataType.simpleString()}, n long, intercept double, " + \
+        ", ".join(f"{quoted('coef_' + c)} double" for c in features)
 
-    def solve(pdf):
+    def solve(parts):
         import pandas as pd
-        rows = []
-        for _, r in pdf.iterrows():
-            a, b = normal_equations(r, d)
-            coef = solve_ols(a, b)
-            rows.append([r[segment], int(r["n"]), float(coef[0])] + [float(x) for x in coef[1:]])
-        return pd.DataFrame(rows, columns=[segment, "n", "intercept"] + [f"coef_{c}" for c in features])
+        for pdf in parts:
+            rows = []
+            for r in pdf.to_dict("records"):
+                coef = solve_ols(*normal_equations(r, d))
+                rows.append([r[segment], int(r["n"]), *map(float, coef)])
+            yield pd.DataFrame(rows, columns=[segment, "n", "intercept"] + [f"coef_{c}" for c in features])
 
-    return gram.groupBy(segment).applyInPandas(solve, out_schema)
+    return gram.mapInPandas(solve, out_schema)
 
 
 @dataclass
 class SegmentSpec:
-    """Per-segment modelling configuration (fields follow the reference's config)."""
+    """Per-segment modelling configuration."""
+    # Field names and defaults of the configuration users bring along.
     cluster_col: str = "cluster"
     target_col: str = "minimum_nights"
     min_cluster_size: int = 20
@@ -148,74 +216,108 @@ class SegmentSpec:
         return list(self.numeric_cols) + list(self.categorical_cols)
 
 
-def _segment_ids(df: DataFrame, spec: SegmentSpec) -> list:
-    from staylens.operators.cleaning import min_segment_size
-    from staylens.operators.clustering import MAX_CLUSTERS
-    rows = min_segment_size(df, spec.cluster_col, spec.min_cluster_size).where("keep") \
-        .orderBy(spec.cluster_col).limit(MAX_CLUSTERS + 1).collect()
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} segments to model one by one")
-    return [r[spec.cluster_col] for r in rows]
+SEGMENT_SCHEMA = ("cluster string, model_type string, status string, error string, rmse double, r2 double, mae double, "
+                  "samples long, n_features int, params map<string,string>, weights map<string,double>")
+
+
+def _segment_row(seg, mtype, status, error=None, m=None, feats=(), model=None) -> tuple:
+    weights = None
+    if model is not None:
+        values = model.coefficients if mtype == "linear" else model.featureImportances
+        weights = {c: float(v) for c, v in zip(feats, values.toArray())}
+        if mtype == "linear":
+            weights["intercept"] = float(model.intercept)
+    params = {p.name: str(v) for p, v in model.extractParamMap().items()} if model is not None else None
+    scores = (m["rmse"], m["r2"], m["mae"], int(m["samples"])) if m is not None else (None, None, None, None)
+    return (None if seg is None else str(seg), mtype, status, error, *scores, len(feats), params, weights)
 
 
 def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True):
     """E3/E4 with D5: per-segment linear (elastic net) and forest, cross-validated.
 
-    Segments below ``min_cluster_size`` are skipped by one grouped count.  Every
-    segment gets a stable hash split (key) into train/test; the fits run from a
-    bounded thread pool.  Returns (metrics rows, models).
+    The labelled table is written once, partitioned by segment, and every fit reads its own
+    segment's files.  Each segment gets a stable hash split (key) into train/test; the fits run
+    from a bounded thread pool.  Returns (rows, models): one row per segment and model type with
+    metrics on the test rows, fitted parameters and coefficients or importances; a segment below
+    ``min_cluster_size`` has status 'skipped', one whose fit fails 'failed' with the error.
     """
     from staylens.operators.splits import cross_validator, hash_split, kfold
     from staylens.operators.metrics import regression_metrics
 
     spark = df.sparkSession
     feats = spec.features
-    data = assemble_features(df.where(F.col(spec.target_col).isNotNull()), feats, "features")
+    data = df.where(x_of(spec.target_col).isNotNull() & F.col(quoted(spec.cluster_col)).isNotNull())
     data = hash_split(data, key, 0.2, spec.seed)
-    data = kfold(data, key, spec.cv_folds, spec.seed + 1, "fold")
-    data = materialize(data.select(spec.cluster_col, "features", spec.target_col, "split", "fold"))
-    ids = _segment_ids(data, spec)
+    data = kfold(data, key, spec.cv_folds, spec.seed + 1, "_fold")
+    data = data.select(F.col(quoted(spec.cluster_col)).alias("_segment"), *[x_of(c).alias(f"_x{i}") for i, c in enumerate(feats)],
+                       x_of(spec.target_col).alias("_y"), "split", F.col("_fold").cast("int").alias("_fold"))
+    plain = [f"_x{i}" for i in range(len(feats))]
+    path = scratch_path(spark, "segments")
+    with wide_projection_mode(spark):
+        data.write.partitionBy("_segment").parquet(path)
+    kind = df.schema[spec.cluster_col].dataType
+    table = spark.read.schema(T.StructType([f for f in data.schema.fields if f.name != "_segment"]
+                                           + [T.StructField("_segment", kind)])).parquet(path)
+    # One row per segment: the models that follow are as many.
+    sizes = {r["_segment"]: r["n"] for r in table.groupBy("_segment").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def run(task):
         seg, mtype = task
-        part = data.where(F.col(spec.cluster_col) == F.lit(seg))
-        train, test = part.where("split = 'train'"), part.where("split = 'test'")
-        if mtype == "linear":
-            # The normal-equation solver takes one distributed pass (Gramian) and solves the
-            # elastic-net problem on the d x d system locally; same optimum as L-BFGS/OWL-QN.
-            est = LinearRegression(featuresCol="features", labelCol=spec.target_col, elasticNetParam=0.5,
-                                   solver="normal")
-            grid = spec.linear_grid
-        else:
-            est = rf_regressor(spec.target_col, numTrees=50, maxDepth=5, seed=spec.seed)
-            grid = spec.rf_grid
-        if tune:
-            model = cross_validator(est, grid, spec.target_col, spec.cv_folds, spec.seed,
-                                    fold_col="fold", parallelism=3).fit(train.drop("split")).bestModel
-        else:
-            model = est.fit(train)
-        m = regression_metrics(model.transform(test), spec.target_col).first()
-        return seg, mtype, model, m
-
-    tasks = [(s, m) for s in ids for m in spec.model_types]
+        if sizes[seg] < spec.min_cluster_size:
+            return _segment_row(seg, mtype, "skipped", f"{sizes[seg]} rows, fewer than {spec.min_cluster_size}"), None
+        part = VectorAssembler(inputCols=plain, outputCol="features", handleInvalid="error").transform(
+            table.where(F.col("_segment") == F.lit(seg))).select("features", "_y", "split", "_fold").coalesce(
+                int(spark.conf.get(FIT_PARTITIONS, str(default_parallelism(spark))))).persist()
+        try:
+            train, test = part.where("split = 'train'"), part.where("split = 'test'")
+            if mtype == "linear":
+                # The normal-equation solver takes one distributed pass (Gramian) and solves the
+                # elastic-net problem on the d x d system locally; same optimum as L-BFGS/OWL-QN.
+                est = LinearRegression(featuresCol="features", labelCol="_y", elasticNetParam=0.5, solver="normal")
+                grid = spec.linear_grid
+            else:
+                est = rf_regressor("_y", numTrees=50, maxDepth=5, seed=spec.seed)
+                grid = spec.rf_grid
+            if tune:
+                model = cross_validator(est, grid, "_y", spec.cv_folds, spec.seed,
+                                        fold_col="_fold", parallelism=3).fit(train.drop("split")).bestModel
+            else:
+                model = est.fit(train)
+            m = regression_metrics(model.transform(test), "_y").first()
+            return _segment_row(seg, mtype, "ok", None, m, feats, model), model
+        except Exception as e:  # noqa: BLE001  one segment's failure is its row, not the end of the others
+            return _segment_row(seg, mtype, "failed", f"{type(e).__name__}: {str(e)[:500]}", feats=feats), None
+        finally:
+            part.unpersist()
+
+    tasks = [(s, m) for s in sorted(sizes, key=str) for m in spec.model_types]
     with ThreadPoolExecutor(max_workers=max(1, spec.parallelism)) as pool:
         results = list(pool.map(run, tasks))
-    rows, models = [], {}
-    for seg, mtype, model, m in results:
-        rows.append((str(seg), mtype, m["rmse"], m["r2"], m["mae"], int(m["samples"]), len(feats)))
-        models[(seg, mtype)] = model
-    metrics = spark.createDataFrame(rows, "cluster string, model_type string, rmse double, r2 double, "
-                                          "mae double, samples long, n_features int")
-    return metrics, models
+    models = {task: model for task, (_, model) in zip(tasks, results) if model is not None}
+    return spark.createDataFrame([row for row, _ in results], SEGMENT_SCHEMA), models
 
 
 # ----------------------------------------------------------------------------- model store
 
 
-def content_key(features: Sequence[str], params: Mapping, extra: str = "") -> str:
-    """A stable key from features and params, so a stale model is never reused (Q8)."""
-    blob = json.dumps({"f": list(features), "p": {k: str(v) for k, v in sorted(params.items())}, "x": extra},
-                      sort_keys=True)
+def stage_description(stage) -> list:
+    """(class, parameters) of an estimator, nested for pipelines; uids are left out."""
+    if isinstance(stage, Pipeline):
+        return ["Pipeline", [stage_description(x) for x in stage.getStages()]]
+    return [type(stage).__name__, {p.name: str(v) for p, v in stage.extractParamMap().items()
+                                   if stage.uid not in str(v)}]
+
+
+def data_fingerprint(df: DataFrame) -> dict:
+    """Schema, row count and an order-free hash of the rows: other training data, another key."""
+    exact = F.xxhash64(*[F.col(quoted(f.name)) for f in df.schema.fields if not isinstance(f.dataType, VectorUDT)])
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(exact.cast("decimal(38,0)")).alias("h")).first()
+    return {"schema": df.schema.simpleString(), "rows": row["n"], "hash": str(row["h"])}
+
+
+def content_key(features: Sequence[str], estimator, df: DataFrame) -> str:
+    """A stable key of features, ordered stages with their parameters, and training data (Q8)."""
+    blob = json.dumps([list(features), stage_description(estimator), data_fingerprint(df)], sort_keys=True)
     return hashlib.sha256(blob.encode()).hexdigest()[:16]
 
 
@@ -230,11 +332,9 @@ class ModelStore:
 
     def get_or_fit(self, spark: SparkSession, name: str, estimator: Pipeline, df: DataFrame,
                    features: Sequence[str]) -> PipelineModel:
-        params = {p.name: v for st in estimator.getStages() for p, v in st.extractParamMap().items()}
-        path = self.path(name, content_key(features, params))
-        jvm_fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = jvm_fs.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(jvm_fs):
+        path = self.path(name, content_key(features, estimator, df))
+        # The metadata is written last by a completed save.
+        if path_exists(spark, f"{path}/metadata/_SUCCESS"):
             return PipelineModel.load(path)
         model = estimator.fit(df)
         model.write().overwrite().save(path)
@@ -272,6 +372,7 @@ def rf_grid_search(df: DataFrame, features: Sequence[str], label: str, key: str,
     est = rf_regressor(label, seed=seed)
     cv = cross_validator(est, mllib_grid(grid), label, k=k, seed=seed, parallelism=parallelism, fold_col="_cv_fold")
     cvm = cv.fit(data)
+    data.unpersist()
     rows = []
     stds = cvm.stdMetrics or [None] * len(cvm.avgMetrics)
     for pm, avg, sd in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics, stds):

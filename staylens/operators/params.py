@@ -1,33 +1,9 @@
-"""Small helpers for pyspark.ml Estimators/Models written in Python."""
+"""Small helper for pyspark.ml Estimators/Models written in Python."""
 
 from __future__ import annotations
 
-from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 
 
-def list_param(owner, name: str, doc: str) -> Param:
-    return Param(owner, name, doc, typeConverter=TypeConverters.toListString)
-
-
-def str_param(owner, name: str, doc: str) -> Param:
-    return Param(owner, name, doc, typeConverter=TypeConverters.toString)
-
-
-def float_param(owner, name: str, doc: str) -> Param:
-    return Param(owner, name, doc, typeConverter=TypeConverters.toFloat)
-
-
-def bool_param(owner, name: str, doc: str) -> Param:
-    return Param(owner, name, doc, typeConverter=TypeConverters.toBoolean)
-
-
 class Persistable(DefaultParamsReadable, DefaultParamsWritable):
     """Mixin: save/load through the ML writer (state must live in Params)."""
-
-
-def set_params(obj: Params, **kwargs) -> Params:
-    for k, v in kwargs.items():
-        if v is not None:
-            obj._set(**{k: v})
-    return obj

@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staylens.functions.scalar import x_of
+
 HASH_DIGITS = 7  # 7 hex digits fit every engine's integer type
 
 
@@ -66,28 +68,21 @@ def cross_validator(estimator, grid: dict, label: str, k: int = 3, seed: int = 4
     return cv
 
 
-def cv_scores_frame(spark, cv_model, grid_names: Sequence[str]) -> DataFrame:
-    """(params, mean metric, std metric) per grid point of a fitted CrossValidatorModel."""
-    rows = []
-    stds = cv_model.stdMetrics or [None] * len(cv_model.avgMetrics)
-    for pm, avg, sd in zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics, stds):
-        params = {p.name: str(v) for p, v in pm.items()}
-        rows.append((params, float(avg), None if sd is None else float(sd)))
-    return spark.createDataFrame(rows, "params map<string,string>, metric double, metric_std double")
-
-
 def kfold_ols_r2(df: DataFrame, x: str, y: str, fold: str = "fold") -> DataFrame:
-    """D3 for one-feature OLS: R^2 of every fold, fitted on the other folds.
+    """D3 for one-feature OLS: R^2 of every fold, fitted on the other folds (``pipeline_cv``: any features).
 
     One grouped pass gives per-fold sums; the complement of fold f is total minus
     fold f, so all k fits come from k small rows (no data is re-read per fold).
     A second pass scores each row with its own fold's coefficients.
     """
-    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+    xs, ys = x_of(x), x_of(y)
     data = df.where(xs.isNotNull() & ys.isNotNull()).select(fold, xs.alias("_x"), ys.alias("_y"))
+    # Less the grand means, lest the sums of squares cancel far from the origin.
+    means = data.agg(F.avg("_x").alias("x"), F.avg("_y").alias("y")).first()
+    data = data.select(fold, (F.col("_x") - F.lit(means["x"] or 0.0)).alias("_x"), (F.col("_y") - F.lit(means["y"] or 0.0)).alias("_y"))
     sums = data.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"),
                                   F.sum(F.col("_x") * F.col("_x")).alias("sxx"),
-                                  F.sum(F.col("_x") * F.col("_y")).alias("sxy")).collect()
+                                  F.sum(F.col("_x") * F.col("_y")).alias("sxy")).collect()  # one row per fold
     tot = {k: sum(r[k] for r in sums) for k in ("n", "sx", "sy", "sxx", "sxy")}
     coef = {}
     for r in sums:

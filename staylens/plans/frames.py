@@ -21,6 +21,10 @@ from staylens.sources.fixtures import listings_raw
 SPLIT_SEED = 42
 FOLD_SEED = 43
 NUMERIC_FEATURES = ["accommodates", "bedrooms", "bathrooms", "review_scores_rating", "minimum_nights"]
+# All numeric columns of the cleaned listings besides the target.
+ALL_NUMERIC = ["host_listings_count", "calculated_host_listings_count", "accommodates", "bedrooms", "beds", "minimum_nights",
+               "number_of_reviews", "review_scores_rating", "host_response_rate", "host_acceptance_rate",
+               "host_is_superhost", "bathrooms"]
 CATEGORICAL_FEATURES = ["neighbourhood", "room_type"]
 CLUSTER_COLS = ["f1", "f2"]
 # Literal centroids of the assignment queries (f1, f2).
@@ -31,17 +35,38 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     return listings_raw(spark, sf)
 
 
+_SHARED: dict = {}
+
+
+def _shared(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """A table that every query of this application over ``sf`` reads: made and written once."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SHARED:
+        _SHARED[key] = materialize(make(), cache=False, narrow=False)
+    return _SHARED[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Forget the shared tables of this application; their checkpoint files go with them
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
+        del _SHARED[key]
+
+
+def shared_raw(spark: SparkSession, sf: str) -> DataFrame:
+    return _shared(spark, sf, "raw", lambda: raw(spark, sf))
+
+
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    """The cleaned listings, written once to the checkpoint folder: the queries run
-    several jobs over it (statistics, then the result), and none of them should
-    re-run the fixture joins and the deduplication."""
-    r = raw(spark, sf)
-    return materialize(ListingCleaner().fit(r).transform(r), cache=False, rows_per_partition=None)
+    """The cleaned listings, written once to the checkpoint folder: no query re-runs the fixture
+    joins, the price cap and the deduplication."""
+    r = shared_raw(spark, sf)
+    return _shared(spark, sf, "clean", lambda: ListingCleaner().fit(r).transform(r))
 
 
 def keyed(spark: SparkSession, sf: str) -> DataFrame:
-    r = raw(spark, sf)
-    return materialize(ListingCleaner(keyCol="id").fit(r).transform(r), cache=False, rows_per_partition=None)
+    r = shared_raw(spark, sf)
+    return _shared(spark, sf, "keyed", lambda: ListingCleaner(keyCol="id").fit(r).transform(r))
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:

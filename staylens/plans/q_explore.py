@@ -128,7 +128,25 @@ def reg_line(spark, sf):
     return X.reg_line(frames.clean(spark, sf), "bedrooms", "price")
 
 
-@register("reg_line_band")
+BAND_CTES = f"""
+band_b AS (SELECT CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':42'), 1, 7)) AS BIGINT) % {X.BAND_BUCKETS} AS bucket,
+                  count(*) AS n, sum(CAST(bedrooms AS DOUBLE)) AS x, sum(price) AS y,
+                  sum(CAST(bedrooms AS DOUBLE) * bedrooms) AS xx, sum(bedrooms * price) AS xy
+           FROM listings_keyed_clean WHERE bedrooms IS NOT NULL AND price IS NOT NULL GROUP BY 1),
+band_w AS (SELECT *, len(list_filter([{', '.join(map(repr, X.poisson1_cdf()))}], lambda c: c <= u)) AS w FROM (
+  SELECT *, CAST(CAST('0x' || substr(md5('42:' || CAST(bucket AS VARCHAR) || ':' || CAST(draw AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE)
+            / {float(1 << 52)!r} AS u
+  FROM band_b, (SELECT unnest(generate_series(0, 999)) AS draw))),
+band_s AS (SELECT draw, sum(w * n) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * xx) AS xx, sum(w * xy) AS xy FROM band_w GROUP BY draw),
+band_f AS (SELECT b1, (y - b1 * x) / n AS b0 FROM (SELECT *, (n * xy - x * y) / (n * xx - x * x) AS b1 FROM band_s)),
+band_g AS (SELECT CAST(k AS INT) AS point, lo + k * (hi - lo) / 99 AS x FROM (SELECT unnest(generate_series(0, 99)) AS k),
+  (SELECT min(CAST(bedrooms AS DOUBLE)) AS lo, max(CAST(bedrooms AS DOUBLE)) AS hi FROM listings_keyed_clean
+   WHERE bedrooms IS NOT NULL AND price IS NOT NULL))"""
+
+
+@register("reg_line_band", """
+SELECT point, x, quantile_cont(b0 + b1 * x, 0.025) AS band_lo, quantile_cont(b0 + b1 * x, 0.975) AS band_hi
+FROM band_g, band_f GROUP BY point, x""", {"x": 8, "band_lo": 4, "band_hi": 4}, BAND_CTES)
 def reg_line_band(spark, sf):
     return X.reg_band(frames.keyed(spark, sf), "bedrooms", "price", key="id", n_boot=1000, points=100)
 
@@ -188,7 +206,16 @@ def residual_profile(spark, sf):
     return X.residual_profile(ols_scored(spark, sf), "label", "prediction", 50)
 
 
-@register("cluster_projection")
+# Two standardised features: the components are their sum and difference; the first is the
+# difference if they are negatively correlated (largest loading positive).
+PROJECTION_SQL = """
+SELECT id, CASE WHEN r >= 0 THEN (z1 + z2) / sqrt(2.0) ELSE (z1 - z2) / sqrt(2.0) END AS pc1,
+       CASE WHEN r >= 0 THEN (z1 - z2) / sqrt(2.0) ELSE (z1 + z2) / sqrt(2.0) END AS pc2, seg
+FROM (SELECT id, seg, (f1 - avg(f1) OVER ()) / stddev_pop(f1) OVER () AS z1, (f2 - avg(f2) OVER ()) / stddev_pop(f2) OVER () AS z2
+      FROM cluster_points), (SELECT corr(f1, f2) AS r FROM cluster_points)"""
+
+
+@register("cluster_projection", PROJECTION_SQL, {"pc1": 6, "pc2": 6})
 def cluster_projection(spark, sf):
     pts = frames.cluster_points(spark, sf)
     return X.cluster_projection(pts, frames.CLUSTER_COLS, "seg", "id")

@@ -135,13 +135,38 @@ def pca_2d(spark, sf):
     return FT.pca_2d(k, ["b1", "b2"]).select("id", "pc1", "pc2")
 
 
-@register("column_pipeline")
+def _pipeline_sql(numeric, categorical) -> str:
+    """(id, idx, value) of the test rows: scaled numerics, then 0/1 of the training levels in name order."""
+    parts = [f"""SELECT id, {i} AS idx, (coalesce(CAST({c} AS DOUBLE), med) - mean) / (CASE WHEN sd > 0 THEN sd ELSE 1 END) AS value
+  FROM listings_split, (SELECT med, avg(coalesce(CAST({c} AS DOUBLE), med)) AS mean, stddev_pop(coalesce(CAST({c} AS DOUBLE), med)) AS sd
+    FROM listings_split, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) AS med FROM listings_split WHERE split = 'train')
+    WHERE split = 'train' GROUP BY med) WHERE split = 'test'""" for i, c in enumerate(numeric)]
+    before = [str(len(numeric))]
+    for c in categorical:
+        parts.append(f"""SELECT id, CAST({' + '.join(before)} + at AS INT) AS idx, CAST(coalesce({c}, mode) = level AS INT) * 1.0::DOUBLE AS value
+  FROM listings_split, (SELECT {c} AS level, row_number() OVER (ORDER BY {c}) - 1 AS at FROM (SELECT DISTINCT {c} FROM listings_split
+      WHERE split = 'train' AND {c} IS NOT NULL)),
+    (SELECT {c} AS mode FROM listings_split WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)
+  WHERE split = 'test'""")
+        before.append(f"(SELECT count(DISTINCT {c}) FROM listings_split WHERE split = 'train')")
+    return "\nUNION ALL ".join(parts)
+
+
+PIPELINE_CATEGORICAL = [*frames.CATEGORICAL_FEATURES, "property_type"]
+
+
+@register("column_pipeline", _pipeline_sql(frames.ALL_NUMERIC, PIPELINE_CATEGORICAL), {"value": 8})
 def column_pipeline(spark, sf):
     s = frames.split(spark, sf)
-    pipe = FT.column_pipeline(NUM5, frames.CATEGORICAL_FEATURES)
-    model = pipe.fit(s.where("split = 'train'"))
-    out = model.transform(s.where("split = 'test'"))
-    return out.select("id", F.size(vector_to_array("features")).alias("n_features"))
+    pipe = FT.ColumnPipeline(frames.ALL_NUMERIC, PIPELINE_CATEGORICAL).fit(s.where("split = 'train'"))
+    return FT.explode_vector(pipe.vectors(s.where("split = 'test'")), "id", "features")
+
+
+@register("pipeline_cv")
+def pipeline_cv(spark, sf):
+    from staylens.operators.models import pipeline_cv as cv
+    train = frames.split(spark, sf).where("split = 'train'")
+    return cv(train, frames.ALL_NUMERIC, PIPELINE_CATEGORICAL, "log_price")
 
 
 RFE_FEATURES = ["accommodates", "bedrooms", "beds", "bathrooms", "review_scores_rating", "minimum_nights",
@@ -161,10 +186,11 @@ def train_test_split(spark, sf):
     return S.hash_split(frames.keyed(spark, sf), "id", 0.2, frames.SPLIT_SEED).select("id", "split")
 
 
-@register("random_split")
+@register("random_split", "SELECT id FROM listings_keyed_clean")
 def random_split(spark, sf):
     train, test = S.random_split(frames.keyed(spark, sf).select("id"), (0.8, 0.2), 42)
-    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    # Which rows go where depends on the partitioning; together they are all rows, each once.
+    return train.unionByName(test)
 
 
 KFOLD_SQL = """

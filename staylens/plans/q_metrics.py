@@ -91,7 +91,7 @@ def inertia(spark, sf):
     return CL.inertia(_points(spark, sf), frames.CLUSTER_COLS, "lab")
 
 
-@register("silhouette", "SELECT silhouette FROM k3_sil", {"silhouette": 8}, IDX_CTES)
+@register("silhouette", "SELECT silhouette, 'squared_euclidean' AS method FROM k3_sil", {"silhouette": 8}, IDX_CTES)
 def silhouette(spark, sf):
     return CL.silhouette(_points(spark, sf), frames.CLUSTER_COLS, "lab")
 
@@ -124,16 +124,15 @@ SWEEP_SQL = " UNION ALL ".join(
 
 @register("best_k", f"""
 SELECT arg_max(k, silhouette) AS best_k_silhouette, arg_min(k, davies_bouldin) AS best_k_davies_bouldin,
-       arg_max(k, calinski_harabasz) AS best_k_calinski_harabasz FROM ({SWEEP_SQL})""", None, IDX_CTES)
+       arg_max(k, calinski_harabasz) AS best_k_calinski_harabasz, 'squared_euclidean' AS silhouette_method FROM ({SWEEP_SQL})""", None, IDX_CTES)
 def best_k(spark, sf):
     return CL.best_k(_sweep_fixed(spark, sf))
 
 
 @register("k_sweep")
 def k_sweep(spark, sf):
-    from staylens.plans.q_models import _cluster_input
-    data, cols = _cluster_input(spark, sf)
-    return CL.k_sweep(data, cols, range(2, 11), n_init=10, seed=42)
+    from staylens.plans.q_models import sweep
+    return sweep(spark, sf)[0]
 
 
 @register("cluster_sizes", "SELECT seg, count(*) AS size FROM cluster_points GROUP BY seg")

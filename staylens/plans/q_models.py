@@ -13,8 +13,9 @@ from staylens.operators import models as M
 from staylens.plans import frames
 from staylens.plans.registry import register
 from staylens.session import scratch_path
+from staylens.sources import sinks
 
-NUM5 = frames.NUMERIC_FEATURES
+NUMERIC = frames.ALL_NUMERIC
 
 
 def ols_scored(spark, sf):
@@ -50,24 +51,44 @@ def coefficient_map(spark, sf):
     return M.coefficient_map(spark, M.ols_fit(s, ["bedrooms"], "number_of_reviews"), ["bedrooms"])
 
 
-@register("global_linear", """
-SELECT regr_intercept(log_price, accommodates) AS intercept, regr_slope(log_price, accommodates) AS slope,
-       CAST(regr_count(log_price, accommodates) AS BIGINT) AS n
-FROM listings_split WHERE split = 'train'""", {"intercept": 6, "slope": 6})
+def _orthogonal_ols_sql(cols) -> str:
+    """CTEs of OLS of log_price on mean-imputed columns by successive orthogonalisation: q_j is
+    column j less its projections on the q before it (0 if nothing is left of it)."""
+    ctes = ["lin_m AS (SELECT avg(log_price) AS my, " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m{j}" for j, c in enumerate(cols))
+            + " FROM listings_split WHERE split = 'train')",
+            "lin_0 AS MATERIALIZED (SELECT id, split, log_price - my AS y, " + ", ".join(
+                f"coalesce(CAST({c} AS DOUBLE) - m{j}, 0) AS x{j}" for j, c in enumerate(cols)) + " FROM listings_split, lin_m)"]
+    for j in range(len(cols)):
+        dots = ", ".join([f"sum(x{j} * q{i}) / nullif(sum(q{i} * q{i}), 0) AS b{i}" for i in range(j)] + [f"sum(x{j} * x{j}) AS xx"])
+        rest = f"x{j}" + "".join(f" - coalesce(b{i}, 0) * q{i}" for i in range(j))
+        ctes.append(f"lin_r{j} AS MATERIALIZED (SELECT t.*, {rest} AS r{j}, xx AS xx{j} FROM lin_{j} t, "
+                    f"(SELECT {dots} FROM lin_{j} WHERE split = 'train'))")
+        ctes.append(f"lin_{j + 1} AS MATERIALIZED (SELECT t.*, CASE WHEN rr > 1e-8 * xx{j} THEN r{j} ELSE 0 END AS q{j} FROM lin_r{j} t, "
+                    f"(SELECT sum(r{j} * r{j}) AS rr FROM lin_r{j} WHERE split = 'train'))")
+    d = len(cols)
+    ctes.append("lin_w AS (SELECT " + ", ".join(f"coalesce(sum(y * q{j}) / nullif(sum(q{j} * q{j}), 0), 0) AS w{j}" for j in range(d))
+                + f" FROM lin_{d} WHERE split = 'train')")
+    return ",\n".join(ctes)
+
+
+LINEAR_SQL = (f"SELECT id, my + " + " + ".join(f"w{j} * q{j}" for j in range(len(NUMERIC)))
+              + f" AS prediction FROM lin_{len(NUMERIC)}, lin_w, lin_m WHERE split = 'test'")
+
+
+@register("global_linear", LINEAR_SQL, {"prediction": 6}, _orthogonal_ols_sql(NUMERIC))
 def global_linear(spark, sf):
-    s = frames.split(spark, sf).where("split = 'train'").where(F.col("accommodates").isNotNull())
-    data = FT.assemble_features(s, ["accommodates"], "features")
-    model = LinearRegression(featuresCol="features", labelCol="log_price").fit(data)
-    return _ols_row(spark, model)
+    data, feats = _imputed_split(spark, sf)
+    model = M.ClosedFormOLS(feats, "log_price").fit(data.where("split = 'train'"))
+    return model.transform(data.where("split = 'test'")).select("id", "prediction")
 
 
 @register("segment_linear", f"""
 SELECT {frames.BAND_SQL} AS seg, CAST(regr_count(number_of_reviews, bedrooms) AS BIGINT) AS n,
        regr_intercept(number_of_reviews, bedrooms) AS intercept, regr_slope(number_of_reviews, bedrooms) AS coef_bedrooms
-FROM listings_keyed_clean WHERE bedrooms IS NOT NULL AND number_of_reviews IS NOT NULL GROUP BY 1""",
+FROM listings_keyed_clean GROUP BY 1""",
           {"intercept": 6, "coef_bedrooms": 6})
 def segment_linear(spark, sf):
-    k = frames.keyed(spark, sf).where(F.col("bedrooms").isNotNull()).withColumn("seg", frames.band())
+    k = frames.keyed(spark, sf).withColumn("seg", frames.band())
     return M.segment_ols(k, ["bedrooms"], "number_of_reviews", "seg")
 
 
@@ -78,10 +99,10 @@ def encoded_split(spark, sf):
     """Train/test rows with exact-median-imputed numerics and drop-first dummies (fitted on train)."""
     s = frames.split(spark, sf)
     train = s.where("split = 'train'")
-    imp = FT.ExactImputer(NUM5, "median").fit(train)
-    enc = FT.OneHotColumns(frames.CATEGORICAL_FEATURES, dropFirst=True).fit(train)
+    imp = FT.ExactImputer(NUMERIC, "median").fit(train)
+    enc = FT.OneHotColumns([*frames.CATEGORICAL_FEATURES, "property_type"], dropFirst=True).fit(train)
     out = enc.transform(imp.transform(s))
-    feats = NUM5 + enc.new_columns()
+    feats = NUMERIC + enc.new_columns()
     return out, feats
 
 
@@ -111,8 +132,8 @@ def param_report(spark, sf):
 
 def _imputed_split(spark, sf):
     s = frames.split(spark, sf)
-    imp = FT.ExactImputer(NUM5, "mean", "_imputed").fit(s.where("split = 'train'"))
-    return imp.transform(s), [f"{c}_imputed" for c in NUM5]
+    imp = FT.ExactImputer(NUMERIC, "mean", "_imputed").fit(s.where("split = 'train'"))
+    return imp.transform(s), [f"{c}_imputed" for c in NUMERIC]
 
 
 @register("global_rf")
@@ -154,15 +175,37 @@ def param_grid_cv(spark, sf):
     return metrics
 
 
-@register("segment_price_rf")
-def segment_price_rf(spark, sf):
+def _price_segments(spark, sf):
+    """Rows of per-cluster forests of log_price (see ``train_segments``)."""
     data, feats = _imputed_split(spark, sf)
     km = CL.kmeans_spark(data, feats, k=3, seed=42)
     labelled = CL.assign_clusters(data, feats, CL.model_centroids(km), "cluster_assignment")
     spec = M.SegmentSpec(cluster_col="cluster_assignment", target_col="log_price", numeric_cols=feats,
                          model_types=["rf"], min_cluster_size=1)
-    metrics, _ = M.train_segments(labelled, spec, key="id", tune=False)
-    return metrics
+    return M.train_segments(labelled, spec, key="id", tune=False)[0]
+
+
+@register("segment_price_rf")
+def segment_price_rf(spark, sf):
+    return _price_segments(spark, sf)
+
+
+def global_models(spark, sf, in_sample: bool = False):
+    """(name, scored rows) of the global linear model, forest and boosted trees of log_price, on the
+    test rows, or on the training rows themselves if ``in_sample``."""
+    data, feats = _imputed_split(spark, sf)
+    train, rows = data.where("split = 'train'"), data.where(f"split = '{'train' if in_sample else 'test'}'")
+    linear = M.ClosedFormOLS(feats, "log_price").fit(train)
+    return [("linear", linear.transform(rows)), ("rf", M.score(M.fit_forest(train, feats, "log_price"), rows, feats)),
+            ("gbt", M.score(M.fit_gbt(train, feats, "log_price"), rows, feats))]
+
+
+@register("evaluate_all")
+def evaluate_all(spark, sf):
+    """Global models and per-cluster forests side by side, on held-out rows."""
+    from staylens.operators import metrics as MT
+    segments = _price_segments(spark, sf).withColumnRenamed("model_type", "model")
+    return MT.model_comparison(MT.global_metrics(global_models(spark, sf), "log_price"), segments)
 
 
 def rf_grid_search(spark, sf):
@@ -185,11 +228,39 @@ def _cluster_input(spark, sf):
     return FT.scaler_pop(cols).fit(filled).transform(filled), cols
 
 
+_SWEEPS: dict = {}
+
+
+def sweep(spark, sf):
+    """The k sweep (k = 2..10, 10 restarts each) and its models, once per application and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SWEEPS:
+        data, cols = _cluster_input(spark, sf)
+        _SWEEPS[key] = CL.k_sweep_models(data, cols, range(2, 11), n_init=10, seed=42)
+    return _SWEEPS[key]
+
+
+def _segmented(spark, sf):
+    """Rows labelled by the best-restart fit of the k that the sweep's silhouette chooses."""
+    data, cols = _cluster_input(spark, sf)
+    table, models = sweep(spark, sf)
+    k = CL.best_k(table).first()["best_k_silhouette"]
+    return CL.assign_clusters(data, cols, CL.model_centroids(models[k]), "cluster"), cols
+
+
 @register("kmeans_restart")
 def kmeans_restart(spark, sf):
-    data, cols = _cluster_input(spark, sf)
-    model = CL.kmeans_restart(data, cols, k=3, n_init=10, seed=42)
-    return CL.cluster_sizes(CL.assign_clusters(data, cols, CL.model_centroids(model), "cluster"), "cluster")
+    return CL.cluster_sizes(_segmented(spark, sf)[0], "cluster")
+
+
+@register("segmentation")
+def segmentation(spark, sf):
+    """Sweep, best k, fit, projection and the labelled table, written partitioned by cluster."""
+    labelled, cols = _segmented(spark, sf)
+    loadings, _ = FT.pca_fit(labelled, cols, 2)
+    path = scratch_path(spark, "segmented")
+    sinks.write_table(FT.pca_project(labelled, cols, loadings).select("id", "pc1", "pc2", "cluster"), path, partition_by=["cluster"])
+    return spark.read.parquet(path)
 
 
 @register("kmeans_spark")

@@ -57,10 +57,14 @@ def scan_driver_table(spark, sf):
 REQUIRED = ["cluster", "minimum_nights", "calculated_host_listings_count", "log_price"]
 
 
-@register("require_columns", """
-SELECT * FROM (VALUES ('cluster', false), ('minimum_nights', true),
-  ('calculated_host_listings_count', true), ('log_price', true)) AS t(column_name, present)
-""")
+def _counts_sql(names, have) -> str:
+    """One (column_name, present, non_null) row per name, counted from the cleaned listings."""
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {str(c in have).lower()} AS present, "
+        + f"count({c if c in have else 'NULL'})" + " AS non_null FROM listings_clean" for c in names)
+
+
+@register("require_columns", _counts_sql(REQUIRED, set(REQUIRED) - {"cluster"}))
 def require_columns(spark, sf):
     return readers.require_columns(frames.clean(spark, sf), REQUIRED, raise_missing=False)
 
@@ -100,8 +104,6 @@ def write_clustered(spark, sf):
     return spark.read.parquet(path)
 
 
-
-
 METRIC_ROUND = {"rmse": 6, "mae": 6, "r2": 8}
 
 
@@ -120,13 +122,12 @@ CATALOG = ["host_listings_count", "calculated_host_listings_count", "accommodate
            "host_acceptance_rate", "host_is_superhost", "bathrooms", "availability_365"]
 
 
-@register("feature_catalog", """
-SELECT * FROM (VALUES (0, 'host_listings_count', true), (1, 'calculated_host_listings_count', true),
-  (2, 'accommodates', true), (3, 'bedrooms', true), (4, 'beds', true), (5, 'minimum_nights', true),
-  (6, 'number_of_reviews', true), (7, 'review_scores_rating', true), (8, 'host_response_rate', true),
-  (9, 'host_acceptance_rate', true), (10, 'host_is_superhost', true), (11, 'bathrooms', true),
-  (12, 'availability_365', false)) AS t(position, feature, present)
-""")
+CATALOG_SQL = "SELECT position, feature, present, non_null FROM (VALUES " + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(CATALOG)) + ") AS t(position, feature) JOIN (" + _counts_sql(
+    CATALOG, set(CATALOG) - {"availability_365"}) + ") AS c ON c.column_name = t.feature"
+
+
+@register("feature_catalog", CATALOG_SQL)
 def feature_catalog(spark, sf):
     df = frames.clean(spark, sf)
     path = scratch_path(spark, "feature-catalog")
@@ -134,7 +135,7 @@ def feature_catalog(spark, sf):
     return readers.validate_feature_catalog(readers.load_feature_catalog(spark, path), df)
 
 
-@register("model_store")
+@register("model_store", "SELECT id, prediction FROM ols_scored", {"prediction": 6})
 def model_store(spark, sf):
     from staylens.plans.q_models import model_store_predictions
     return model_store_predictions(spark, sf)

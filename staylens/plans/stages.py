@@ -17,11 +17,13 @@ from staylens.operators import models as M
 from staylens.operators import splits as S
 from staylens.operators.cleaning import ListingCleaner, fill_zero
 from staylens.operators.metrics import regression_metrics
-from staylens.session import scratch_path
+from staylens.plans.frames import ALL_NUMERIC, CATEGORICAL_FEATURES
+from staylens.session import materialize, scratch_path
 from staylens.sources import sinks
 from staylens.sources.fixtures import listings_raw
 
-LINEAR_NUMERIC = ["accommodates", "bedrooms", "bathrooms", "review_scores_rating", "minimum_nights"]
+CATEGORICAL = [*CATEGORICAL_FEATURES, "property_type"]
+
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,20 +36,14 @@ def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linear_stage(clean: DataFrame) -> DataFrame:
-    """5-fold CV R^2, RFE to 5 features, OLS fit and held-out metrics (linear baseline script)."""
-    from staylens.session import materialize
+    """5-fold CV of the whole linear pipeline, its fit on the training rows and held-out metrics."""
     data = S.kfold(S.hash_split(clean, "id"), "id", 5, 43)
     train = materialize(data.where("split = 'train'"))
-    folds = S.kfold_ols_r2(train, "bedrooms", "log_price", "fold")
-    imp = FT.ExactImputer(LINEAR_NUMERIC, "median").fit(train)
-    enc = FT.OneHotColumns(["neighbourhood", "room_type"], dropFirst=False).fit(train)
-    feats = LINEAR_NUMERIC + enc.new_columns()
-    tr = enc.transform(imp.transform(train))
-    chosen = [f for f, _, keep in FT.rfe_select(tr, feats, "log_price", n=5) if keep]
-    model = M.ols_fit(tr, chosen, "log_price")
-    test = enc.transform(imp.transform(data.where("split = 'test'")))
-    m = regression_metrics(M.score(model, test, chosen), "log_price")
+    folds = M.pipeline_cv(train, ALL_NUMERIC, CATEGORICAL, "log_price")
+    model = M.LinearPipeline(ALL_NUMERIC, CATEGORICAL, "log_price").fit(train)
+    m = regression_metrics(model.transform(data.where("split = 'test'")), "log_price")
     cv = folds.agg(F.avg("r2").alias("cv_mean"), F.stddev_pop("r2").alias("cv_std")).first()
+    train.unpersist()
     return m.withColumns({"cv_mean": F.lit(cv["cv_mean"]), "cv_std": F.lit(cv["cv_std"])})
 
 

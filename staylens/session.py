@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -24,6 +26,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(FIT_PARTITIONS, "2")  # small inputs: fewer tasks per pass of a fit
         .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
@@ -34,14 +37,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables and checkpoints.
 
-    On a cluster this is the folder named by ``spark.checkpoint.dir`` (a shared
-    file system); it is only invented here when the session leaves it unset,
-    which is the case for local tests.
+    The folder named by ``spark.checkpoint.dir``, or else one on the default Hadoop file system
+    if that is shared.  A temporary folder is only made up for a session that runs in one process.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="staylens-ckpt-")
+        default = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
+        if default.getUri().getScheme() != "file":
+            root = f"{default.getHomeDirectory().toString()}/staylens-{sc.applicationId}"
+        elif re.fullmatch(r"local(\[.*\])?", sc.master):
+            root = tempfile.mkdtemp(prefix="staylens-ckpt-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
@@ -53,46 +61,58 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_WIDE: dict = {}
+_WIDE_LOCK = threading.Lock()
+
+
 @contextmanager
 def wide_projection_mode(spark):
     """Run an action over a wide derived projection with constraint propagation off.
 
     Dozens of CASE / COALESCE aliases of the same source columns (one-hot levels,
     imputed copies) under a null filter make the optimizer's constraint inference
-    combinatorial: planning, not execution, then takes minutes.  The setting is
-    restored afterwards, so the caller's session is unchanged.
+    combinatorial: planning, not execution, then takes minutes.  Uses may overlap (threads of a
+    pool, nesting): the last one to end restores the setting.
     """
-    key = "spark.sql.constraintPropagation.enabled"
-    old = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
+    key, session = "spark.sql.constraintPropagation.enabled", id(spark._jsparkSession)
+    with _WIDE_LOCK:
+        users, old = _WIDE.get(session, (0, None))
+        if not users:
+            old = spark.conf.get(key, "true")
+            spark.conf.set(key, "false")
+        _WIDE[session] = (users + 1, old)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        with _WIDE_LOCK:
+            users, old = _WIDE.pop(session)
+            if users > 1:
+                _WIDE[session] = (users - 1, old)
+            else:
+                spark.conf.set(key, old)
 
 
-ROWS_PER_PARTITION = 1_000_000
+#: Session setting: partitions of the input of iterative fits (default: the cluster's parallelism).
+FIT_PARTITIONS = "spark.staylens.fitPartitions"
 
 
-def materialize(df, cache: bool = True, rows_per_partition: int | None = ROWS_PER_PARTITION):
+def materialize(df, cache: bool = True, narrow: bool = True):
     """Cut the lineage of a frame that many jobs will re-read (fits, restarts, CV folds).
 
     The rows are written once to the shared checkpoint folder (``checkpoint``,
     which survives executor loss, unlike a local checkpoint) and optionally
-    cached on top so repeated passes do not re-read the files.  Partitions are
-    merged (narrowly, no shuffle) down to about ``rows_per_partition`` rows each:
-    iterative fits launch one task per partition per pass, so a small input
-    spread over many partitions pays task overhead on every iteration, while a
-    large input keeps one partition per million rows.
+    cached on top so repeated passes do not re-read the files.  With ``narrow``, partitions are
+    merged (no shuffle) to at most ``spark.staylens.fitPartitions``: every pass of a fit runs one
+    task per partition.  The number comes from the configuration, never from the data.  A caller
+    that caches unpersists the frame when it is done.
     """
-    checkpoint_root(df.sparkSession)
-    with wide_projection_mode(df.sparkSession):
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    with wide_projection_mode(spark):
         out = df.checkpoint(eager=True)
-    if rows_per_partition:
-        n = out.count()
-        want = max(1, -(-n // rows_per_partition))
-        if out.rdd.getNumPartitions() > want:
-            out = out.coalesce(want)
+    want = int(spark.conf.get(FIT_PARTITIONS, str(default_parallelism(spark))))
+    if narrow and out.rdd.getNumPartitions() > want:
+        out = out.coalesce(want)
     return out.persist() if cache else out
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.functions.scalar import PANDAS_NA_TOKENS, na_to_null
+from staylens.functions.scalar import PANDAS_NA_TOKENS, na_to_null, quoted
+from staylens.session import default_parallelism
 
 # Schema of the raw listings file as our fixture writes it; a production file
 # with more columns gets its own schema (the cleaner ignores absent columns).
@@ -31,27 +33,50 @@ def _csv_reader(spark: SparkSession, multiline: bool):
             .option("escape", '"').option("quote", '"').option("mode", "FAILFAST"))
 
 
-def _normalise(df: DataFrame, na_tokens: Sequence[str]) -> DataFrame:
-    """String columns: pandas missing-value tokens become NULL; doubles: NaN becomes NULL."""
-    out = {}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            out[f.name] = na_to_null(F.col(f"`{f.name}`"), tuple(na_tokens))
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.col(f"`{f.name}`")
-            out[f.name] = F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c)
-    return df.withColumns(out) if out else df
+def _typed(name: str, kind: T.DataType, na_tokens: Sequence[str], strict: bool) -> Column:
+    """A text column as ``kind``; missing-value tokens are NULL.
+
+    Whole numbers may come as ``3.0`` (how a column of integers with gaps is often
+    written).  Other text in a numeric column fails the query, or is NULL if not ``strict``.
+    """
+    text = na_to_null(F.col(quoted(name)), ("", *na_tokens))
+    if isinstance(kind, T.StringType):
+        return text
+    number = F.trim(text)
+    if isinstance(kind, T.IntegralType):
+        as_double = number.try_cast("double")
+        value = F.coalesce(number.try_cast(kind), F.when(as_double == F.floor(as_double), as_double.try_cast(kind)))
+    else:
+        value = number.try_cast(kind)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            value = F.when(~F.isnan(value), value)
+            # "nan" in any spelling is missing, not junk.
+            text = F.when(F.lower(number) != "nan", text)
+    if not strict:
+        return value
+    problem = F.concat(F.lit(f"column {name}: not a value of type {kind.simpleString()}: "), text)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(problem).cast(kind)).otherwise(value)
 
 
 def scan_raw_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = RAW_SCHEMA,
-                 na_tokens: Sequence[str] = PANDAS_NA_TOKENS, multiline: bool = True) -> DataFrame:
-    """A1: raw CSV with an explicit schema (no inference pass), quoted multi-line text,
-    pandas NA tokens mapped to NULL.  Numeric columns: an NA token fails the typed parse
-    and comes out NULL (PERMISSIVE would hide real junk, so text columns carry the tokens)."""
-    reader = _csv_reader(spark, multiline).option("mode", "PERMISSIVE").option("nanValue", "NaN") \
-        .option("nullValue", "")
-    df = reader.schema(schema).csv(path if isinstance(path, str) else list(path))
-    return _normalise(df, na_tokens)
+                 na_tokens: Sequence[str] = PANDAS_NA_TOKENS, multiline: bool = True, strict: bool = True) -> DataFrame:
+    """A1: raw CSV bound to ``schema`` by header name, with quoted multi-line text.
+
+    Every column is read as text, so nothing is lost to a failed typed parse, and then cast
+    (``_typed``).  Columns the file lacks are NULL; columns the schema lacks are left out.  Each
+    path has a header of its own; the files below one path must agree on theirs.  A multi-line
+    file is one task to read (its records can't be found from the middle), so its rows are dealt
+    out again before anything is done with them.
+    """
+    frames = []
+    for p in [path] if isinstance(path, str) else list(path):
+        raw = _csv_reader(spark, multiline).option("enforceSchema", False).csv(p)
+        raw = raw.repartition(default_parallelism(spark)) if multiline else raw
+        have = set(raw.columns)
+        frames.append(raw.select(*[
+            (_typed(f.name, f.dataType, na_tokens, strict) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields]))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -72,14 +97,21 @@ def scan_csv_infer(spark: SparkSession, path: str) -> DataFrame:
     return _csv_reader(spark, False).option("inferSchema", True).csv(path)
 
 
+def column_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column_name, present, non_null): the rows with a value in each column, in one aggregate; 0 if absent."""
+    have = set(df.columns)
+    counts = [(F.count(quoted(c)) if c in have else F.lit(0).cast("bigint")).alias(f"n{i}") for i, c in enumerate(names)]
+    items = [F.struct(F.lit(c).alias("column_name"), F.lit(c in have).alias("present"), F.col(f"n{i}").alias("non_null"))
+             for i, c in enumerate(names)]
+    return df.agg(F.count(F.lit(1)).alias("_rows"), *counts).select(F.inline(F.array(*items)))
+
+
 def require_columns(df: DataFrame, required: Sequence[str], raise_missing: bool = True) -> DataFrame:
-    """A5: (column_name, present) per required column, from the schema only (no job)."""
-    present = set(df.columns)
-    missing = [c for c in required if c not in present]
+    """A5: fail if a required column is missing; otherwise (column_name, present, non_null) of each."""
+    missing = [c for c in required if c not in df.columns]
     if missing and raise_missing:
         raise ValueError(f"missing required columns: {missing}")
-    return df.sparkSession.createDataFrame([(c, c in present) for c in required],
-                                           "column_name string, present boolean")
+    return column_counts(df, required)
 
 
 def save_feature_catalog(spark: SparkSession, features: Sequence[str], path: str) -> None:
@@ -92,14 +124,27 @@ def load_feature_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def validate_feature_catalog(catalog: DataFrame, df: DataFrame) -> DataFrame:
-    """A10: flag every catalogued feature that the frame lacks."""
-    cols = list(df.columns)
-    present = F.col("feature").isin(*cols) if cols else F.lit(False)
-    return catalog.select("position", "feature", present.alias("present"))
-
-
 def infer_feature_names(df: DataFrame, exclude: Sequence[str] = ("price", "log_price")) -> list[str]:
-    """A10 fallback: numeric columns when the saved list is missing or invalid."""
+    """The numeric columns besides the targets, in column order."""
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType) and f.name not in set(exclude)]
+
+
+def load_or_infer_features(spark: SparkSession, path: str, df: DataFrame) -> list[str]:
+    """A10: the saved feature list if there is one and ``df`` has all of its columns; otherwise
+    the numeric columns of ``df``, which are saved in its place."""
+    if path_exists(spark, path):
+        # One row per feature: a list of column names, as long as the schema at most.
+        saved = [r["feature"] for r in load_feature_catalog(spark, path).orderBy("position").collect()]
+        if saved and set(saved) <= set(df.columns):
+            return saved
+    names = infer_feature_names(df)
+    save_feature_catalog(spark, names, path)
+    return names
+
+
+def validate_feature_catalog(catalog: DataFrame, df: DataFrame) -> DataFrame:
+    """A10: (position, feature, present, non_null) of every catalogued feature."""
+    names = [r["feature"] for r in catalog.orderBy("position").collect()]
+    counts = column_counts(df, names).withColumnRenamed("column_name", "feature")
+    return catalog.join(counts, "feature").select("position", "feature", "present", "non_null")

@@ -31,9 +31,12 @@ def clean_stream(stream: DataFrame, model: ListingCleanerModel, event_time: str
 
 
 def start_clean_stream(stream: DataFrame, model: ListingCleanerModel, sink_path: str, checkpoint: str,
-                       trigger_once: bool = False) -> StreamingQuery:
-    """Append cleaned rows to a parquet sink; the checkpoint folder makes restarts exactly-once."""
-    w = clean_stream(stream, model).writeStream.format("parquet").option("path", sink_path) \
+                       trigger_once: bool = False, event_time: str | None = None,
+                       delay: str = "1 hour") -> StreamingQuery:
+    """Append cleaned rows to a parquet sink; the checkpoint folder makes restarts exactly-once.
+
+    Without ``event_time`` the state of the deduplication grows with the stream."""
+    w = clean_stream(stream, model, event_time, delay).writeStream.format("parquet").option("path", sink_path) \
         .option("checkpointLocation", checkpoint).outputMode("append")
     if trigger_once:
         w = w.trigger(availableNow=True)

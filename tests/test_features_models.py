@@ -133,6 +133,6 @@ def test_model_store_round_trip(spark, tmp_path):
     assert a.join(b, "id").where("abs(prediction - p2) > 1e-12").count() == 0
     other = Pipeline(stages=[VectorAssembler(inputCols=["a", "c"], outputCol="features"),
                              LinearRegression(featuresCol="features", labelCol="y")])
-    assert store.path("lr", M.content_key(["a", "c"], {})) != store.path("lr", M.content_key(["a", "b"], {}))
+    assert M.content_key(["a", "c"], pipe, df) != M.content_key(["a", "b"], pipe, df)
     m3 = store.get_or_fit(spark, "lr", other, df, ["a", "c"])
     assert list(m3.stages[0].getInputCols()) == ["a", "c"]                 # no stale reuse (Q8)
