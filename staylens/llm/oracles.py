@@ -37,15 +37,15 @@ def url_sql(rules=url_filter.RULES, order: int = url_filter.ORDER) -> str:
             f"CASE WHEN n{c} > 0 THEN (CAST({c} AS DOUBLE) + t{c} * q{c}) / (n{c} + t{c}) ELSE q{c} END AS p{c}" for c in "ar") + f" FROM {q})")
     ctes.append(f"""scored AS (SELECT t.*, floor(score * {u.BUCKETS}) AS bucket FROM texts t LEFT JOIN
       (SELECT host, path, avg(ln(pa) - ln(pr)) AS score FROM positions JOIN p{order} USING (gram) GROUP BY host, path) s USING (host, path))""")
-    ctes.append("""lifted AS (SELECT bucket, coalesce(sum(r) OVER before, 0) AS blocked, coalesce(sum(a) OVER before, 0) AS lost,
+    ctes.append("""lifted AS (SELECT bucket, ceil((bucket + coalesce(lag(bucket) OVER (ORDER BY bucket), bucket)) / 2) AS middle, coalesce(sum(r) OVER before, 0) AS blocked, coalesce(sum(a) OVER before, 0) AS lost,
       sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
       FROM (SELECT bucket, sum(CASE WHEN ruled = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END) AS r
             FROM scored WHERE calibrates AND bucket IS NOT NULL GROUP BY bucket)
       WINDOW before AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
-    ctes.append("""threshold AS (SELECT bucket FROM lifted WHERE all_a > 0 AND all_r > 0
+    ctes.append("""threshold AS (SELECT middle FROM lifted WHERE all_a > 0 AND all_r > 0
       ORDER BY round(blocked / all_r - lost / all_a, 9) DESC, bucket LIMIT 1)""")
     return "WITH " + ",\n".join(ctes) + """
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bucket < (SELECT bucket FROM threshold) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bucket < (SELECT middle FROM threshold) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed JOIN scored USING (host, path)"""
 
 

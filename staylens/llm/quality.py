@@ -4,7 +4,8 @@ The language model is a modified Kneser-Ney model of character 4-grams (lower ca
 points of a gram packed into one 64-bit key), one per language, counted by Spark over the whole
 corpus: tasks count the grams of their rows, a shuffle sums them, and the lower orders, discounts
 and interpolation weights follow from the table of distinct grams by DataFrame operations.  As the
-model is counted over the very texts it scores, every gram that is looked up is in it.
+model is counted over the very texts it scores, every gram that is looked up is in it; its own
+occurrence is left out of the counts that give its probability, lest every text predict itself.
 
 Scoring looks grams up in sorted arrays of keys.  The model is cut into shards of at most
 ``SHARD_GRAMS`` grams, so what is broadcast at a time has a fixed bound; one pass over the texts
@@ -34,7 +35,7 @@ SPACES = b" \t\n\v\f\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: The band reaches so many interquartile ranges beyond the quartiles, at least FLOOR nats.
-BAND_RANGES, BAND_FLOOR = 4.0, 0.2
+BAND_RANGES, BAND_FLOOR = 6.0, 0.4
 SHARD_GRAMS = 4_000_000
 #: Characters whose grams are held at a time.
 WINDOW_CHARS = 2_000_000
@@ -137,7 +138,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def kneser_ney(grams: DataFrame) -> DataFrame:
-    """(lang, gram, logp) of modified Kneser-Ney interpolation over the stored table (lang, gram, n)."""
+    """(lang, gram, logp) of modified Kneser-Ney interpolation over the stored table (lang, gram, n), each
+    gram's probability in the counts without one of its occurrences (the one that is looked up)."""
     # Counts by order: corpus counts for 4-grams, numbers of distinct left neighbours below.
     tables = {4: grams}
     for k in (3, 2, 1):
@@ -164,13 +166,21 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         table = (table.withColumn("cut", cut).withColumn("total", F.sum("n").over(after))
                  .withColumn("rest", F.sum("cut").over(after) / F.col("total")))
         if k == 1:
-            table = table.join(types, same_lang).withColumn("lower", 1 / (F.col("v") + 1)).drop("of", "v")
+            even = 1 / (F.col("v") + 1)
+            table = table.join(types, same_lang).withColumn("lower", even).withColumn("lower_without", even).drop("of", "v")
         else:
             mask = F.lit((1 << (16 * (k - 1))) - 1)
-            low = below.select(F.col("lang").alias("of"), F.col("gram").alias("tail"), F.col("p").alias("lower"))
+            low = below.select(F.col("lang").alias("of"), F.col("gram").alias("tail"), F.col("p").alias("lower"),
+                               F.col("q").alias("lower_without"))
             table = table.join(low, same_lang & (F.col("gram").bitwiseAND(mask) == F.col("tail"))).drop("of", "tail")
-        below = table.select("lang", "gram", ((n - F.col("cut")) / F.col("total") + F.col("rest") * F.col("lower")).alias("p"))
-    return below.select("lang", "gram", F.log("p").alias("logp"))
+        fewer = n - 1
+        cut_fewer = F.when(fewer == 0, 0).when(fewer == 1, F.col("d1")).when(fewer == 2, F.col("d2")).otherwise(F.col("d3"))
+        # A gram seen once is gone without this time, and its tail then has one left neighbour less.
+        lower = F.when(n == 1, F.col("lower_without")).otherwise(F.col("lower"))
+        without = F.when(F.col("total") > 1, (fewer - cut_fewer) / (F.col("total") - 1) + F.col("rest") * lower).otherwise(lower)
+        below = table.select("lang", "gram", ((n - F.col("cut")) / F.col("total") + F.col("rest") * F.col("lower")).alias("p"),
+                             without.alias("q"))
+    return below.select("lang", "gram", F.log("q").alias("logp"))
 
 
 def _lookup(df: DataFrame, schema: str, model: DataFrame, shard: int) -> DataFrame:

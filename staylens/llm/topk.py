@@ -15,8 +15,8 @@ task holds more than one of each; the number of both grows with the table.
 
 Defined results: null vectors, empty ones and those with a null or non-finite component take no
 part, neither as query nor as candidate; vectors are only compared with vectors of their own
-dimension; ties go to the smaller id; repeated ids are separate candidates, but a query is never
-its own row's candidate (rows with a query's id are left out); null ids take no part; a query
+dimension; ties go to the smaller id; rows with equal id are separate candidates, but none of
+a query with that id; rows repeated with equal id and vector are one query; null ids take no part; a query
 without candidates gives no row; further columns are ignored.  Scores must fit 64 bits.
 """
 
@@ -105,7 +105,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return (df.where(F.col(id_col).isNotNull() & raw).select(F.col(id_col).cast("long").alias("id"), ints.alias("x"))
                 .where(fine).withColumn("dim", F.size("x")))
 
-    v, q = cleaned(vectors), cleaned(queries)
+    v, q = cleaned(vectors), cleaned(queries).dropDuplicates(["id", "x"])
     # Two counts size the blocks; the rows themselves are dealt by hash, so equal ids spread too.
     shards, blocks = (max(1, -(-df.count() // rows)) for df, rows in ((v, shard_rows), (q, block_rows)))
     v = (v.withColumn("shard", F.pmod(F.xxhash64("id", "x"), F.lit(shards)).cast("int"))

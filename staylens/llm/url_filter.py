@@ -9,7 +9,8 @@ interpolates with the order below it (Witten-Bell):
 with t(h) the distinct characters seen after h, P_k = P_{k-1} where h was never seen, and the
 uniform distribution over ``ALPHABET`` below order 0.  A URL scores the mean over its characters
 of ln P(accepted) - ln P(rejected).  The threshold is calibrated on a fold of the ruled URLs that
-the models don't count: the score bucket with the best balanced accuracy.
+the models don't count: halfway between the score buckets with the best balanced accuracy and
+the bucket below it.
 
 All counting runs over distinct (host, path) pairs with their row counts, pre-aggregated, so a
 hot URL or host is one row; n-gram tables are joined by shuffles, never broadcast by hand.
@@ -95,19 +96,20 @@ def gram_ratios(grams: DataFrame, order: int) -> DataFrame:
 
 
 def calibrated(scored: DataFrame) -> DataFrame:
-    """One row: the lowest bucket kept, at the best balanced accuracy of the calibration fold."""
+    """One row: the lowest bucket that is allowed, by the best balanced accuracy on the calibration fold."""
     by = scored.where("calibrates and score is not null").groupBy("bucket").agg(
         F.sum("accepted_rows").alias("a"), F.sum("rejected_rows").alias("r"))
     # Buckets are bounded by the scores' range: |score| < ln(ALPHABET * rows) nats.
     below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    lifted = by.select("bucket", F.coalesce(F.sum("r").over(below), F.lit(0)).alias("blocked"),
+    middle = F.ceil((F.col("bucket") + F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.col("bucket"))) / 2)
+    lifted = by.select("bucket", middle.alias("middle"), F.coalesce(F.sum("r").over(below), F.lit(0)).alias("blocked"),
                        F.coalesce(F.sum("a").over(below), F.lit(0)).alias("lost"),
                        F.sum("a").over(every).alias("all_a"), F.sum("r").over(every).alias("all_r"))
     gain = F.round(F.col("blocked") / F.col("all_r") - F.col("lost") / F.col("all_a"), 9)
-    return (lifted.where("all_a > 0 and all_r > 0").select("bucket", gain.alias("gain"))
-            .agg(F.max(F.struct("gain", (-F.col("bucket")).alias("low"))).alias("best"))
-            .select((-F.col("best.low")).alias("threshold")))
+    return (lifted.where("all_a > 0 and all_r > 0").select("bucket", "middle", gain.alias("gain"))
+            .agg(F.max(F.struct("gain", (-F.col("bucket")).alias("low"), "middle")).alias("best"))
+            .select(F.col("best.middle").alias("threshold")))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
