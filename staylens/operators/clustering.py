@@ -32,14 +32,15 @@ WRITTEN_OUT_CELLS = 256
 
 
 def _x(c: str) -> Column:
-    return x_of(c)
+    """A feature of complete rows (``_complete`` checks for NULL and NaN, once per row)."""
+    return F.col(quoted(c)).cast("double")
 
 
 def _complete(df: DataFrame, cols: Sequence[str], label: str | None = None) -> DataFrame:
     """The rows with a value in every feature and, if given, a label: the ones indices are about."""
     cond = F.lit(True)
     for c in cols:
-        cond = cond & _x(c).isNotNull()
+        cond = cond & x_of(c).isNotNull()
     if label is not None:
         cond = cond & F.col(quoted(label)).isNotNull()
     return df.where(cond)
@@ -73,7 +74,7 @@ def _sq(e: Column) -> Column:
 def assign_clusters(df: DataFrame, cols: Sequence[str], centroids: Sequence[Sequence[float]],
                     out: str = "cluster") -> DataFrame:
     """Nearest centroid (squared Euclidean), ties to the lowest id; NULL if a feature is NULL or NaN."""
-    known = reduce(lambda a, b: a & b, [_x(c).isNotNull() for c in cols], F.lit(True))
+    known = reduce(lambda a, b: a & b, [x_of(c).isNotNull() for c in cols], F.lit(True))
     if len(centroids) * len(cols) > WRITTEN_OUT_CELLS:
         d = F.transform(F.array(*[_literal(c) for c in centroids]), lambda c: _array_sqdist(_point(cols), c))
         label = F.array_position(d, F.array_min(d)) - 1

@@ -143,8 +143,8 @@ def _pipeline_sql(numeric, categorical) -> str:
     WHERE split = 'train' GROUP BY med) WHERE split = 'test'""" for i, c in enumerate(numeric)]
     before = [str(len(numeric))]
     for c in categorical:
-        parts.append(f"""SELECT id, CAST({' + '.join(before)} + at AS INT) AS idx, CAST(coalesce({c}, mode) = level AS INT) * 1.0::DOUBLE AS value
-  FROM listings_split, (SELECT {c} AS level, row_number() OVER (ORDER BY {c}) - 1 AS at FROM (SELECT DISTINCT {c} FROM listings_split
+        parts.append(f"""SELECT id, CAST({' + '.join(before)} + pos AS INT) AS idx, CAST(coalesce({c}, mode) = level AS INT) * 1.0::DOUBLE AS value
+  FROM listings_split, (SELECT {c} AS level, row_number() OVER (ORDER BY {c}) - 1 AS pos FROM (SELECT DISTINCT {c} FROM listings_split
       WHERE split = 'train' AND {c} IS NOT NULL)),
     (SELECT {c} AS mode FROM listings_split WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)
   WHERE split = 'test'""")
