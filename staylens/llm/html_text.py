@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags.  The first pass decides blocks on
 blocks inside menus, footers, side columns, forms, notices, adverts or reader comments (by element,
 role, or a word of class or id) are boilerplate, so is a block of mostly links; a long block with
 many stop words is content, a long one with few is boilerplate; the rest is ambiguous.  Where the
-page marks its article (``article``, ``main``, ``role=main``, ``itemprop=articleBody``), blocks of it
-without such evidence against them are content whatever their words, and blocks outside it are
+page marks its article (``article``, ``main``, ``role=main``, ``itemprop=articleBody``, or a word such as
+``content`` in the class or id of a container), blocks of it without such evidence against them are content whatever their words, and blocks outside it are
 boilerplate.  In the second pass an ambiguous block inherits the label of its nearest decided
 neighbour: content if the nearest ones disagree at equal distance and it has stop words enough to
 be nearly content, else boilerplate.
@@ -46,7 +46,9 @@ BOILER_WORDS = frozenset(
     "navbar navigation navi breadcrumb breadcrumbs footer sidebar aside widget widgets related recommended "
     "recommendations teaser share sharing social comment comments disqus respond replies discussion cookie cookies "
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin "
-    "search pagination pager toolbar skip masthead topbar copyright legal form".split())
+    "search pagination pager toolbar skip masthead topbar copyright legal form "
+    "commentlist usercomments adsbygoogle adslot cookiebar topnav sidenav subnav footnav mainmenu".split())
+CONTENT_WORDS = frozenset("article content post entry story main".split())
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their "
@@ -59,7 +61,8 @@ STOP_WORDS = frozenset(
     "sobre su sus también te tiene y ya".split())
 
 SHORT_CHARS, LONG_CHARS = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+# For the short lists above; running text has about twice as many.
+STOP_LOW, STOP_HIGH = 0.08, 0.16
 LINK_DENSITY = 0.33
 
 TOKEN = re.compile(
@@ -152,7 +155,7 @@ def blocks_of(page: str) -> list[Block]:
         if not boiler:
             if tag == "article" or "articlebody" in found.get("itemprop", "").lower():
                 article = 2
-            elif tag == "main" or role == "main":
+            elif tag == "main" or role == "main" or tag in ("div", "section", "td") and words & CONTENT_WORDS:
                 article = max(article, 1)
         stack.append((tag, boiler, article))
     end_block()
@@ -177,10 +180,10 @@ def first_pass(blocks: list[Block]) -> list[str]:
             labels.append(BAD if b.link_chars else UNSURE)
         else:
             stops = stop_density(b.text)
-            if stops >= STOP_HIGH:
-                labels.append(GOOD if len(b.text) > LONG_CHARS else NEARLY)
+            if len(b.text) > LONG_CHARS:
+                labels.append(GOOD if stops >= STOP_HIGH else NEARLY if stops >= STOP_LOW else BAD)
             else:
-                labels.append(NEARLY if stops >= STOP_LOW else BAD)
+                labels.append(NEARLY if stops >= STOP_LOW else BAD if b.link_chars else UNSURE)
     return labels
 
 
