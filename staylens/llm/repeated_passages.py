@@ -42,6 +42,8 @@ GRAM, WINDOW = 8, 16
 KEY_WORDS = MIN_WORDS - WINDOW + 1
 #: Words of context carried on either side of the key.
 SIDE = WINDOW - 1
+#: Bytes of a word's hash in a context.
+WORD_BYTES = 6
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -78,19 +80,19 @@ def _anchor_rows(plain: DataFrame, kind: str) -> DataFrame:
 def _contexts(texts: DataFrame) -> DataFrame:
     """(node, at, key, lefts, rights): the key and the words beside it, for the wanted positions of each text.
 
-    Words are 8-byte hashes, big end first; ``lefts`` goes from the key outwards."""
+    Words are ``WORD_BYTES`` of their hashes, big end first; ``lefts`` goes from the key outwards."""
     def run(batches):
         for b in slices(batches, 64):
             cols: list[list] = [[], [], [], [], []]
             for node, raw, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 w = word_hashes(raw)
-                big = w.astype(">u8")
+                cut = np.ascontiguousarray(w.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES:])
                 at = np.sort(np.array(wanted, np.int64))
                 cols[0] += [node] * len(at)
                 cols[1] += at.tolist()
                 cols[2] += range_hashes(w, at, KEY_WORDS).view(np.int64).tolist()
-                cols[3] += [big[max(0, p - SIDE):p][::-1].tobytes() for p in at]
-                cols[4] += [big[p + KEY_WORDS:p + KEY_WORDS + SIDE].tobytes() for p in at]
+                cols[3] += [cut[max(0, p - SIDE):p][::-1].tobytes() for p in at]
+                cols[4] += [cut[p + KEY_WORDS:p + KEY_WORDS + SIDE].tobytes() for p in at]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["node", "at", "key", "lefts", "rights"])
 
@@ -98,10 +100,11 @@ def _contexts(texts: DataFrame) -> DataFrame:
 
 
 def common_words(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b)) // 8
-    if a[:8 * n] == b[:8 * n]:
+    w = WORD_BYTES
+    n = min(len(a), len(b)) // w
+    if a[:w * n] == b[:w * n]:
         return n
-    return next(k for k in range(n) if a[8 * k:8 * k + 8] != b[8 * k:8 * k + 8])
+    return next(k for k in range(n) if a[w * k:w * k + w] != b[w * k:w * k + w])
 
 
 def _earlier(order: list[int], nodes: list[int]) -> dict[int, list[int]]:
@@ -193,9 +196,10 @@ def passage_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                         F.count(F.lit(1)).alias("n")))
     nodes = stored(heads.orderBy("first", "digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
     marks = rows.groupBy("digest").agg(F.min(F.struct("keys", "at")).alias("m")).select("digest", "m.*")
-    suffixes = stored(marks.join(nodes.select("digest", "node"), "digest")
-                      .select("node", F.explode(F.arrays_zip("keys", "at")).alias("s")).select("node", "s.keys", "s.at"), "suffixes")
-    suffixes = suffixes.withColumnRenamed("keys", "key")
+    # Read twice, by the same exchange: cheaper on disk than a written table of its own.
+    suffixes = (marks.join(nodes.select("digest", "node"), "digest")
+                .select("node", F.explode(F.arrays_zip("keys", "at")).alias("s"))
+                .select("node", F.col("s.keys").alias("key"), F.col("s.at").alias("at")))
     shared = (suffixes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
               .where("lo < hi").select("key"))
     wanted = suffixes.join(shared, "key").groupBy("node").agg(F.collect_list("at").alias("wanted"))
