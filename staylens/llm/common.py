@@ -35,6 +35,50 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the executors."""
+    """``mapInArrow`` with the package shipped to the executors; a worker gives back its unused
+    Arrow memory at the end of a task, as it lives on for the next one."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+_MEMOS: dict = {}
+
+
+def worker_memo(name, make):
+    """The worker's memo of that name.  A worker holds one memo at a time: those that earlier
+    operators left in it are dropped."""
+    if name not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[name] = make()
+    return _MEMOS[name]
+
+
+class Generations(dict):
+    """A bounded memo: when the young generation is full it becomes the old one, whose entries come
+    back as they are asked for.  So what is used often stays, and memory is twice ``size`` entries."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def value_of(self, key):
+        raise NotImplementedError
+
+    def kept(self, key) -> bool:
+        return True
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.value_of(key)
+        if self.kept(key):
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -13,25 +13,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import map_arrow, slices
+from staylens.llm.common import Generations, map_arrow, slices, worker_memo
 
-#: The memo of word hashes is emptied when it holds so many words.
-MEMO_WORDS = 1_000_000
+#: Words in each of the two generations of the memo of word hashes (about 190 bytes each).
+MEMO_WORDS = 150_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h
-        return h
+class _Words(Generations):
+    def value_of(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
 
 
-_WORDS = _Words()
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
@@ -42,7 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(raw: bytes) -> np.ndarray:
     words = raw.split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = worker_memo("words", lambda: _Words(MEMO_WORDS))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def kmers(words: np.ndarray, k: int) -> np.ndarray:

@@ -13,17 +13,21 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from array import array
 
+from staylens.llm.common import Generations, worker_memo
+
 # The Unicode White_Space characters (the class \s of the vocabularies' patterns).
 WHITE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Position of a stable boundary: white space after something else.
 BOUNDARY = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
-#: The memo holds pieces of at most so many characters, and is emptied when it has so many.
+#: The memo holds pieces of at most so many characters, in two generations of at most so many pieces
+#: (about 150 bytes each).
 MEMO_CHARS = 48
-MEMO_PIECES = 600_000
+MEMO_PIECES = 400_000
 
 # Pre-tokenizer kinds for which the cut above is proven.
 _SPLITS = {"Split", "ByteLevel"}
@@ -42,21 +46,61 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class Memo(dict):
-    """piece -> value of ``make(ids)``; long pieces are not kept, a full memo starts anew."""
+# Fixed value: the pre-token pattern of the byte-level vocabulary (letters, digits, marks, white space).
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for
+    themselves, the others by characters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
+def encoder(path: str):
+    """text -> ids, as the library gives them without added special tokens.
+
+    A byte-level vocabulary whose ids follow its merges gives the same ids by ranks, which a
+    rank encoder does in half the time."""
+    library = load(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec["pre_tokenizer"], spec["model"]
+    ranked = (spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+              and model["type"] == "BPE" and not any(model.get(k) for k in (
+                  "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+              and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+              and all(model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] == 256 + i
+                      for i, m in enumerate(model["merges"])))
+    if not ranked:
+        return lambda text: library.encode(text, add_special_tokens=False).ids
+    import tiktoken
+
+    byte, special = _byte_of(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: fast.encode(text, allowed_special="all")
+
+
+class Memo(Generations):
+    """piece -> value of ``make(ids)``; long pieces are not kept.
+
+    A full stop or comma after a letter is a pre-token of its own: such a piece is put together from
+    the piece without it."""
 
     def __init__(self, path: str, make):
-        super().__init__()
-        self.encode = load(path).encode
+        super().__init__(MEMO_PIECES)
+        self.encode = encoder(path)
         self.make = make
 
-    def __missing__(self, piece: str):
-        value = self.make(self.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = value
-        return value
+    def value_of(self, piece: str):
+        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
+            return self[piece[:-1]] + self[piece[-1]]
+        return self.make(self.encode(piece))
+
+    def kept(self, piece: str) -> bool:
+        return len(piece) <= MEMO_CHARS
 
 
 def ids_bytes(ids) -> bytes:
@@ -64,16 +108,11 @@ def ids_bytes(ids) -> bytes:
     a = array("I", ids)
     if a.itemsize != 4:
         a = array("L", ids)
-    if __import__("sys").byteorder == "big":
+    if sys.byteorder == "big":
         a.byteswap()
     return a.tobytes()
 
 
-_MEMOS: dict = {}
-
-
 def memo(path: str, kind: str) -> Memo:
     """The worker's memo for a tokenizer: ``counts`` (piece -> int) or ``ids`` (piece -> bytes)."""
-    if (path, kind) not in _MEMOS:
-        _MEMOS[path, kind] = Memo(path, len if kind == "counts" else ids_bytes)
-    return _MEMOS[path, kind]
+    return worker_memo((path, kind), lambda: Memo(path, len if kind == "counts" else ids_bytes))

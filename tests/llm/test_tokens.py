@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from staylens.llm.common import Generations
 from staylens.llm.packing import Packer, lower_bound, pack_documents
 from staylens.llm.token_counts import count_text, count_tokens
 from staylens.llm.tokenizing import PIECE, memo
@@ -49,6 +50,18 @@ def test_count_tokens_on_awkward_rows(spark):
     assert count_tokens(no_docs(spark), WORD).count() == 0
 
 
+def test_memo_of_two_generations():
+    class Doubles(Generations):
+        calls = 0
+
+        def value_of(self, key):
+            self.calls += 1
+            return 2 * key
+    memo = Doubles(3)
+    assert [memo[k] for k in (1, 2, 3, 1, 4, 1, 5)] == [2, 4, 6, 2, 8, 2, 10] and memo.calls == 5
+    assert len(memo) + len(memo.old) <= 6 and memo[2] == 4
+
+
 def check_packing(rows, docs, capacity):
     by_sequence = {}
     for r in rows:
