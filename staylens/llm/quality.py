@@ -38,7 +38,7 @@ MAX_REPEAT_PERCENT = 50
 BAND_RANGES, BAND_FLOOR = 6.0, 0.4
 SHARD_GRAMS = 4_000_000
 #: Characters whose grams are held at a time.
-WINDOW_CHARS = 2_000_000
+WINDOW_CHARS = 400_000
 START, END = 2, 3  # code points of text borders inside the model
 
 
@@ -111,27 +111,34 @@ def by_language(langs: list) -> dict:
     return groups
 
 
+def added(keys: np.ndarray, counts: np.ndarray, more: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with counts, and those of ``more``, as one."""
+    k = np.concatenate([keys, *[m[0] for m in more]])
+    if not len(k):
+        return keys, counts
+    c = np.concatenate([counts, *[m[1] for m in more]])
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[first], np.add.reduceat(c, first).astype(np.int64)
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all texts of ``docs`` (lang, text), summed by task and then by Spark."""
     def run(batches):
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1)
             for lang, rows in by_language(langs).items():
-                found, counts = [], []
+                keys, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
                 for low in range(0, len(rows), 512):
                     for _, _, k in gram_windows([t or "" for t in texts.take(pa.array(rows[low:low + 512])).to_pylist()]):
-                        u, c = np.unique(k, return_counts=True)
-                        found.append(u)
-                        counts.append(c)
-                if not found:
-                    continue
-                k, c = np.concatenate(found), np.concatenate(counts)
-                order = np.argsort(k)
-                k, c = k[order], c[order]
-                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                        waiting.append(np.unique(k, return_counts=True))
+                        if len(waiting) == 4:
+                            keys, counts = added(keys, counts, waiting)
+                            waiting = []
+                keys, counts = added(keys, counts, waiting)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(first), pa.string()), pa.array(k[first].view(np.int64)),
-                     pa.array(np.add.reduceat(c, first).astype(np.int64))], ["lang", "gram", "n"])
+                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
     return (map_arrow(docs.select("lang", "text"), run, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
