@@ -11,12 +11,14 @@ of the union: matched / (runs of one + runs of the other - matched) >= 0.8.  The
 longest chain of equal runs in increasing positions, within the band that the threshold leaves.
 
 Equal texts (by a 128-bit hash of their words) are first collapsed into one node.  Candidates are
-never all pairs of a bucket: every node is compared with the smallest node of each of its buckets
-(a star).  Buckets whose nodes then lie in one component have nothing more to tell.  In the others
-the nodes are compared again in finer buckets (the bucket with each further band), and where even
-those hold several components, every node is compared with the smallest node of each other
-component in its finer bucket.  Buckets are pre-aggregated before they are joined, and nothing is
-capped.
+never all pairs of a bucket.  First every node is compared with the smallest node of each of its
+buckets (a star); a bucket whose nodes then lie in one component has nothing more to tell.  In the
+others the nodes are sorted by their further bands, in several rotations of the band order, and
+compared with their next neighbours of other components that agree with them in ``AGREE`` bands.
+There are ``PASSES`` of these, each with other rotations (a pass that finds no new link is the last).
+A pass emits a fixed number of candidates per row, and the sort (by ranges of bucket, bands and node)
+splits a hot bucket over many tasks.  A pair of similarity 0.8 shares ten bands, so it has forty places
+in a pass to stand side by side.
 
 Defined results: a text without words (null, empty, white space) is a class of its own; a text of
 fewer than five words is one run, so it only matches equal word sequences; repeated rows and rows
@@ -41,6 +43,11 @@ WORDS = 5
 THRESHOLD = 0.8
 SKETCHES = 24
 SAMPLE = 4
+#: Passes over mixed buckets; in each: rotations of the band order, neighbours compared, bands that must agree.
+PASSES = 2
+ROTATIONS = 4
+NEIGHBOURS = 2
+AGREE = 3
 
 
 def runs(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -135,17 +142,55 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
 def star_pairs(buckets: DataFrame) -> DataFrame:
     """Each node of a bucket (key, node) with the bucket's smallest node."""
     leaders = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a != last").drop("last")
-    return buckets.join(leaders, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    return buckets.select("key", "node").join(leaders, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
 def mixed_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, node, component) of the buckets whose nodes lie in more than one component."""
+    """(key, band, node, component) of the buckets whose nodes lie in more than one component."""
     placed = (buckets.join(classes, "node", "left")
-              .select("key", "node", F.coalesce("component", "node").alias("component")))
+              .select("key", "band", "node", F.coalesce("component", "node").alias("component")))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     return placed.join(open_keys, "key")
 
 
+def neighbour_pairs(mixed: DataFrame, nodes: DataFrame, sketches: int, turn: int) -> DataFrame:
+    """Candidates (a, b) of one pass over mixed buckets: see the module's text."""
+    rotation = F.explode(F.array(*[F.lit(r) for r in range(turn * ROTATIONS, (turn + 1) * ROTATIONS)])).alias("rotation")
+
+    def band(j: int):
+        # Rotation r starts at band 1 + 5 r after the bucket's own, and goes on in steps of 1 + 2 (r div 4).
+        step = 1 + 2 * F.floor(F.col("rotation") / 4)
+        at = F.pmod(F.col("band") + 1 + 5 * F.col("rotation") + j * step, F.lit(sketches))
+        return F.element_at("bands", (at + 1).cast("int"))
+
+    rows = (mixed.join(nodes.select("node", "bands"), "node").select("*", rotation)
+            .select("key", "rotation", band(0).alias("o0"), band(1).alias("o1"), band(2).alias("o2"), "node", "component",
+                    F.transform("bands", lambda b: F.shiftright(b, 48).cast("smallint")).alias("marks")))
+    order = ["key", "rotation", "o0", "o1", "o2", "node"]
+
+    def run(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            marks = b.column(7).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 5, 6)] + [marks]
+            if last is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(last, cols)]
+            carried = 0 if last is None else len(last[0])
+            key, turn_of, node, component, marks = cols
+            found = []
+            for d in range(1, NEIGHBOURS + 1):
+                ok = ((key[d:] == key[:-d]) & (turn_of[d:] == turn_of[:-d]) & (component[d:] != component[:-d])
+                      & ((marks[d:] == marks[:-d]).sum(axis=1) >= AGREE) & (np.arange(d, len(key)) >= carried))
+                found.append(np.stack([node[:-d][ok], node[d:][ok]]))
+            pairs = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+            last = [x[-NEIGHBOURS:] for x in cols]
+
+    return map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, "a long, b long").distinct()
+
+
 def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                          words: int = WORDS, sketches: int = SKETCHES, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, links): rows (id, digest), nodes (node, digest, least_id), verified links (a, b, similarity)."""
@@ -157,7 +202,7 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    buckets = banded.select(F.xxhash64("band", "value").alias("key"), "node")
+    buckets = banded.select(F.xxhash64("band", "value").alias("key"), "band", "node")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = stored(buckets.join(shared, "key"), "buckets")
 
@@ -169,22 +214,15 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     pairs = stored(star_pairs(buckets), "pairs")
     links = stored(verified(pairs, texts, threshold, words), "links")
-    rest = stored(mixed_buckets(buckets, components(links)), "mixed")
-    if not rest.isEmpty():
-        # Finer buckets: the bucket together with each band of its nodes.
-        finer = (rest.select(F.col("key").alias("coarse"), "node").join(banded, "node")
-                 .select(F.xxhash64("coarse", "band", "value").alias("key"), "node"))
-        several = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        finer = stored(finer.join(several, "key"), "finer")
-        more = stored(star_pairs(finer).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.unionByName(verified(more, texts, threshold, words)), "links")
-        last = stored(mixed_buckets(finer, components(links)), "mixed")
-        if not last.isEmpty():
-            heads = last.groupBy("key", "component").agg(F.min("node").alias("head")).withColumnRenamed("component", "other")
-            again = (last.join(heads, "key").where(F.col("component") != F.col("other"))
-                     .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-                     .join(pairs, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti"))
-            links = stored(links.unionByName(verified(again, texts, threshold, words)), "links")
+    seen = pairs
+    for turn in range(PASSES):
+        # Sort keys are sampled before the sort: the table is written first.
+        mixed = stored(mixed_buckets(buckets, components(links)), "mixed")
+        more = stored(neighbour_pairs(mixed, nodes, sketches, turn).join(seen, ["a", "b"], "left_anti"), "pairs")
+        new = stored(verified(more, texts, threshold, words), "links")
+        if new.isEmpty():
+            break
+        links, seen = links.unionByName(new), seen.unionByName(more)
     return rows.select("id", "digest"), nodes.select("node", "digest", "least_id"), links
 
 

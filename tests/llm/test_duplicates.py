@@ -111,6 +111,30 @@ def test_long_chains_and_large_groups_make_one_class(spark):
     assert {r.class_id for r in got if r.doc_id >= 1000} == {1000}
 
 
+def test_pairs_inside_a_crowd_of_similar_texts_are_found(spark):
+    """Many texts of about half the similarity share bands with everyone; true pairs hide among them."""
+    rnd = random.Random(21)
+    base, texts = words(rnd, 200), []
+    for i in range(150):
+        t = base[:]
+        for k in rnd.sample(range(200), 14):
+            t[k] = f"w{i}x{k}"
+        texts.append(t)
+    for i in range(0, 150, 2):
+        t = texts[i][:]
+        t[rnd.randrange(200)] = f"pair{i}"
+        texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [set(labelled_runs(t)) for _, t in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                part = [min(part[i], part[j]) if x in (part[i], part[j]) else x for x in part]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(part)) > 100 and [got[i] for i in range(len(rows))] == part
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = Counter(tuples(near_duplicates(odd_docs(spark)), "doc_id", "class_id", "class_rows"))
     assert got[1, 1, 4] == 1 and got[2, 1, 4] == 2 and got[None, 1, 4] == 1
