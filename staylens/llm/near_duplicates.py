@@ -184,8 +184,9 @@ def neighbour_pairs(mixed: DataFrame, nodes: DataFrame, sketches: int, turn: int
                 ok = ((key[d:] == key[:-d]) & (turn_of[d:] == turn_of[:-d]) & (component[d:] != component[:-d])
                       & ((marks[d:] == marks[:-d]).sum(axis=1) >= AGREE) & (np.arange(d, len(key)) >= carried))
                 found.append(np.stack([node[:-d][ok], node[d:][ok]]))
-            pairs = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+            pairs = np.sort(np.concatenate(found, axis=1), axis=0)
+            a, b = np.unique(pairs, axis=1) if pairs.size else pairs  # rotations of a bucket repeat pairs
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             last = [x[-NEIGHBOURS:] for x in cols]
 
     return map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, "a long, b long").distinct()
