@@ -13,12 +13,14 @@ longest chain of equal runs in increasing positions, within the band that the th
 Equal texts (by a 128-bit hash of their words) are first collapsed into one node.  Candidates are
 never all pairs of a bucket.  First every node is compared with the smallest node of each of its
 buckets (a star); a bucket whose nodes then lie in one component has nothing more to tell.  In the
-others the nodes are sorted by their further bands, in several rotations of the band order, and
-compared with their next neighbours of other components that agree with them in ``AGREE`` bands.
-There are ``PASSES`` of these, each with other rotations (a pass that finds no new link is the last).
-A pass emits a fixed number of candidates per row, and the sort (by ranges of bucket, bands and node)
-splits a hot bucket over many tasks.  A pair of similarity 0.8 shares ten bands, so it has forty places
-in a pass to stand side by side.
+others every two nodes of different components are looked at by their run parities: for each of
+``MARK_BITS`` hash values, whether an odd number of runs has it.  Two texts' parities differ in at most
+as many places as their runs do, so a pair that differs in more than the threshold leaves is none, and
+only the rest is verified.  A bucket above ``BLOCK`` rows is dealt into blocks; every two blocks meet
+in a task group of their own, so a hot bucket spreads over many tasks, and only candidates leave it.
+A round verifies a row's ``NEAREST`` candidates first, lest two large components that one link joins
+give all their pairs; rounds go on, each with ``NEAREST_GROWTH`` times more, until none was put off.  So every
+two texts that share a band are verified, ruled out by a bound, or already of one class.
 
 Defined results: a text without words (null, empty, white space) is a class of its own; a text of
 fewer than five words is one run, so it only matches equal word sequences; repeated rows and rows
@@ -43,11 +45,11 @@ WORDS = 5
 THRESHOLD = 0.8
 SKETCHES = 24
 SAMPLE = 4
-#: Passes over mixed buckets; in each: rotations of the band order, neighbours compared, bands that must agree.
-PASSES = 2
-ROTATIONS = 4
-NEIGHBOURS = 2
-AGREE = 3
+#: Rows of a mixed bucket that meet in one group, and bits of a text's run parities.
+BLOCK = 512
+MARK_BITS = 1024
+#: Nearest candidates of a row in the first round over mixed buckets; in later rounds so many times more.
+NEAREST, NEAREST_GROWTH = 4, 16
 
 
 def runs(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -153,43 +155,98 @@ def mixed_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.join(open_keys, "key")
 
 
-def neighbour_pairs(mixed: DataFrame, nodes: DataFrame, sketches: int, turn: int) -> DataFrame:
-    """Candidates (a, b) of one pass over mixed buckets: see the module's text."""
-    rotation = F.explode(F.array(*[F.lit(r) for r in range(turn * ROTATIONS, (turn + 1) * ROTATIONS)])).alias("rotation")
-
-    def band(j: int):
-        # Rotation r starts at band 1 + 5 r after the bucket's own, and goes on in steps of 1 + 2 (r div 4).
-        step = 1 + 2 * F.floor(F.col("rotation") / 4)
-        at = F.pmod(F.col("band") + 1 + 5 * F.col("rotation") + j * step, F.lit(sketches))
-        return F.element_at("bands", (at + 1).cast("int"))
-
-    rows = (mixed.join(nodes.select("node", "bands"), "node").select("*", rotation)
-            .select("key", "rotation", band(0).alias("o0"), band(1).alias("o1"), band(2).alias("o2"), "node", "component",
-                    F.transform("bands", lambda b: F.shiftright(b, 48).cast("smallint")).alias("marks")))
-    order = ["key", "rotation", "o0", "o1", "o2", "node"]
+def parity_rows(texts: DataFrame, words: int) -> DataFrame:
+    """(node, n, marks): the number of runs of a text, and for ``MARK_BITS`` hash values whether an odd number of them has it."""
+    def run(batches):
+        for b in slices(batches):
+            sizes, marks = [], []
+            for raw in b.column(1).to_pylist():
+                x = runs(raw, words)
+                odd = np.bincount((x % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+                sizes.append(len(x))
+                marks.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["node", "n", "marks"])
+
+    return map_arrow(texts.select("node", "text"), run, "node long, n long, marks binary")
+
+
+def possible_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray,
+                   marks: np.ndarray, threshold: float, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cut) of the rows of equal ``group`` (in order) that can be near-duplicates of another component.
+
+    Parities differ only where runs differ, so a pair that differs in more places than the threshold leaves is none;
+    no other pair of the group is left out, but for rows marked ``cut``: they had more than the ``limit`` nearest ones."""
+    end = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+    last = np.repeat(end, np.diff(end, prepend=0)) - 1
+    p, step, found = np.arange(len(group)), 0, []
+    while True:
+        step += 1
+        p = p[last[p] - p >= step]
+        if not len(p):
+            break
+        q = p + step
+        total = n[p] + n[q]
+        spare = total - 2 * np.ceil(threshold * total / (1 + threshold) - 1e-9)
+        ok = (component[p] != component[q]) & (np.abs(n[p] - n[q]) <= spare) & ((side[p] < 0) | (side[p] != side[q]))
+        x, y, spare = p[ok], q[ok], spare[ok]
+        for low in range(0, len(x), 32_768):
+            i, j = x[low:low + 32_768], y[low:low + 32_768]
+            apart = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
+            near = apart <= spare[low:low + 32_768]
+            found.append(np.stack([node[i[near]], node[j[near]], apart[near], group[i[near]]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    one, two, apart, of = np.concatenate(found, axis=1)
+    a, b = np.minimum(one, two), np.maximum(one, two)
+    order = np.lexsort((apart, b, of))
+    a, b, of = a[order], b[order], of[order]
+    new = np.ones(len(b), bool)
+    new[1:] = (b[1:] != b[:-1]) | (of[1:] != of[:-1])
+    at = np.arange(len(b))
+    rank = at - np.maximum.accumulate(np.where(new, at, 0))
+    cut = np.append((rank[1:] == limit) & (rank[:-1] == limit - 1), False)
+    kept = rank < limit
+    return a[kept], b[kept], cut[kept]
+
+
+def open_pairs(mixed: DataFrame, marks: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """(a, b, cut): pairs of mixed buckets that can be near-duplicates; see ``possible_pairs``.
+
+    A bucket above ``BLOCK`` rows is dealt into blocks, and every two blocks meet in a group of their own."""
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = (mixed.select("key", "node", "component").join(sizes, "key").join(marks, "node")
+            .withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    # With its own block a row meets all others, with another one only the rows of that block.
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "key",
+                       F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "marks")
 
     def run(batches):
-        last = None
-        for b in batches:
-            if not b.num_rows:
+        def found(cols):
+            key, i, j, own, node, component, n, marks = cols
+            new = np.zeros(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            a, b, cut = possible_pairs(np.cumsum(new), np.where(i == j, -1, own), node, component, n, marks, threshold, limit)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            marks = b.column(7).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 5, 6)] + [marks]
-            if last is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(last, cols)]
-            carried = 0 if last is None else len(last[0])
-            key, turn_of, node, component, marks = cols
-            found = []
-            for d in range(1, NEIGHBOURS + 1):
-                ok = ((key[d:] == key[:-d]) & (turn_of[d:] == turn_of[:-d]) & (component[d:] != component[:-d])
-                      & ((marks[d:] == marks[:-d]).sum(axis=1) >= AGREE) & (np.arange(d, len(key)) >= carried))
-                found.append(np.stack([node[:-d][ok], node[d:][ok]]))
-            pairs = np.sort(np.concatenate(found, axis=1), axis=0)
-            a, b = np.unique(pairs, axis=1) if pairs.size else pairs  # rotations of a bucket repeat pairs
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            last = [x[-NEIGHBOURS:] for x in cols]
-
-    return map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, "a long, b long").distinct()
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(1, 8)]
+            cols.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            cols = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols)]
+            key, i, j = cols[:3]
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            done = new[-1] + 1 if len(new) else 0  # the last group may go on in the next batch
+            held = [x[done:] for x in cols]
+            if done:
+                yield found([x[:done] for x in cols])
+        if held is not None:
+            yield found(held)
+
+    dealt = rows.repartition("group").sortWithinPartitions("group", "key", "i", "j")
+    return map_arrow(dealt, run, "a long, b long, cut boolean")
 
 
 def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -215,15 +272,18 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     pairs = stored(star_pairs(buckets), "pairs")
     links = stored(verified(pairs, texts, threshold, words), "links")
-    seen = pairs
-    for turn in range(PASSES):
-        # Sort keys are sampled before the sort: the table is written first.
+    seen, limit, marks = pairs, NEAREST, None
+    while True:
+        # Buckets only become pure from round to round, so the first round's parities serve all.
         mixed = stored(mixed_buckets(buckets, components(links)), "mixed")
-        more = stored(neighbour_pairs(mixed, nodes, sketches, turn).join(seen, ["a", "b"], "left_anti"), "pairs")
-        new = stored(verified(more, texts, threshold, words), "links")
-        if new.isEmpty():
+        if marks is None:
+            marks = stored(parity_rows(texts.join(mixed.select("node").distinct(), "node", "left_semi"), words), "marks")
+        found = stored(open_pairs(mixed, marks, threshold, limit).groupBy("a", "b").agg(F.max("cut").alias("cut")), "open")
+        more = stored(found.select("a", "b").join(seen, ["a", "b"], "left_anti"), "pairs")
+        links, seen = links.unionByName(stored(verified(more, texts, threshold, words), "links")), seen.unionByName(more)
+        if found.where("cut").isEmpty():
             break
-        links, seen = links.unionByName(new), seen.unionByName(more)
+        limit *= NEAREST_GROWTH
     return rows.select("id", "digest"), nodes.select("node", "digest", "least_id"), links
 
 

@@ -135,6 +135,36 @@ def test_pairs_inside_a_crowd_of_similar_texts_are_found(spark):
     assert len(set(part)) > 100 and [got[i] for i in range(len(rows))] == part
 
 
+def test_pairs_at_the_threshold_inside_a_hot_crowd_are_all_found(spark, monkeypatch):
+    """Texts at 0.66 to 0.78 to each other, and a true pair at 0.8 of every third;
+    few bands of one run each make hot buckets, in several blocks and rounds."""
+    import staylens.llm.near_duplicates as N
+    monkeypatch.setattr(N, "BLOCK", 60, raising=False)
+    monkeypatch.setattr(N, "NEAREST", 1, raising=False)
+    rnd = random.Random(31)
+    base, texts = words(rnd, 200), []
+    for i in range(300):
+        t = base[:]
+        for k in rnd.sample(range(5, 195, 5), 4):
+            t[k] = f"w{i}x{k}"
+        texts.append(t)
+    for i in range(0, 300, 3):
+        t = texts[i][:]
+        for k in rnd.sample(range(0, 200, 10), 4):
+            t[k] = f"pair{i}x{k}"
+        texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [set(labelled_runs(t)) for _, t in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                part = [min(part[i], part[j]) if x in (part[i], part[j]) else x for x in part]
+    # Of six bands all true pairs share one.
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), sketches=6, sample=1).collect()}
+    assert len(set(part)) > 150 and [got[i] for i in range(len(rows))] == part
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = Counter(tuples(near_duplicates(odd_docs(spark)), "doc_id", "class_id", "class_rows"))
     assert got[1, 1, 4] == 1 and got[2, 1, 4] == 2 and got[None, 1, 4] == 1
