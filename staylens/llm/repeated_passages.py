@@ -1,19 +1,18 @@
-"""Repeated passages across documents with a sparse suffix array.
+"""Repeated passages across documents with sparse suffixes.
 
 Only suffixes at content-selected positions are retained: the minimisers (smallest hash of eight
 words in every window of sixteen positions).  Two copies of a passage of at least ``MIN_WORDS``
 words select the same positions in it, the first of them among its first sixteen words, so the
 copies share at least ``KEY_WORDS`` = 35 words to the right of it.  Suffixes that share these words
-with no other document are dropped early.  The others are sorted by their words (the key, then the
-words after it, as hashes), and neighbours compared: each suffix with the nearest ones on both
-sides, by right and by left context, that belong to an earlier document, and with the earliest of
-its key.  A match is extended to the left and to the right by at most fifteen words each; it counts
-if it then has at least ``MIN_WORDS`` words.  Every part of a longer match of that length has such a
-position of its own, so the union of the counted matches is the whole repeated passage and no
-context longer than 65 words is ever carried.
+with no other document are dropped early.  Around each of the others (the key) stand up to sixteen windows
+of ``MIN_WORDS`` words: k words left of the key, the key, and 15 - k words right of it.  A window is
+shared if another document has the same key, left and right words, and a duplicate if an earlier one has;
+every window of a longer match has such a position of its own, so the union of these windows is the whole
+repeated passage and no context longer than 65 words is ever carried.
 
-Equal texts are collapsed first, and so are suffixes with equal context before they are sorted, so
-that the sort spreads a passage that many documents share over the partitions.
+Equal texts are collapsed first, and so are suffixes with equal context.  The windows of a key with at most
+``GROUP_ROWS`` contexts are compared in one task, those of the others by a grouping of windows by hash that is
+aggregated before the shuffle, so a passage that many documents share is not gathered anywhere.
 
 The earliest document (smallest id, then smallest hash of the text) keeps a passage; its later
 occurrences in other documents are duplicates.  Repeats within one document are left alone.
@@ -44,6 +43,8 @@ KEY_WORDS = MIN_WORDS - WINDOW + 1
 SIDE = WINDOW - 1
 #: Bytes of a word's hash in a context.
 WORD_BYTES = 6
+#: Contexts of a key that are compared in one task; those of other keys are compared by shuffles.
+GROUP_ROWS = 256
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -99,68 +100,41 @@ def _contexts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "node long, at int, key long, lefts binary, rights binary")
 
 
-def common_words(a: bytes, b: bytes) -> int:
+def context_windows(lefts: bytes, rights: bytes):
+    """(words left of the key, left words, right words) of each window of ``MIN_WORDS`` words around a key."""
     w = WORD_BYTES
-    n = min(len(a), len(b)) // w
-    if a[:w * n] == b[:w * n]:
-        return n
-    return next(k for k in range(n) if a[w * k:w * k + w] != b[w * k:w * k + w])
-
-
-def _earlier(order: list[int], nodes: list[int]) -> dict[int, list[int]]:
-    """For each row its nearest rows on both sides, in ``order``, of an earlier document."""
-    out: dict[int, list[int]] = {i: [] for i in order}
-    for run in (order, order[::-1]):
-        stack: list[int] = []
-        for i in run:
-            while stack and nodes[stack[-1]] >= nodes[i]:
-                stack.pop()
-            if stack:
-                out[i].append(stack[-1])
-            stack.append(i)
-    return out
-
-
-def compare_group(nodes: list[int], lefts: list[bytes], rights: list[bytes], leader: tuple[int, bytes, bytes]):
-    """(words left, words right, same of any partner) of the counted matches of each suffix of one key.
-
-    The rows come sorted by ``rights``.  The first two are of matches with earlier documents; -1: none."""
-    n = len(nodes)
-    by_right = list(range(n))
-    by_left = sorted(by_right, key=lefts.__getitem__)
-    partners = _earlier(by_right, nodes)
-    for i, found in _earlier(by_left, nodes).items():
-        partners[i] += found
-    result = [[-1, -1, -1, -1] for _ in range(n)]
-
-    def note(i: int, left: int, right: int, low: int) -> None:
-        result[i][low] = max(result[i][low], left)
-        result[i][low + 1] = max(result[i][low + 1], right)
-
-    def match(i: int, j_left: bytes, j_right: bytes) -> tuple[int, int] | None:
-        left, right = common_words(lefts[i], j_left), common_words(rights[i], j_right)
-        return (left, right) if left + right + KEY_WORDS >= MIN_WORDS else None
-
-    for i in range(n):
-        for j in set(partners[i]):
-            if found := match(i, lefts[j], rights[j]):
-                note(i, *found, 0)
-                note(i, *found, 2)
-                note(j, *found, 2)
-        if leader[0] < nodes[i] and (found := match(i, leader[1], leader[2])):
-            note(i, *found, 0)
-            note(i, *found, 2)
+    for k in range(max(0, SIDE - len(rights) // w), min(SIDE, len(lefts) // w) + 1):
+        yield k, lefts[:w * k], rights[:w * (SIDE - k)]
+
+
+def compare_group(lo: list[int], hi: list[int], lefts: list[bytes], rights: list[bytes]):
+    """(words left, words right, same of any document) of the counted matches of each context of one key.
+
+    ``lo`` and ``hi`` are the first and last document of a context.  The first two are of matches with
+    documents before ``lo``; -1: none."""
+    windows = [list(context_windows(a, b)) for a, b in zip(lefts, rights)]
+    first: dict[tuple, int] = {}
+    last: dict[tuple, int] = {}
+    for n, m, own in zip(lo, hi, windows):
+        for x in own:
+            first[x] = min(first.get(x, n), n)
+            last[x] = max(last.get(x, m), m)
+    result = []
+    for n, own in zip(lo, windows):
+        early = [x[0] for x in own if first[x] < n]
+        some = [x[0] for x in own if first[x] < last[x]]
+        result.append([y for ks in (early, some) for y in ((max(ks), SIDE - min(ks)) if ks else (-1, -1))])
     return result
 
 
 def _compared(contents: DataFrame) -> DataFrame:
-    """(content, early_left, early_right, any_left, any_right) of the sorted rows, compared with their neighbours."""
+    """(content, early_left, early_right, any_left, any_right) of the rows (key, content, lo, hi, lefts, rights), sorted by key."""
     def run(batches):
         rows = (r for b in slices(batches, 4096) for r in zip(*[c.to_pylist() for c in b.columns]))
         out: list[list] = []
         for _, group in groupby(rows, key=lambda r: r[0]):
             group = list(group)
-            found = compare_group([r[2] for r in group], [r[3] for r in group], [r[4] for r in group], group[0][5:8])
+            found = compare_group(*[[r[c] for r in group] for c in (2, 3, 4, 5)])
             out += [[r[1], *f] for r, f in zip(group, found) if f[2] >= 0]
             if len(out) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
@@ -171,6 +145,22 @@ def _compared(contents: DataFrame) -> DataFrame:
     return map_arrow(contents, run, "content long, early_left int, early_right int, any_left int, any_right int")
 
 
+def _compared_windows(contents: DataFrame) -> DataFrame:
+    """What ``_compared`` gives, by grouping the windows of all contexts: no group of a key is ever gathered."""
+    words = F.lit(WORD_BYTES)
+    each = (contents.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SIDE))))
+            .where((F.col("k") * words <= F.length("lefts")) & ((SIDE - F.col("k")) * words <= F.length("rights")))
+            .select("content", "lo", "hi", "k", F.xxhash64(
+                "key", "k", F.substring("lefts", F.lit(1), F.col("k") * words),
+                F.substring("rights", F.lit(1), (SIDE - F.col("k")) * words)).alias("window")))
+    shared = each.groupBy("window").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last")
+    found = each.join(shared, "window")
+    early = F.when(F.col("first") < F.col("lo"), F.col("k"))
+    return found.groupBy("content").agg(
+        F.coalesce(F.max(early), F.lit(-1)).alias("early_left"), F.coalesce(SIDE - F.min(early), F.lit(-1)).alias("early_right"),
+        F.max("k").alias("any_left"), (SIDE - F.min("k")).alias("any_right"))
+
+
 NAMES = ["content", "early_left", "early_right", "any_left", "any_right"]
 TYPES = [pa.int64()] + [pa.int32()] * 4
 
@@ -207,16 +197,16 @@ def passage_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = (distinct.join(wanted.join(nodes.select("node", "digest"), "node"), "digest").select("node", "text", "wanted"))
     found = stored(_contexts(texts).withColumn("content", F.xxhash64("key", "lefts", "rights")), "contexts")
 
-    contents = found.groupBy("key", "content").agg(F.min(F.struct("node", "lefts", "rights")).alias("c"))
-    contents = stored(contents.select("key", "content", "c.*"), "contents")
-    leaders = contents.groupBy("key").agg(F.min(F.struct("node", "lefts", "rights")).alias("l"))
-    leaders = leaders.select("key", F.col("l.node").alias("l_node"), F.col("l.lefts").alias("l_lefts"), F.col("l.rights").alias("l_rights"))
-    unsorted = stored(contents.join(leaders, "key")
-                      .select("key", "content", "node", "lefts", "rights", "l_node", "l_lefts", "l_rights"), "unsorted")
-    order = ["key", "rights", "lefts"]
-    compared = stored(_compared(unsorted.repartitionByRange(*order).sortWithinPartitions(*order)), "compared")
+    contents = found.groupBy("key", "content").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                                   F.min(F.struct("lefts", "rights")).alias("c"))
+    contents = stored(contents.select("key", "content", "lo", "hi", "c.*"), "contents")
+    hot = contents.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select("key", F.lit(True).alias("hot"))
+    placed = contents.join(hot, "key", "left")
+    few = placed.where("hot is null").drop("hot").repartition("key").sortWithinPartitions("key")
+    many = placed.where("hot").drop("hot")
+    compared = stored(_compared(few).unionByName(_compared_windows(many)), "compared")
 
-    firsts = contents.select("content", F.col("node").alias("first_node"))
+    firsts = contents.select("content", F.col("lo").alias("first_node"))
     judged = (found.select("node", "at", "content").join(firsts, "content").join(compared, "content", "left"))
     copied = F.col("node") > F.col("first_node")
     # Copies of a whole context match in all of it; so do, from the first one's view, its copies.

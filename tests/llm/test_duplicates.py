@@ -211,6 +211,31 @@ def test_repeated_passages_are_those_of_brute_force(spark, seed):
         assert left.get(d, "").split() == w and (d in left) == bool(w)
 
 
+def test_passages_around_a_common_core_are_those_of_brute_force(spark):
+    """Documents with a core of 40 words; the last one of a core shares six words on both sides with the second one,
+    and seven words on one side with many others, which are nearer to it in any order by that side."""
+    rnd = random.Random(17)
+    rows = []
+    for _ in range(8):
+        core, left, right = words(rnd, 40), words(rnd, 7), words(rnd, 7)
+        beside = [([], []), (left[1:], right[:6])] + [(left, []), ([], right)] * 12 + [(left, right)]
+        rows += [words(rnd, 40) + x + core + y + words(rnd, 40) for x, y in beside]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    got = {True: defaultdict(set), False: defaultdict(set)}
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r.duplicate][r.doc_id].update(range(r.start_word, r.end_word))
+    shared, late = brute_spans(rows)
+    assert len(late) == 8 and got[False] == shared and got[True] == late
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_both_ways_to_compare_contexts_agree_with_brute_force(spark, monkeypatch, rows):
+    import staylens.llm.repeated_passages as R
+    monkeypatch.setattr(R, "GROUP_ROWS", rows, raising=False)
+    test_passages_around_a_common_core_are_those_of_brute_force(spark)
+    test_repeated_passages_are_those_of_brute_force(spark, 1)
+
+
 def test_repeated_passages_of_awkward_rows(spark):
     docs = odd_docs(spark)
     spans = Counter(tuples(repeated_passages(docs), "doc_id", "start_word", "end_word", "duplicate"))
