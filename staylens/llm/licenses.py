@@ -1,7 +1,8 @@
 """License scan by sentence rules.  DataFrame functions only.
 
-A text is cut into sentences (at line ends and at full stops, question and exclamation marks before
-white space), and every sentence is normalised: lower case, everything but letters and digits as one
+A text is cut into sentences (at full stops, question and exclamation marks before white space and at
+blank lines; a line end, and a semicolon or colon before white space, may end a sentence or stand inside
+one), and normalised: lower case, everything but letters and digits, so comment marks too, as one
 space.  Known license sentences map to sentence identifiers; all others have none and are passed
 over.  A document thus becomes a sequence of identifiers, and a rule is such a sequence: it matches
 where its identifiers come one after the other, in its order, with no other known sentence between
@@ -47,6 +48,25 @@ SENTENCES: dict[str, str] = {
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted "
                           "provided that the following conditions are met:",
     "rights-reserved": "All rights reserved.",
+    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+                      "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+                      "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+                      "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+                      "conditions:",
+    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+                      "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                 "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                 "option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                   "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+                   "(at your option) any later version.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                  "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+                  "your option) any later version.",
+    # The full stop of "v. 2.0" ends the sentence.
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 #: Rules: license, then the identifiers of its sentences in order.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -62,8 +82,22 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
     ("BSD", ("bsd-redistribution",)),
     ("BSD with rights reserved", ("rights-reserved", "bsd-redistribution")),
+    ("MIT full text", ("mit-permission", "mit-notice")),
+    ("ISC", ("isc-permission",)),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("MPL-2.0", ("mpl-form", "mpl2-copy")),
 )
-SPLIT = r"[\n\r]+|(?<=[.!?])[ \t]+"
+# Marks in a normalised text: an end of a sentence or paragraph, and a border that a sentence may run over.
+HARD, SOFT = "\ue001", "\ue002"
+# In order: what becomes a mark or a space.  Comment marks at line borders are neither letters nor digits.
+MARKS = (
+    (f"[{HARD}{SOFT}]", " "), (r"\r\n?", "\n"),
+    (r"\n(?:[^\p{L}\p{N}\n]*+\n)++", HARD),
+    (r"[.!?](?=[ \t\n])", HARD), (r"\n|[;:](?=[ \t])", SOFT),
+    (rf"[^\p{{L}}\p{{N}}{HARD}{SOFT}]+", " "),
+    (f" ?{HARD}[ {HARD}{SOFT}]*+", HARD), (f" ?{SOFT}[ {SOFT}]*+", SOFT), (f"{SOFT}{HARD}", HARD))
 
 
 def normalised_text(sentence: str) -> str:
@@ -72,8 +106,12 @@ def normalised_text(sentence: str) -> str:
     return " ".join(kept.split())
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def marked(text: Column) -> Column:
+    """``text`` in lower case with single spaces, and its marks."""
+    out = F.lower(text)
+    for pattern, mark in MARKS:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.trim(out)
 
 
 def sentence_ids(text: Column, sentences: Mapping[str, str]) -> Column:
@@ -83,10 +121,14 @@ def sentence_ids(text: Column, sentences: Mapping[str, str]) -> Column:
         if known.setdefault(normalised_text(s), name) != name:
             raise ValueError(f"{name} and {known[normalised_text(s)]} are the same sentence")
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    # Only sentences as long as some known one, give or take marks and spaces, are normalised.
-    least = min(map(len, known))
-    found = F.transform(F.filter(F.split(text, SPLIT), lambda s: F.length(s) >= least), lambda s: F.element_at(table, normalised(s)))
-    return F.filter(found, lambda x: x.isNotNull())
+    # Longer sentences first; between words may stand a line end, around a sentence must stand marks.
+    within = "|".join(s.replace(" ", f"[ {SOFT}]") for s in sorted(known, key=len, reverse=True))
+    pattern = f"(?<![^{HARD}{SOFT}])(?:{within})(?![^{HARD}{SOFT}])"
+    # Texts without the longest word of any sentence are not normalised.
+    least = "|".join(sorted({max(s.split(), key=len) for s in known}))
+    found = F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, SOFT, " ")))
+    return F.when(F.lower(text).rlike(least), ids).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: Mapping[str, str] = SENTENCES,

@@ -178,6 +178,24 @@ def test_license_rules_follow_order(spark, duck):
     assert scan_licenses(df.where("false")).count() == 0
 
 
+def test_wrapped_license_notices_match(spark):
+    import textwrap
+    s = SENTENCES
+    notices = {"GPL-3.0-or-later notice": s["gpl-free"] + "\n\n" + s["gpl-hope"] + " " + s["gpl-see"],
+               "MIT text": s["mit-title"] + "\n\n" + s["mit-notice"],
+               "BSD with rights reserved": s["rights-reserved"] + "\n\n" + s["bsd-redistribution"],
+               "Apache-2.0 header": f"{s['apache-notice-the-license']} {s['apache-compliance']}\n{s['apache-copy']}\n\n    {s['apache-url']}",
+               "MIT full text": s["mit-permission"] + "\n\n" + s["mit-notice"], "ISC": s["isc-permission"], "GPL-2.0-or-later": s["gpl2-free"],
+               "LGPL-2.1-or-later": s["lgpl21-free"], "AGPL-3.0-or-later": s["agpl3-free"], "MPL-2.0": s["mpl-form"] + " 2.0. " + s["mpl2-copy"]}
+    rows = []
+    for name, text in notices.items():
+        for before in ("", " * ", "# ", "// ", ";; "):
+            lines = [x for part in text.split("\n") for x in (textwrap.wrap(part, 66) or [""])]
+            rows.append((name, ("/*\r\n" if before == " * " else "") + ("\r\n" if before == "# " else "\n").join(before + x for x in lines)))
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        assert r.doc_id in r.licenses and set(r.matches) == {1}
+
+
 def test_poisson_inversion(spark):
     from pyspark.sql import functions as F
     for rate in (0.0, 0.3, 1.0, 7.5, 900.0):
