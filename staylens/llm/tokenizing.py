@@ -50,7 +50,7 @@ def load(path: str):
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for
     themselves, the others by characters from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -77,7 +77,7 @@ def encoder(path: str):
         return lambda text: library.encode(text, add_special_tokens=False).ids
     import tiktoken
 
-    byte, special = _byte_of(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    byte, special = byte_of(), {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return lambda text: fast.encode(text, allowed_special="all")
