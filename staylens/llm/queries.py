@@ -86,6 +86,12 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from staylens.llm.conversations import damage, repair_conversations
+
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staylens.llm.spelling import DAMAGE, spelling_groups
 
@@ -95,4 +101,5 @@ def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_pack_documents, op3_near_duplicates, op4_repeated_passages, op5_url_filter, op6_quality,
-        op7_licenses, op8_top_k, op9_mix_sources, op10_page_text, op11_bpe_codec, op13_spelling_groups)}
+        op7_licenses, op8_top_k, op9_mix_sources, op10_page_text, op11_bpe_codec, op12_conversation_repair,
+        op13_spelling_groups)}
