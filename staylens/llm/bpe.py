@@ -25,6 +25,7 @@ import json
 import re
 from array import array
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +38,27 @@ from staylens.llm.tokenizing import PIECE, byte_of, load
 BLOCK_IDS = 65_536
 #: Pieces in each of the two generations of the memo, and the longest one kept, in characters.
 MEMO_PIECES = 300_000
+#: Pre-tokens in each of the two generations of theirs.
+MEMO_WORDS = 100_000
 MEMO_CHARS = 48
 
+#: Texts that need no general pre-tokenizer: ASCII letters after at most one space, then at most one mark.
+PLAIN = re.compile("( ?)([A-Za-z]+)([.,;:!?]?)")
+
 DEAD = -1
 
 
+class _Words(Generations):
+    """pre-token -> its ids; the words of pieces that differ only in marks.  Long ones are not kept."""
+
+    def __init__(self, codec: BytePairCodec):
+        super().__init__(MEMO_WORDS)
+        self.value_of = codec.encode_word
+
+    def kept(self, word: str) -> bool:
+        return len(word) <= MEMO_CHARS
+
+
 class BytePairCodec:
     """Ids of texts and texts of ids, for a byte-level BPE vocabulary file of ``tokenizers``."""
 
@@ -61,6 +78,7 @@ class BytePairCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.symbol = {c: vocab[c] for c in byte_of()}
+        self.space = {b: c for c, b in byte_of().items()}[0x20]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: (left id, right id) -> rank; rank -> (left id, right id, merged id).
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
@@ -71,20 +89,17 @@ class BytePairCodec:
         for token, i in tokens.items():
             self.strings[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.names = [str(i) for i in range(len(self.strings))]
+        self.words = _Words(self)
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token, given as the characters that stand for its bytes."""
-        ids = [self.symbol[c] for c in word]
+        ids = list(map(self.symbol.__getitem__, word))
         n = len(ids)
         if n == 1:
             return ids
-        rank, merge = self.rank, self.merge
+        rank, merge = self.rank.get, self.merge
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            r = rank.get((ids[i], ids[i + 1]))
-            if r is not None:
-                queue.append((r, i))
+        queue = [(r, i) for i, r in enumerate(map(rank, pairwise(ids))) if r is not None]
         heapify(queue)
         while queue:
             r, i = heappop(queue)
@@ -96,18 +111,23 @@ class BytePairCodec:
             ids[i], ids[j], after[i] = merged, DEAD, k
             if k < n:
                 before[k] = i
-                s = rank.get((merged, ids[k]))
+                s = rank((merged, ids[k]))
                 if s is not None:
                     heappush(queue, (s, i))
             h = before[i]
             if h >= 0:
-                s = rank.get((ids[h], merged))
+                s = rank((ids[h], merged))
                 if s is not None:
                     heappush(queue, (s, h))
         return [x for x in ids if x != DEAD]
 
     def encode_plain(self, text: str) -> list[int]:
-        return [i for word, _ in self.split(text) for i in self.encode_word(word)]
+        m = PLAIN.fullmatch(text)
+        if m:  # a word and a mark are one pre-token each; a space counts as the word's first letter
+            space, word, mark = m.groups()
+            ids = self.words[self.space + word if space else word]
+            return ids + self.words[mark] if mark else ids
+        return [i for word, _ in self.split(text) for i in self.words[word]]
 
     def encode(self, text: str) -> list[int]:
         if self.special_at is None:

@@ -40,7 +40,7 @@ def test_ids_and_text_are_the_librarys(text):
 
 
 @pytest.mark.parametrize("text", [
-    "", " ", "a", "<|endoftext|>", "  <|endoftext|> <|endoftext|><|endoftext|>x", "<|startoftext|>", "it's we'll \n\n x  ",
+    "", " ", "a", " word, word. Word! a? b: c; 'll 's. x's", "<|endoftext|>", "  <|endoftext|> <|endoftext|><|endoftext|>x", "<|startoftext|>", "it's we'll \n\n x  ",
     "aaaaaaaaaaaa" * 50, "ab" * 5000, "😀👍🏽" * 30, " \u0085\x1c\x1f a", "日本語のテキスト。", "İ.", "\x00\x01"])
 def test_awkward_texts(memo, text):
     check(memo, text)
