@@ -1,12 +1,16 @@
-"""Token counts of whole texts by overlap resynchronisation.
+"""Token counts of whole texts; huge ones by overlap resynchronisation.
 
-Every text is cut into chunks that overlap.  A chunk is encoded on its own, which yields the
-offsets of its token boundaries with the tokens before each.  The first tokens of a chunk that
-starts inside a word or a white-space run are not those of the text; so two neighbouring chunks
-are spliced at a boundary that both have at the same offset in their overlap and that is proven
-stable (``tokenizing``).  Where the overlap holds none (a very long run without white space), the
-overlap is doubled until it does, or the chunk reaches the end of the text.  The count is the sum
-of the spliced parts; memory is bounded by the text and one chunk's offsets.
+A huge text is cut into chunks that overlap.  The tokenizer encodes each chunk as a whole and gives
+its tokens' offsets in the text.  The first tokens of a chunk that starts inside a word are not those
+of the text, nor are the last ones of a chunk that ends inside one.  So two neighbouring chunks are
+spliced at a place in their overlap that is proven stable (in front of a white-space run, see
+``tokenizing``), where no token of either goes across and after which both have the same tokens up
+to the next such place.  Where the overlap has none, the alignment has failed: the overlap is widened
+to twice its size and the chunk encoded again, until it succeeds or the chunk reaches the text's end.
+The count is the sum of the spliced parts; memory is bounded by the text and two chunks' offsets.
+
+A text of at most one chunk needs no splice.  It is counted piece by piece between stable places,
+with a memo of the pieces that the worker has seen.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows give one row
 each; null ids stay null; further columns are ignored, whatever their names; an empty table gives
@@ -16,7 +20,7 @@ an empty result.
 from __future__ import annotations
 
 from bisect import bisect_left
-from itertools import accumulate
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,34 +34,60 @@ CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
 
 
-def chunk_offsets(chunk: str, base: int, counts) -> tuple[list[int], list[int]]:
-    """Boundaries of an encoded chunk in front of white space, as offsets in the text, and the
-    chunk's tokens before each.  The last entry is the chunk's end."""
-    pieces = PIECE.findall(chunk)
-    ends = [base + n for n in accumulate(map(len, pieces))]
-    return ends, list(accumulate(map(counts.__getitem__, pieces)))
-
-
-def count_text(text: str, counts, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
-    """Tokens of ``text``; ``counts`` maps a piece to its number of tokens."""
-    n = len(text)
-    if n <= chunk + overlap:
-        return sum(map(counts.__getitem__, PIECE.findall(text)))
-    total, start, spliced = 0, 0, 0
-    while True:
-        end, wide = min(n, start + chunk), overlap
-        # The overlap with the next chunk is [end, end + wide): widen it until it holds a boundary.
-        while end < n and end + wide < n and not BOUNDARY.search(text, end + 1, end + wide):
+@dataclass
+class Chunk:
+    """An encoded part of a text: its end, and the ids of its tokens with their offsets in the text."""
+
+    end: int
+    ids: list[int]
+    starts: list[int]
+    ends: list[int]
+
+    def between(self, low: int, high: int) -> list[int]:
+        return self.ids[bisect_left(self.starts, low):bisect_left(self.starts, high)]
+
+    def splits_at(self, place: int) -> bool:
+        """Whether no token goes across ``place``."""
+        i = bisect_left(self.starts, place)
+        return i == 0 or self.ends[i - 1] <= place
+
+
+def encode_chunk(text: str, low: int, high: int, tokenizer) -> Chunk:
+    found = tokenizer.encode(text[low:high], add_special_tokens=False)
+    offsets = found.offsets
+    return Chunk(high, found.ids, [low + a for a, _ in offsets], [low + b for _, b in offsets])
+
+
+def splice_at(text: str, left: Chunk, right: Chunk, low: int) -> int | None:
+    """A stable place in the overlap [low, left.end) where both chunks have a border and agree on what follows."""
+    places = [m.start() for m in BOUNDARY.finditer(text, low + 1, left.end)]
+    for place, after in zip(places, places[1:]):
+        if (left.splits_at(place) and right.splits_at(place)
+                and left.between(place, after) == right.between(place, after)):
+            return place
+    return None
+
+
+def count_huge(text: str, tokenizer, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
+    """Tokens of ``text``, from encoded chunks spliced in their overlaps."""
+    n, total, spliced, start = len(text), 0, 0, 0
+    left = encode_chunk(text, 0, min(n, chunk + overlap), tokenizer)
+    while left.end < n:
+        low, wide = max(start, left.end - overlap), overlap
+        right = encode_chunk(text, low, min(n, low + chunk + overlap), tokenizer)
+        place = splice_at(text, left, right, low)
+        while place is None and left.end < n:
+            # Widen: the left chunk grows to the right, and so does the right one if it must.
             wide *= 2
-        stop = min(n, end + wide) if end < n else n
-        ends, sums = chunk_offsets(text[start:stop], start, counts)
-        base = sums[bisect_left(ends, spliced)] if spliced else 0
-        if stop >= n:
-            return total + sums[-1] - base
-        # A boundary beyond the overlap's first character is also one of the next chunk's own.
-        cut = BOUNDARY.search(text, end + 1, stop).start()
-        total += sums[bisect_left(ends, cut)] - base
-        start, spliced = max(end, cut - overlap), cut
+            left = encode_chunk(text, start, min(n, left.end + wide), tokenizer)
+            if right.end < min(n, left.end + chunk):
+                right = encode_chunk(text, low, min(n, left.end + chunk), tokenizer)
+            place = splice_at(text, left, right, low)
+        if place is None:
+            break
+        total += len(left.between(spliced, place))
+        start, spliced, left = low, place, right
+    return total + len(left.between(spliced, n + 1))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -72,7 +102,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         counts = memo(tokenizer_path, "counts")
         for b in slices(batches):
             texts = pc.fill_null(b.column(1), "")
-            n = [count_text(t, counts, chunk, overlap) for t in texts.to_pylist()]
+            n = [count_huge(t, counts.library, chunk, overlap) if len(t) > chunk + overlap
+                 else sum(map(counts.__getitem__, PIECE.findall(t))) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64())],
                 ["id", "n_bytes", "n_tokens"])

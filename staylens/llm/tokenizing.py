@@ -58,12 +58,11 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-def encoder(path: str):
+def encoder(path: str, library):
     """text -> ids, as the library gives them without added special tokens.
 
     A byte-level vocabulary whose ids follow its merges gives the same ids by ranks, which a
     rank encoder does in half the time."""
-    library = load(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, model = spec["pre_tokenizer"], spec["model"]
@@ -83,19 +82,25 @@ def encoder(path: str):
     return lambda text: fast.encode(text, allowed_special="all")
 
 
+#: Letters of ASCII and Latin-1: each is a letter in lower case too.
+LATIN = frozenset(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº")
+
+
 class Memo(Generations):
     """piece -> value of ``make(ids)``; long pieces are not kept.
 
-    A full stop or comma after a letter is a pre-token of its own: such a piece is put together from
-    the piece without it."""
+    A full stop or comma after a Latin letter is a pre-token of its own: such a piece is put together
+    from the piece without it.  (Other letters may end in a mark once they are lower-cased, or be
+    unknown to the vocabulary's letter class.)"""
 
     def __init__(self, path: str, make):
         super().__init__(MEMO_PIECES)
-        self.encode = encoder(path)
+        self.library = load(path)
+        self.encode = encoder(path, self.library)
         self.make = make
 
     def value_of(self, piece: str):
-        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
+        if len(piece) > 1 and piece[-1] in ".," and piece[-2] in LATIN:
             return self[piece[:-1]] + self[piece[-1]]
         return self.make(self.encode(piece))
 

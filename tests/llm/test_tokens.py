@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from staylens.llm.common import Generations
 from staylens.llm.packing import Packer, lower_bound, pack_documents
-from staylens.llm.token_counts import count_text, count_tokens
+from staylens.llm.token_counts import count_huge, count_tokens
 from staylens.llm.tokenizing import PIECE, memo
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -28,7 +28,8 @@ def library(lib, text):
 @settings(max_examples=300, deadline=None)
 @given(TEXT, st.sampled_from([(40, 3), (17, 1), (64, 16)]))
 def test_resynchronised_count_is_the_librarys(text, sizes):
-    assert count_text(text, memo(WORD, "counts"), *sizes) == len(library(WORD_LIB, text))
+    assert count_huge(text, WORD_LIB, *sizes) == len(library(WORD_LIB, text))
+    assert sum(map(memo(WORD, "counts").__getitem__, PIECE.findall(text))) == len(library(WORD_LIB, text))
 
 
 @settings(max_examples=300, deadline=None)
@@ -40,7 +41,26 @@ def test_ids_of_pieces_are_the_librarys(text):
 
 @pytest.mark.parametrize("text", ["y" * 3000, ("w " * 30 + "z" * 500) * 8, "<|endoftext|> a<|startoftext|>b " * 40, "日本語 テキスト" * 200])
 def test_overlaps_widen_until_a_stable_boundary(text):
-    assert count_text(text, memo(WORD, "counts"), 50, 5) == len(library(WORD_LIB, text))
+    assert count_huge(text, WORD_LIB, 50, 5) == len(library(WORD_LIB, text))
+    assert count_huge(text, BYTE_LIB, 50, 5) == len(library(BYTE_LIB, text))
+
+
+@pytest.mark.parametrize("path,lib", [(WORD, WORD_LIB), (BYTE, BYTE_LIB)])
+def test_letters_before_marks_count_as_the_librarys(path, lib):
+    counts, wrong = memo(path, "counts"), []
+    for low in range(0, 0x30000, 64):
+        letters = [chr(c) for c in range(low, low + 64) if chr(c).isalpha()]
+        text = " ".join(f"{c}. {c}, Vatan {c}. y{c}." for c in letters)
+        if sum(map(counts.__getitem__, PIECE.findall(text))) != len(library(lib, text)):
+            wrong.append(hex(low))
+    assert not wrong
+
+
+def test_chunks_that_start_and_end_inside_words():
+    rnd = random.Random(8)
+    text = "".join(rnd.choice(["the ", "an", "e\u0301", "İ", " \n", "x" * 30, "'ll ", "12 ", "日本", "ing. "]) for _ in range(6000))
+    for chunk, overlap in ((1000, 1), (997, 40), (64, 64), (5000, 300)):
+        assert count_huge(text, WORD_LIB, chunk, overlap) == len(library(WORD_LIB, text))
 
 
 def test_count_tokens_on_awkward_rows(spark):
