@@ -5,8 +5,10 @@ blocks inside menus, footers, side columns, forms, notices, adverts or reader co
 role, or a word of class or id) are boilerplate, so is a block of mostly links; a long block with
 many stop words is content, a long one with few is boilerplate; the rest is ambiguous.  Where the
 page marks its article (``article``, ``main``, ``role=main``, ``itemprop=articleBody``, or a word such as
-``content`` in the class or id of a container), blocks of it without such evidence against them are content whatever their words, and blocks outside it are
-boilerplate.  In the second pass an ambiguous block inherits the label of its nearest decided
+``content`` in the class or id of a container), blocks of it without such evidence against them are
+content whatever their words, and blocks outside it are boilerplate; inside the article, a block of mostly
+links or under a name that only often means boilerplate stays if it reads like running text.  On a page
+in a language without stop words here, length and link density decide.  In the second pass an ambiguous block inherits the label of its nearest decided
 neighbour: content if the nearest ones disagree at equal distance and it has stop words enough to
 be nearly content, else boilerplate.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,6 +38,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p "
     "pre search section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = frozenset(
     "article aside blockquote body center details dialog div dl fieldset figure footer form head header li main menu "
     "nav ol search section table tbody td tr ul".split())
@@ -48,6 +52,8 @@ BOILER_WORDS = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin "
     "search pagination pager toolbar skip masthead topbar copyright legal form "
     "commentlist usercomments adsbygoogle adslot cookiebar topnav sidenav subnav footnav mainmenu".split())
+# Of these, the words that sections of an article may have as well.
+WEAK_WORDS = frozenset("legal social menu copyright search skip alert banner".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -65,14 +71,22 @@ SHORT_CHARS, LONG_CHARS = 70, 200
 STOP_LOW, STOP_HIGH = 0.08, 0.16
 LINK_DENSITY = 0.33
 
+_COMMENT = r"<!--(?:.*?--!?>|.*)"
+_RAW_OPEN = r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])"
+_RAW_REST = r">(?:(?<=/>)|.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z))"
+_QUOTED = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_OTHER = r"|<[!?/][^>]*+(?:>|\Z)"
+_TEXT = r"|(?P<text>[^<]+|<)"
+#: Markup with quoted attribute values.  ``broken`` is a tag that no > outside quotes ends: from there on LOOSE
+#: reads the page, where quotes hide nothing, so that every character is looked at a bounded number of times.
 TOKEN = re.compile(
-    r"<!--(?:.*?--!?>|.*)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:(?<=/>)|.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/][^>]*>"
-    r"|</?[a-z][^<>]*(?:>|\Z)"
-    r"|(?P<text>[^<]+|<)", re.S | re.I)
-ATTR = re.compile(r"""([a-z][a-z-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.I)
+    _COMMENT + _RAW_OPEN + _QUOTED + _RAW_REST
+    + r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>" + _QUOTED + r")>|(?P<broken></?[a-z])" + _OTHER + _TEXT, re.S | re.I)
+LOOSE = re.compile(
+    _COMMENT + _RAW_OPEN + r"[^<>]*+" + _RAW_REST
+    + r"|<(?P<close>/?)(?P<tag>[a-z][^\s/<>]*+)(?P<attrs>[^<>]*+)>|</?[a-z][^<>]*+\Z|(?P<broken></?(?=[a-z]))" + _OTHER + _TEXT,
+    re.S | re.I)
+ATTR = re.compile(r"""(?<![a-z-])(?:([a-z][a-z-]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))|(hidden)\b)""", re.I)
 WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 GOOD, BAD, UNSURE, NEARLY = "good", "bad", "unsure", "nearly"
@@ -83,6 +97,8 @@ class Block:
     text: str
     link_chars: int
     boiler: bool
+    suspect: bool  # inside an article, under a name that boilerplate often has
+    heading: bool
     article: int  # 0: outside, 1: in a main element, 2: in an article
 
 
@@ -90,23 +106,33 @@ def attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(raw)}
 
 
+def tokens(page: str):
+    """Matches of the page's markup and text, in order."""
+    for m in TOKEN.finditer(page):
+        if m["broken"]:
+            yield from LOOSE.finditer(page, m.start())
+            return
+        yield m
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, white space folded and trimmed, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # container, inside boilerplate, inside the article
+    stack: list[tuple[str, bool, bool, int]] = []  # container, inside boilerplate, suspect, inside the article
+    opened: Counter = Counter()  # containers of each name in the stack
     parts: list[str] = []
-    link_chars, in_link, breaks = 0, False, 0
+    link_chars, in_link, breaks, heading = 0, False, 0, False
 
     def end_block():
         nonlocal link_chars, breaks
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, link_chars, *(stack[-1][1:] if stack else (False, 0))))
+            out.append(Block(text, link_chars, *(stack[-1][1:3] if stack else (False, False)), heading, stack[-1][3] if stack else 0))
         parts.clear()
         link_chars, breaks = 0, 0
 
-    for m in TOKEN.finditer(page):
-        if (t := m["text"]) is not None:
+    for m in tokens(page):
+        if (t := m["text"] or m["broken"]) is not None:
             t = html.unescape(t) if "&" in t else t
             parts.append(t)
             if (n := len("".join(t.split()))):
@@ -130,15 +156,17 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in BLOCK:
             continue
         end_block()
+        heading = not m["close"] and tag in HEADINGS
         if tag not in CONTAINER:
             continue
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            if opened[tag]:
+                while (last := stack.pop()[0]) != tag:
+                    opened[last] -= 1
+                opened[tag] -= 1
                 in_link = False
             continue
-        boiler, article = stack[-1][1:] if stack else (False, 0)
+        boiler, suspect, article = stack[-1][1:] if stack else (False, False, 0)
         if tag in ("body", "html"):
             continue
         found = attributes(m["attrs"]) if m["attrs"] else {}
@@ -147,17 +175,18 @@ def blocks_of(page: str) -> list[Block]:
         against = (tag in BOILER_TAGS or role in BOILER_ROLES or "hidden" in found
                    or found.get("aria-hidden", "").lower() == "true"
                    or "display:none" in found.get("style", "").replace(" ", "").lower()
-                   or bool(words & BOILER_WORDS)
+                   or bool(words & (BOILER_WORDS - WEAK_WORDS if article else BOILER_WORDS))
                    or (not article and (tag == "header" or "header" in words)))
         if tag == "article" and words & {"article", "post", "main"} and not words & {"comment", "comments", "teaser", "related"}:
             against = False
-        boiler = boiler or against
+        boiler, suspect = boiler or against, suspect or bool(article and words & WEAK_WORDS)
         if not boiler:
             if tag == "article" or "articlebody" in found.get("itemprop", "").lower():
                 article = 2
             elif tag == "main" or role == "main" or tag in ("div", "section", "td") and words & CONTENT_WORDS:
                 article = max(article, 1)
-        stack.append((tag, boiler, article))
+        opened[tag] += 1
+        stack.append((tag, boiler, suspect, article))
     end_block()
     return out
 
@@ -167,28 +196,48 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words)
 
 
+def weight(text: str) -> int:
+    """Length of a text in letters of an alphabet: a sign of a script without word spaces counts for three."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(c >= "\u2e80" for c in text)
+
+
 def first_pass(blocks: list[Block]) -> list[str]:
+    """A label for each block on its own.
+
+    If no long block of an unmarked page has stop words of the lists, the page is in another language: then
+    length and link density decide, and a long block of few links is content.
+    """
     marked = max((b.article for b in blocks if not b.boiler), default=0)
+    links = [b.link_chars / len(b.text.replace(" ", "")) for b in blocks]
+    size = [weight(b.text) for b in blocks]
+    own = [not b.boiler and x <= LINK_DENSITY for b, x in zip(blocks, links)]
+    known = marked or any(stop_density(b.text) >= STOP_LOW for b, n, ok in zip(blocks, size, own) if ok and n >= SHORT_CHARS)
     labels = []
-    for b in blocks:
-        links = b.link_chars / len(b.text.replace(" ", ""))
-        if b.boiler or links > LINK_DENSITY and (not marked or links > 0.8 or b.article < marked):
+    for b, x, n, ok in zip(blocks, links, size, own):
+        if b.boiler or not ok and not (marked and b.article == marked and (x <= 0.8 or running(b.text))):
             labels.append(BAD)
         elif marked:
-            labels.append(GOOD if b.article == marked else BAD)
-        elif len(b.text) < SHORT_CHARS:
+            labels.append(GOOD if b.article == marked and (not b.suspect or running(b.text)) else BAD)
+        elif n < SHORT_CHARS:
             labels.append(BAD if b.link_chars else UNSURE)
+        elif not known:
+            labels.append(GOOD if n > LONG_CHARS else NEARLY)
         else:
             stops = stop_density(b.text)
-            if len(b.text) > LONG_CHARS:
+            if n > LONG_CHARS:
                 labels.append(GOOD if stops >= STOP_HIGH else NEARLY if stops >= STOP_LOW else BAD)
             else:
                 labels.append(NEARLY if stops >= STOP_LOW else BAD if b.link_chars else UNSURE)
     return labels
 
 
-def second_pass(labels: list[str]) -> list[bool]:
-    """Whether each block is content."""
+def running(text: str) -> bool:
+    """Whether a block reads like a sentence or more, whatever its links and names."""
+    return weight(text) >= SHORT_CHARS and stop_density(text) >= STOP_LOW
+
+
+def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
+    """Whether each block is content; at equal distance a heading goes with what follows."""
     n = len(labels)
     before, after = [n] * n, [n] * n  # distance to the nearest decided neighbour, with its label
     left, right = [BAD] * n, [BAD] * n
@@ -212,13 +261,13 @@ def second_pass(labels: list[str]) -> list[bool]:
         elif before[i] != after[i]:
             kept.append((left[i] if before[i] < after[i] else right[i]) == GOOD)
         else:
-            kept.append(label == NEARLY)
+            kept.append(label == NEARLY or headings[i] and right[i] == GOOD)
     return kept
 
 
 def extract_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    return "\n".join(b.text for b, keep in zip(blocks, second_pass(first_pass(blocks))) if keep)
+    return "\n".join(b.text for b, keep in zip(blocks, second_pass(first_pass(blocks), [b.heading for b in blocks])) if keep)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,11 +1,13 @@
 """Exact top-k search and page text."""
 
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 
-from staylens.llm.html_text import blocks_of, extract_pages, extract_text
+from staylens.llm.html_text import BLOCK, RAW, blocks_of, extract_pages, extract_text
 from staylens.llm.topk import search_cell, segment_statistics, top_k, top_k_queries
 
 
@@ -104,9 +106,93 @@ def test_awkward_pages(page, text):
     assert extract_text(page) == text
 
 
-def test_broken_markup_stays_linear():
-    for page in ("<a " * 50_000, "<p title='" * 20_000, "<!--" * 50_000, "<div>" * 20_000 + "x", "&" * 100_000, "<script>" * 20_000):
+BROKEN = ["<a ", "<p title='", "<!--", "<div>", "&", "<script>", "<div", "<!x ", "</p ", "<script ", "a < b <c ", "</ul><div>", "</script ",
+          "<b x='>'", '<b a="<i ', "a", "<p a", "<a=b ", "<?"]
+
+
+@pytest.mark.parametrize("shape", BROKEN)
+def test_broken_markup_stays_linear(shape):
+    for page in (shape * 40_000, "<script>" + shape * 40_000, "<div>" * 20_000 + shape * 40_000 + "'>"):
+        start = time.process_time()
         blocks_of(page)
+        assert time.process_time() - start < 8
+
+
+RUSSIAN = "Дом стоял на холме, и люди из деревни приходили туда каждое лето, когда было тепло и тихо. " * 4
+CHINESE = "山上的房子很老，村里的人每年夏天都会去那里，因为那里很安静，也很凉快。" * 5
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, CHINESE, "Huset låg på en kulle utanför byn där ingen bodde längre under vintern. " * 4])
+def test_unmarked_pages_of_other_languages(text):
+    whole = " ".join(text.split())
+    page = (f"<body><div><a href=1>Главная</a> <a href=2>新闻</a></div><h1>Title</h1><p>{text}</p><p>{text}</p><p>Kort.</p><p>{text}</p>"
+            f"<ul><li><a href=3>{whole[:60]}</a></li></ul><div class=footer>{text}</div></body>")
+    assert extract_text(page).split("\n") == ["Title", whole, whole, "Kort.", whole]
+
+
+def test_article_keeps_its_sections():
+    whole = " ".join(ARTICLE.split())
+    page = (f"<article><h1>T</h1><section class='legal'><p>{ARTICLE}</p></section><p><a href=x>{ARTICLE}</a></p>"
+            f"<div class='menu'><p>Home</p></div><div class='comments'><p>{ARTICLE}</p></div><p>End</p></article>")
+    assert extract_text(page).split("\n") == ["T", whole, whole, "End"]
+
+
+class Splitter(HTMLParser):
+    """A second way to the blocks of well-formed pages."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.parts, self.raw = [], [], 0
+
+    def end(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.raw += tag in RAW
+        if tag in RAW:
+            self.parts.append(" ")
+        elif tag in BLOCK:
+            self.end()
+
+    def handle_endtag(self, tag):
+        self.raw -= tag in RAW
+        if tag in BLOCK:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.parts.append(data)
+
+
+def random_page(rnd, depth=0):
+    out = []
+    for _ in range(rnd.randint(1, 4)):
+        kind = rnd.random()
+        if kind < 0.4 or depth > 4:
+            out.append(rnd.choice(["word", " two words ", "\n", "&amp; &lt;b&gt; &eacute;&#x41;", "x > y", "日本 ", "'\"", "&nbsp;a"]))
+        elif kind < 0.5:
+            tag = rnd.choice(["script", "style"])
+            out.append(f"<{tag} a='1'>if (a &&  b) {{}} '</p>'</{tag}>")
+        elif kind < 0.55:
+            out.append("<!-- <p>no</p> -->")
+        else:
+            tag = rnd.choice(["div", "p", "b", "span", "li", "ul", "section", "td", "em", "h2"])
+            attrs = rnd.choice(["", " class='x'", ' title="a > b"', " data-x=1", " hidden-x"])
+            out.append(f"<{tag}{attrs}>{random_page(rnd, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_blocks_are_those_of_a_second_parser():
+    rnd = random.Random(12)
+    for _ in range(400):
+        page = random_page(rnd)
+        parser = Splitter()
+        parser.feed(page)
+        parser.close()
+        parser.end()
+        assert [b.text for b in blocks_of(page)] == parser.blocks, page
 
 
 def test_extract_pages(spark):
