@@ -26,24 +26,26 @@ from staylens.session import checkpoint_root
 _V, _W, _PID, _G = "_q_v", "_q_w", "_q_pid", "_q_g"
 
 
-def weighted_values(df: DataFrame, col: str | Column, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct (by..., value, weight) rows; NaN and NULL values are left out."""
+def weighted_values(df: DataFrame, col: str | Column, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Distinct (by..., value, weight) rows; NaN and NULL values are left out.  A row counts once, or as
+    often as its ``weight`` column (a whole number) says."""
     v = (F.col(col) if isinstance(col, str) else col).cast("double")
-    vals = df.select(*by, v.alias(_V)).where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)))
-    return vals.groupBy(*by, _V).agg(F.count(F.lit(1)).alias(_W))
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    vals = df.select(*by, v.alias(_V), w.alias(_W)).where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)) & (F.col(_W) > 0))
+    return vals.groupBy(*by, _V).agg(F.sum(_W).alias(_W))
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float],
-                    by: Sequence[str] = (), count_col: str | None = None) -> DataFrame:
+                    by: Sequence[str] = (), count_col: str | None = None, weight: str | None = None) -> DataFrame:
     """One row per group: ``by`` columns plus one double column per entry of ``probs``.
 
     Groups without a non-null value do not appear.  ``count_col`` adds the number
-    of non-null values of the group.
+    of non-null values of the group.  ``weight`` names a column of repetition counts.
     """
     by = list(by)
     spark = df.sparkSession
     checkpoint_root(spark)
-    dist = weighted_values(df, col, by)
+    dist = weighted_values(df, col, by, weight)
     # One non-null key per group (NULL group values included), so that the joins below
     # are plain equi-joins on the same keys the windows partition by: no re-shuffle.
     gkey = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("")

@@ -231,6 +231,11 @@ class ColumnScaler(Estimator, _ScalerParams, Persistable):
         super().__init__()
         self._set(inputCols=list(inputCols), withMean=bool(withMean), ddof=int(ddof), suffix=suffix)
 
+    def learned(self, stats: Mapping[str, list]) -> "ColumnScalerModel":
+        """The model of given (mean, std) per column."""
+        return ColumnScalerModel(self.getOrDefault("inputCols"), self.getOrDefault("withMean"), self.getOrDefault("ddof"),
+                                 self.getOrDefault("suffix"), stats)
+
     def _fit(self, df: DataFrame) -> "ColumnScalerModel":
         cols = self.getOrDefault("inputCols")
         sd = F.stddev_pop if self.getOrDefault("ddof") == 0 else F.stddev_samp
@@ -351,6 +356,11 @@ class ColumnPipeline:
             self.features += encoder.new_columns()
         return self
 
+    def use(self, numeric: Sequence[Model], categorical: Sequence[Model], features: Sequence[str]) -> "ColumnPipeline":
+        """The pipeline of stages that were learned elsewhere."""
+        self.stages, self.features = [*numeric, *categorical], list(features)
+        return self
+
     def _add(self, estimator, df: DataFrame):
         for stage in self.stages:
             df = stage.transform(df)
@@ -468,10 +478,13 @@ def rfe_select(df: DataFrame, features: Sequence[str], label: str, n: int = 5, s
     solves only the d x d system.  Returns a
     list of (feature, ranking, selected) tuples, ranking 1 = kept.
     """
-    d = len(features)
     g = gramian_matrix(df, features, label)
-    if standardize:
-        g = standardized_gramian(g)
+    return eliminate(standardized_gramian(g) if standardize else g, features, n)
+
+
+def eliminate(g: np.ndarray, features: Sequence[str], n: int) -> list[tuple[str, int, bool]]:
+    """(feature, ranking, selected) of recursive elimination down to ``n`` on the Gramian of [1, features, y]."""
+    d = len(features)
     a, b = g[:d + 1, :d + 1], g[:d + 1, d + 1]
     active = list(range(d))
     ranking = {}

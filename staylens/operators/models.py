@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions.scalar import quoted, x_of
-from staylens.operators.features import (ColumnPipeline, assemble_features, gramian, gramian_matrix, normal_equations,
-                                         rfe_select, scaler_pop, solve_ols)
+from staylens.operators.features import (ColumnPipeline, ExactImputerModel, OneHotColumnsModel, assemble_features, gramian,
+                                         gramian_matrix, normal_equations, scaler_pop, solve_ols)
+from staylens.operators.folds import FoldComplements, pipeline_cv  # noqa: F401
 from staylens.session import FIT_PARTITIONS, default_parallelism, materialize, scratch_path, ship_package, wide_projection_mode
 from staylens.sources.readers import path_exists
 
@@ -58,6 +59,12 @@ class ClosedFormOLS:
             float(c) for c in np.linalg.pinv(g[:-1, :-1] / n, rcond=1e-10, hermitian=True) @ (g[:-1, -1] / n))
         return self
 
+    def known(self, intercept: float, coefficients: Sequence[float]) -> "ClosedFormOLS":
+        """The model of given coefficients, on the features as they are."""
+        self.scaler = scaler_pop(self.features).learned({c: [0.0, 1.0] for c in self.features})
+        self.intercept, self.coefficients = float(intercept), [float(w) for w in coefficients]
+        return self
+
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         e = F.lit(self.intercept)
         for c, w in zip(self.features, self.coefficients):
@@ -127,45 +134,32 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, **kw):
 
 
 class LinearPipeline:
-    """Preprocessing (``ColumnPipeline``), recursive elimination to ``n`` features, and OLS on them."""
+    """Preprocessing (``ColumnPipeline``), recursive elimination to ``n`` features, and OLS on them.
+
+    Statistics, elimination and coefficients come from the two passes of ``FoldComplements``; given these
+    (``stats``), fitting reads no row."""
 
     def __init__(self, numeric: Sequence[str], categorical: Sequence[str], label: str, n: int = 5):
         self.pipeline, self.label, self.n = ColumnPipeline(numeric, categorical), label, n
 
-    def fit(self, df: DataFrame) -> "LinearPipeline":
-        df = df.where(x_of(self.label).isNotNull())
-        self.pipeline.fit(df)
-        data = self.pipeline.transform(df)
-        with wide_projection_mode(df.sparkSession):
-            ranked = rfe_select(data, self.pipeline.features, self.label, self.n, standardize=False)
-            self.chosen = [f for f, _, keep in ranked if keep]
-            self.ols = ClosedFormOLS(self.chosen, self.label).fit(data)
+    def fit(self, df: DataFrame, stats: FoldComplements | None = None) -> "LinearPipeline":
+        stats = stats or FoldComplements(df, self.pipeline.numeric, self.pipeline.categorical, self.label)
+        found, _ = stats.learn(self.n)
+        numeric, categorical, kinds = stats.numeric, stats.categorical, dict(df.dtypes)
+        scaler = scaler_pop(numeric).learned({c: list(s) for c, s in zip(numeric, found.scales)})
+        modes = {c: m if m is None or kinds[c] == "string" else F.lit(m).cast(kinds[c]) for c, m in zip(categorical, found.modes)}
+        self.pipeline.use([ExactImputerModel(numeric, "median", "", dict(zip(numeric, found.medians))), scaler] if numeric else [],
+                          [ExactImputerModel(categorical, "mode", "", modes),
+                           OneHotColumnsModel(categorical, False, dict(zip(categorical, found.levels)))] if categorical else [],
+                          found.features)
+        self.chosen = found.chosen
+        self.ols = ClosedFormOLS(self.chosen, self.label).known(found.intercept, found.coefficients)
         return self
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return self.ols.transform(self.pipeline.transform(df), out)
 
 
-def pipeline_cv(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, fold: str = "fold",
-                n: int = 5, parallelism: int = 5) -> DataFrame:
-    """D3: (fold, r2, n, features) of the linear pipeline, every statistic of it learned without the fold.
-
-    Folds are as many as the caller asked for; their fits overlap in a thread pool."""
-    from staylens.operators.metrics import regression_metrics
-    spark = df.sparkSession
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)
-
-    def run(f):
-        model = LinearPipeline(numeric, categorical, label, n).fit(df.where(F.col(fold) != F.lit(f)))
-        with wide_projection_mode(spark):
-            m = regression_metrics(model.transform(df.where(F.col(fold) == F.lit(f))), label).first()
-        return int(f), m["r2"], int(m["samples"]), model.chosen
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds) or 1))) as pool:
-        rows = list(pool.map(run, folds))
-    return spark.createDataFrame(rows, "fold int, r2 double, n long, features array<string>")
-
-
 # ----------------------------------------------------------------------------- segments
 
 

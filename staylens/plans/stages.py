@@ -8,6 +8,7 @@ stage times next to the published ones.  Each returns a small result frame.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ from staylens.operators import features as FT
 from staylens.operators import models as M
 from staylens.operators import splits as S
 from staylens.operators.cleaning import ListingCleaner, fill_zero
+from staylens.operators.folds import FoldComplements
 from staylens.operators.metrics import regression_metrics
 from staylens.plans.frames import ALL_NUMERIC, CATEGORICAL_FEATURES
-from staylens.session import materialize, scratch_path
+from staylens.session import scratch_path
 from staylens.sources import sinks
 from staylens.sources.fixtures import listings_raw
 
@@ -38,12 +40,12 @@ def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linear_stage(clean: DataFrame) -> DataFrame:
     """5-fold CV of the whole linear pipeline, its fit on the training rows and held-out metrics."""
     data = S.kfold(S.hash_split(clean, "id"), "id", 5, 43)
-    train = materialize(data.where("split = 'train'"))
-    folds = M.pipeline_cv(train, ALL_NUMERIC, CATEGORICAL, "log_price")
-    model = M.LinearPipeline(ALL_NUMERIC, CATEGORICAL, "log_price").fit(train)
+    train = data.where("split = 'train'")
+    stats = FoldComplements(train, ALL_NUMERIC, CATEGORICAL, "log_price", "fold")
+    r2 = np.array([stats.fold_score(k)[1] for k in range(len(stats.folds))], float)
+    cv = {"cv_mean": float(r2.mean()), "cv_std": float(r2.std())}
+    model = M.LinearPipeline(ALL_NUMERIC, CATEGORICAL, "log_price").fit(train, stats)
     m = regression_metrics(model.transform(data.where("split = 'test'")), "log_price")
-    cv = folds.agg(F.avg("r2").alias("cv_mean"), F.stddev_pop("r2").alias("cv_std")).first()
-    train.unpersist()
     return m.withColumns({"cv_mean": F.lit(cv["cv_mean"]), "cv_std": F.lit(cv["cv_std"])})
 
 
