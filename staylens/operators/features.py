@@ -424,27 +424,31 @@ def gramian_rows(df: DataFrame, cols: Sequence[str], label: str, by: str | None
 
     One pass: every task multiplies its batches and sends one row of cells per matrix row (and value
     of ``by``); these are summed cell by cell."""
-    ship_package(df.sparkSession)
-    d = len(cols) + 2
     xs = [x_of(c) for c in [*cols, label]]
-    kind = dict(df.dtypes)[by] if by else "int"
-    key = F.col(quoted(by)) if by else F.lit(0)
-    data = df.select(key.alias("key"), F.array(*xs).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+    data = df.select((F.col(quoted(by)) if by else F.lit(0)).alias("key"), F.array(*xs).alias("x"))
+    return gramian_of(data.where(F.forall("x", lambda v: v.isNotNull())), len(cols) + 2)
+
+
+def gramian_of(data: DataFrame, d: int) -> DataFrame:
+    """(key, i, cells) of Z'Z for Z = [1, x], from rows (key, x array<double> of d - 1 cells, none missing)."""
+    ship_package(data.sparkSession)
 
     def run(batches):
         total: dict = {}
         for b in batches:
             z = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d - 1)
             z = np.hstack([np.ones((b.num_rows, 1)), z])
-            keys = np.array(b.column(0).to_pylist(), dtype=object)
-            for k in set(keys.tolist()):
-                part = z if not by else z[[x == k for x in keys]]
-                total[k] = total.get(k, 0.0) + part.T @ part
+            coded = b.column(0).dictionary_encode()
+            codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for k in np.unique(codes).tolist():
+                part = z[codes == k]
+                key = None if k < 0 else coded.dictionary[k].as_py()
+                total[key] = total.get(key, 0.0) + part.T @ part
         for k, g in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * d, b.schema.field(0).type), pa.array(range(d), pa.int32()),
                                               pa.array(g.tolist(), pa.list_(pa.float64()))], ["key", "i", "cells"])
 
-    rows = data.mapInArrow(run, f"key {kind}, i int, cells array<double>")
+    rows = data.mapInArrow(run, f"key {dict(data.dtypes)['key']}, i int, cells array<double>")
     cells = rows.select("key", "i", F.posexplode("cells").alias("j", "v")).groupBy("key", "i", "j").agg(F.sum("v").alias("v"))
     return cells.groupBy("key", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("cells"))
 

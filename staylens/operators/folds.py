@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.scalar import quoted, x_of
 from staylens.functions.stats import exact_quantiles
-from staylens.operators.features import eliminate, gramian_rows
+from staylens.operators.features import eliminate, gramian_of
 from staylens.session import materialize
 
 ALL = -1
@@ -111,11 +111,10 @@ class FoldComplements:
         for i, levels in enumerate(self.all_levels):
             c = F.col(f"c{i}")
             columns += [F.coalesce((c == F.lit(v)).cast("double"), F.lit(0.0)) for v in levels] + [c.isNull().cast("double")]
-        names = [f"z{j}" for j in range(len(columns))]
-        layout = self.rows.select("fold", (F.col("y") - F.lit(self.y0)).alias("y"), *[c.alias(n) for c, n in zip(columns, names)])
-        size = len(names) + 2
+        layout = self.rows.select(F.col("fold").alias("key"), F.array(*columns, F.col("y") - F.lit(self.y0)).alias("x"))
+        size = len(columns) + 2
         self.own = {f: np.zeros((size, size)) for f in self.folds}
-        for r in gramian_rows(layout, names, "y", "fold").collect():
+        for r in gramian_of(layout, size).collect():
             self.own[r["key"]][r["i"]] = r["cells"]
         self.total = sum(self.own.values(), np.zeros((size, size)))
 
