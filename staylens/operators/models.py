@@ -9,7 +9,9 @@ single grouped count.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -18,6 +20,7 @@ from functools import reduce
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +31,7 @@ from staylens.functions.scalar import quoted, x_of
 from staylens.operators.features import (ColumnPipeline, ExactImputerModel, OneHotColumnsModel, assemble_features, gramian,
                                          gramian_matrix, normal_equations, scaler_pop, solve_ols)
 from staylens.operators.folds import FoldComplements, pipeline_cv  # noqa: F401
-from staylens.session import FIT_PARTITIONS, default_parallelism, materialize, scratch_path, ship_package, wide_projection_mode
+from staylens.session import FIT_PARTITIONS, default_parallelism, durable_root, materialize, scratch_path, ship_package, wide_projection_mode
 from staylens.sources.readers import path_exists
 
 
@@ -351,25 +354,107 @@ def mllib_grid(grid: Mapping) -> dict:
     return out
 
 
+class ScoreStore:
+    """Scores of model selection as rows in shared storage, one folder per score, named by its content.
+
+    A folder counts once its write is complete (``_SUCCESS``), so a search that lost its driver goes on
+    where it was, and searches over the same rows share their scores."""
+
+    SCHEMA = "name string, params map<string,string>, fold int, rmse double, n long, seconds double"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def done(self) -> set[str]:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            return set()
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return {n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS"))}
+
+    def put(self, name: str, params: Mapping, fold: int, rmse: float | None, n: int, seconds: float) -> None:
+        row = (name, {k: str(v) for k, v in params.items()}, fold, rmse, n, seconds)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+    def rows(self, names: Sequence[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.root}/{n}" for n in names])
+
+
+def grid_points(grid: Mapping) -> list[dict]:
+    """The points of an MLlib grid, the last parameter changing fastest."""
+    names = list(grid)
+    return [dict(zip(names, values)) for values in itertools.product(*grid.values())]
+
+
+def grid_scores(data: DataFrame, estimator, grid: Mapping, label: str, fold: str, store: ScoreStore, key: str,
+                parallelism: int = 4) -> tuple[list[dict], DataFrame]:
+    """(points, scores): RMSE on every fold of an estimator fitted on the others, for each point of ``grid``.
+
+    ``data`` (features, label, fold) is read by every fit: give a materialised frame.  ``key`` names
+    its content.  Scores that the store has are not computed again."""
+    points = grid_points(grid)
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect())
+
+    def name(point: Mapping, f: int) -> str:
+        blob = json.dumps([key, stage_description(estimator.copy({estimator.getParam(p): v for p, v in point.items()})), f])
+        return hashlib.sha256(blob.encode()).hexdigest()[:24]
+
+    tasks = {name(p, f): (p, f) for p in points for f in folds}
+    done = store.done()
+
+    def run(task) -> None:
+        title, (point, f) = task
+        start = time.monotonic()
+        model = estimator.fit(data.where(F.col(fold) != f), {estimator.getParam(p): v for p, v in point.items()})
+        e = F.col("prediction") - F.col(label)
+        got = model.transform(data.where(F.col(fold) == f)).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n")).first()
+        store.put(title, point, int(f), got["rmse"], got["n"], time.monotonic() - start)
+
+    # The longest fits first, lest one of them ends the search alone.
+    left = [t for t in tasks.items() if t[0] not in done]
+    left.sort(key=lambda t: [-v if isinstance(v, (int, float)) else 0 for v in t[1][0].values()])
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        list(pool.map(run, left))
+    return points, store.rows(list(tasks))
+
+
 def rf_grid_search(df: DataFrame, features: Sequence[str], label: str, key: str, grid: Mapping = RF_GRID,
-                   k: int = 5, seed: int = 42, parallelism: int = 4):
+                   k: int = 5, seed: int = 42, parallelism: int = 4, store: str | None = None):
     """Forest grid search by k-fold CV RMSE (stable hash folds), refit on all rows.
 
-    Returns (best model, frame of (params, rmse_mean, rmse_std) per grid point).
-    The grid points train in parallel (``parallelism``) over one cached input.
+    Returns (best model, frame of (params, rmse_mean, rmse_std) per grid point); the first of equal
+    points wins.  Every (point, fold) score is kept in ``store`` (a folder of the shared file
+    system; default: below the configured checkpoint folder), keyed by rows, parameters and fold: a search that
+    ended early, and any other search over the same rows, skips what is there.
     """
-    from staylens.operators.splits import cross_validator, kfold
     spark = df.sparkSession
-    data = kfold(assemble_features(df.where(F.col(label).isNotNull()), features, "features", invalid="keep"),
-                 key, k, seed + 1, "_cv_fold").select("features", label, "_cv_fold")
-    data = materialize(data)
+    data = kfold_rows(df, features, label, key, k, seed)
     est = rf_regressor(label, seed=seed)
-    cv = cross_validator(est, mllib_grid(grid), label, k=k, seed=seed, parallelism=parallelism, fold_col="_cv_fold")
-    cvm = cv.fit(data)
-    data.unpersist()
-    rows = []
-    stds = cvm.stdMetrics or [None] * len(cvm.avgMetrics)
-    for pm, avg, sd in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics, stds):
-        rows.append(({p.name: str(v) for p, v in pm.items()}, float(avg), None if sd is None else float(sd)))
-    scores = spark.createDataFrame(rows, "params map<string,string>, rmse_mean double, rmse_std double")
-    return cvm.bestModel, scores
+    try:
+        content = hashlib.sha256(json.dumps([list(features), data_fingerprint(
+            data.select(F.col(label), "_cv_fold", vector_to_array("features").alias("x")))], sort_keys=True).encode()).hexdigest()
+        scores = ScoreStore(spark, store or f"{durable_root(spark)}/grid-scores")
+        points, rows = grid_scores(data, est, mllib_grid(grid), label, "_cv_fold", scores, content, parallelism)
+        summary: dict = {}
+        for r in rows.select("params", "rmse").collect():  # one row per point and fold
+            summary.setdefault(tuple(sorted(r["params"].items())), []).append(r["rmse"])
+        table = []
+        for p in points:
+            found = summary[tuple(sorted((n, str(v)) for n, v in p.items()))]
+            table.append(({n: str(v) for n, v in p.items()}, float(np.mean(found)), float(np.std(found))))
+        best = min(range(len(points)), key=lambda i: table[i][1])
+        model = est.fit(data, {est.getParam(n): v for n, v in points[best].items()})
+    finally:
+        data.unpersist()
+    return model, spark.createDataFrame(table, "params map<string,string>, rmse_mean double, rmse_std double")
+
+
+def kfold_rows(df: DataFrame, features: Sequence[str], label: str, key: str, k: int, seed: int) -> DataFrame:
+    """(features, label, _cv_fold), materialised."""
+    from staylens.operators.splits import kfold
+    rows = assemble_features(df.where(F.col(label).isNotNull()), features, "features", invalid="keep")
+    return materialize(kfold(rows, key, k, seed + 1, "_cv_fold").select("features", label, "_cv_fold"))

@@ -56,6 +56,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def durable_root(spark: SparkSession) -> str:
+    """The configured checkpoint folder itself, which outlives an application; the application's own folder if none is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return root.rstrip("/") if root else checkpoint_root(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the checkpoint root for one written table."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

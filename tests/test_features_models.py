@@ -118,6 +118,45 @@ def test_rf_grid_search_small(spark):
     assert best.getNumTrees == 5
 
 
+def test_grid_search_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    df = _regression_frame(spark, 300)
+    grid = {"n_estimators": [3, 5], "max_depth": [2, None], "min_samples_leaf": [1], "max_features": ["sqrt"]}
+    args = (df, ["a", "b", "c"], "y")
+    put, kept = M.ScoreStore.put, []
+
+    def lost(self, name, *rest):
+        if len(kept) == 5:
+            raise RuntimeError("driver lost")
+        put(self, name, *rest)
+        kept.append(name)
+
+    monkeypatch.setattr(M.ScoreStore, "put", lost)
+    with pytest.raises(RuntimeError):
+        M.rf_grid_search(*args, key="id", grid=grid, k=3, parallelism=1, store=str(tmp_path / "s"))
+    first = list(kept)
+    kept.clear()
+    (tmp_path / "s" / "torn").mkdir()  # a folder without _SUCCESS is no score
+
+    def counted(self, name, *rest):
+        put(self, name, *rest)
+        kept.append(name)
+
+    monkeypatch.setattr(M.ScoreStore, "put", counted)
+    best, scores = M.rf_grid_search(*args, key="id", grid=grid, k=3, parallelism=2, store=str(tmp_path / "s"))
+    assert len(first) == 5 and len(kept) == 7 and not set(first) & set(kept)
+    kept.clear()
+    again, same = M.rf_grid_search(*args, key="id", grid=grid, k=3, store=str(tmp_path / "s"))
+    assert not kept and sorted(map(str, same.collect())) == sorted(map(str, scores.collect()))
+    whole, alone = M.rf_grid_search(*args, key="id", grid=grid, k=3, store=str(tmp_path / "t"))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, scores.collect()))
+    win = min(scores.collect(), key=lambda r: r.rmse_mean)
+    assert str(best.getNumTrees) == win.params["numTrees"] and str(again.getMaxDepth()) == win.params["maxDepth"]
+    other = df.withColumn("y", F.col("y") + 1)
+    kept.clear()
+    M.rf_grid_search(other, ["a", "b", "c"], "y", key="id", grid={**grid, "n_estimators": [3]}, k=2, store=str(tmp_path / "s"))
+    assert len(kept) == 4  # other rows, other scores
+
+
 def test_model_store_round_trip(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
