@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staylens.operators import clustering as CL
+from staylens.operators import silhouette as SIL
 from staylens.operators import metrics as MT
 from staylens.operators import splits as S
 from staylens.plans import frames
@@ -96,6 +97,28 @@ def silhouette(spark, sf):
     return CL.silhouette(_points(spark, sf), frames.CLUSTER_COLS, "lab")
 
 
+# Over distinct vectors, each with its number of rows.
+EUCLIDEAN_SQL = """
+sil_points AS (SELECT f1, f2, lab, count(*) AS w FROM (SELECT f1, f2, %s AS lab FROM cluster_points) GROUP BY ALL),
+sil_sizes AS (SELECT lab, sum(w) AS n FROM sil_points GROUP BY lab),
+sil_means AS (
+  SELECT a.f1, a.f2, a.lab, a.w, b.lab AS other, any_value(s.n) AS n,
+         sum(b.w * sqrt((a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2))) AS total
+  FROM sil_points a, sil_points b, sil_sizes s WHERE s.lab = b.lab GROUP BY a.f1, a.f2, a.lab, a.w, b.lab),
+sil_values AS (
+  SELECT w, max(CASE WHEN other = lab THEN n END) AS n, max(CASE WHEN other = lab THEN total / greatest(n - 1, 1) END) AS a,
+         min(CASE WHEN other <> lab THEN total / n END) AS b
+  FROM sil_means GROUP BY f1, f2, lab, w)
+""" % LABELLINGS[3][0]
+
+
+@register("silhouette_euclidean", """
+SELECT sum(w * CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) / sum(w) AS silhouette,
+       'euclidean' AS method FROM sil_values""", {"silhouette": 8}, EUCLIDEAN_SQL.strip())
+def silhouette_euclidean(spark, sf):
+    return SIL.silhouette_euclidean(_points(spark, sf), frames.CLUSTER_COLS, "lab")
+
+
 @register("davies_bouldin", "SELECT davies_bouldin FROM k3_db", {"davies_bouldin": 8}, IDX_CTES)
 def davies_bouldin(spark, sf):
     return CL.davies_bouldin(_points(spark, sf), frames.CLUSTER_COLS, "lab")
