@@ -33,6 +33,12 @@ SCALE = 256
 SEGMENTS = (1, 4, 16)
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 512
+#: Pairs bounded at a time, pairs multiplied out at a time, and bounds per wanted result that set a threshold.
+GROUP_CELLS = 1 << 20
+PAIRS = 1 << 16
+#: Share of pairs left beyond which a group is multiplied out as a whole.
+DENSE = 0.05
+FIRST = 4
 #: Products and sums below 2^53 are exact in doubles.
 EXACT = float(2**53)
 SCHEMA = "query_id long, vec_id long, score long"
@@ -48,47 +54,76 @@ def segment_statistics(x: np.ndarray, parts: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def exact_in_doubles(q: np.ndarray, v: np.ndarray) -> bool:
+    return np.abs(q).max(initial=0.0) * np.abs(v).max(initial=0.0) * q.shape[1] < EXACT
+
+
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of ``q`` with those of ``v``, pair by pair."""
-    if q.size and np.abs(q).max() * np.abs(v).max() * q.shape[1] >= EXACT:
+    if not exact_in_doubles(q, v):
         return np.einsum("ij,ij->i", q.astype(np.int64), v.astype(np.int64))
     return np.einsum("ij,ij->i", q, v).astype(np.int64)
 
 
+def upper_bounds(q: np.ndarray, v: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Upper bounds of the scores of all pairs from statistics ``q`` and ``v``; ``half`` is (|q|^2 + |v|^2) / 2 of the vectors.
+
+    |a - b|^2 of the statistics comes from one matrix product."""
+    return half - 0.5 * ((q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]) + q @ v.T
+
+
+def raised(floor: np.ndarray, bound: np.ndarray, q: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Thresholds: the k-th best exact score among each query's ``FIRST`` x k best bounds, if above ``floor``."""
+    n = min(bound.shape[1], FIRST * k)
+    if n < k:
+        return floor
+    first = np.argpartition(bound, bound.shape[1] - n, axis=1)[:, -n:] if n < bound.shape[1] else np.tile(np.arange(n), (len(q), 1))
+    rows = np.repeat(np.arange(len(q)), n)
+    score = exact_scores(q[rows], v[first.ravel()]).reshape(len(q), n).astype(float)
+    score[~np.isfinite(np.take_along_axis(bound, first, axis=1))] = -np.inf  # the query itself
+    return np.maximum(floor, np.partition(score, n - k, axis=1)[:, n - k])
+
+
 def search_cell(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.ndarray, k: int,
                 segments=SEGMENTS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The k best (query id, vector ids, scores) of one block of queries in one shard.
+    """The k best (query ids, vector ids, scores) of each of a block of queries in one shard.
 
-    Returns arrays over all pairs that may be among a query's k best of the shard, at least the k
-    best of each."""
+    Coarse to fine, each resolution bounds the pairs of the vectors that any query of the group still has, raises the
+    thresholds by exact scores of the best bounds, and drops the pairs below."""
     qn, vn = (q * q).sum(axis=1), (v * v).sum(axis=1)
     stats = [(segment_statistics(q, s), segment_statistics(v, s)) for s in segments]
     # Rounding slack of the bounds: far above the error of sums of this size.
-    slack = 1e-9 * (qn[:, None].max(initial=1.0) + vn.max(initial=1.0)) + 1e-6
+    slack = 1e-9 * (qn.max(initial=1.0) + vn.max(initial=1.0)) + 1e-6
     out = []
-    cq, cv = stats[0]
-    for i in range(len(qids)):
-        d = cv - cq[i]
-        bound = 0.5 * (qn[i] + vn - np.einsum("ij,ij->i", d, d)) + slack
-        own = vids == qids[i]
-        bound[own] = -np.inf
-        n = len(vids) - int(own.sum())
-        if n <= 0:
-            continue
-        alive = np.flatnonzero(~own)
-        if n > 4 * k:
-            first = np.argpartition(bound, len(bound) - 4 * k)[-4 * k:]
-            first = first[~own[first]]
-            got = exact_scores(np.broadcast_to(q[i], (len(first), q.shape[1])), v[first])
-            floor = np.partition(got, len(got) - k)[-k] if len(got) >= k else -np.inf
-            alive = np.flatnonzero(~own & (bound >= floor))
-            for fq, fv in stats[1:]:
-                d = fv[alive] - fq[i]
-                fine = 0.5 * (qn[i] + vn[alive] - np.einsum("ij,ij->i", d, d)) + slack
-                alive = alive[fine >= floor]
-        score = exact_scores(np.broadcast_to(q[i], (len(alive), q.shape[1])), v[alive])
-        order = np.lexsort((vids[alive], -score))[:k]
-        out.append((np.full(len(order), qids[i]), vids[alive][order], score[order]))
+    group = max(1, GROUP_CELLS // max(1, len(vids)))
+    for low in range(0, len(qids), group):
+        at = slice(low, low + group)
+        own = qids[at, None] == vids[None, :]
+        alive, floor = np.arange(len(vids)), np.full(len(qids[at]), -np.inf)
+        keep = ~own
+        for fq, fv in stats:
+            half = 0.5 * (qn[at, None] + vn[None, alive]) + slack
+            bound = np.where(keep, upper_bounds(fq[at], fv[alive], half), -np.inf)
+            floor = raised(floor, bound, q[at], v[alive], k)
+            keep = keep & (bound >= floor[:, None])
+            some = keep.any(axis=0)
+            alive, keep = alive[some], keep[:, some]
+        if keep.mean() > DENSE and exact_in_doubles(q[at], v[alive]):
+            # Most pairs are left: one matrix product scores them, and only the k best and their ties go on.
+            whole = np.where(keep, q[at] @ v[alive].T, -np.inf)
+            if len(alive) > k:
+                keep = keep & (whole >= np.partition(whole, len(alive) - k, axis=1)[:, len(alive) - k, None])
+        rows, columns = np.nonzero(keep)
+        found = alive[columns]
+        score = np.concatenate([exact_scores(q[at][rows[i:i + PAIRS]], v[found[i:i + PAIRS]]) for i in range(0, len(rows), PAIRS)]
+                               or [np.empty(0, np.int64)])
+        order = np.lexsort((vids[found], -score, rows))
+        rows, found, score = rows[order], vids[found][order], score[order]
+        starts = np.searchsorted(rows, np.arange(len(qids[at]) + 1))
+        for i, (a, b) in enumerate(zip(starts, starts[1:])):
+            b = min(b, a + k)
+            if b > a:
+                out.append((np.full(b - a, qids[low + i]), found[a:b], score[a:b]))
     return out
 
 
