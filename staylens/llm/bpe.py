@@ -37,23 +37,26 @@ from staylens.llm.tokenizing import PIECE, byte_of, load
 #: Ids whose strings are joined at a time for the digests.
 BLOCK_IDS = 65_536
 #: Pieces in each of the two generations of the memo, and the longest one kept, in characters.
-MEMO_PIECES = 300_000
-#: Pre-tokens in each of the two generations of theirs.
-MEMO_WORDS = 100_000
+MEMO_PIECES = 600_000
+#: Pre-tokens in each of the two generations of theirs.  (About 250 bytes an entry of either.)
+MEMO_WORDS = 400_000
 MEMO_CHARS = 48
 
-#: Texts that need no general pre-tokenizer: ASCII letters after at most one space, then at most one mark.
-PLAIN = re.compile("( ?)([A-Za-z]+)([.,;:!?]?)")
+#: Texts that need no general pre-tokenizer: letters of ASCII and Latin-1 after at most one space, then at most one mark.
+PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 
 DEAD = -1
 
 
 class _Words(Generations):
-    """pre-token -> its ids; the words of pieces that differ only in marks.  Long ones are not kept."""
+    """pre-token -> its ids as an array's bytes; the words of pieces that differ only in marks.  Long ones are not kept."""
 
     def __init__(self, codec: BytePairCodec):
         super().__init__(MEMO_WORDS)
-        self.value_of = codec.encode_word
+        self.encode = codec.encode_word
+
+    def value_of(self, word: str) -> bytes:
+        return array("I", self.encode(word)).tobytes()
 
     def kept(self, word: str) -> bool:
         return len(word) <= MEMO_CHARS
@@ -78,11 +81,16 @@ class BytePairCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.symbol = {c: vocab[c] for c in byte_of()}
-        self.space = {b: c for c, b in byte_of().items()}[0x20]
+        #: Space and Latin-1 letters as the characters that stand for their bytes.
+        shown = {b: c for c, b in byte_of().items()}
+        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in (0x20, *range(0xC0, 0x100))}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        #: (left id, right id) -> rank; rank -> (left id, right id, merged id).
+        #: (left id, right id) -> rank; rank -> merged id; the ranks of pairs of single bytes (-1: none) in one array.
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
-        self.merge = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.merged = array("I", [vocab[a + b] for a, b in pairs])
+        if max(self.symbol.values()) > 0xFF:
+            raise ValueError("the ids of single bytes are expected to come first")
+        self.first = array("i", [self.rank.get((a, b), -1) for a in range(256) for b in range(256)])
         byte, tokens = byte_of(), vocab | self.special
         #: Vocabulary strings by id, as bytes.
         self.strings = [b""] * (1 + max(tokens.values()))
@@ -97,47 +105,49 @@ class BytePairCodec:
         n = len(ids)
         if n == 1:
             return ids
-        rank, merge = self.rank.get, self.merge
+        rank, merged_of, first = self.rank.get, self.merged, self.first
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(r, i) for i, r in enumerate(map(rank, pairwise(ids))) if r is not None]
+        # An entry is the rank, the left place and the two symbols: least rank first, leftmost among equals.
+        queue = [(r, i, a, b) for i, (a, b) in enumerate(pairwise(ids)) if (r := first[a << 8 | b]) >= 0]
         heapify(queue)
         while queue:
-            r, i = heappop(queue)
-            left, right, merged = merge[r]
+            r, i, left, right = heappop(queue)
             j = after[i]
             if ids[i] != left or j == n or ids[j] != right:
                 continue  # stale: one of the two symbols has been merged since
-            k = after[j]
+            k, merged = after[j], merged_of[r]
             ids[i], ids[j], after[i] = merged, DEAD, k
             if k < n:
                 before[k] = i
-                s = rank((merged, ids[k]))
+                b = ids[k]
+                s = rank((merged, b))
                 if s is not None:
-                    heappush(queue, (s, i))
+                    heappush(queue, (s, i, merged, b))
             h = before[i]
             if h >= 0:
-                s = rank((ids[h], merged))
+                a = ids[h]
+                s = rank((a, merged))
                 if s is not None:
-                    heappush(queue, (s, h))
+                    heappush(queue, (s, h, a, merged))
         return [x for x in ids if x != DEAD]
 
-    def encode_plain(self, text: str) -> list[int]:
+    def encode_plain(self, text: str) -> bytes:
         m = PLAIN.fullmatch(text)
         if m:  # a word and a mark are one pre-token each; a space counts as the word's first letter
-            space, word, mark = m.groups()
-            ids = self.words[self.space + word if space else word]
+            word, mark = m.groups()
+            ids = self.words[word.translate(self.shown)]
             return ids + self.words[mark] if mark else ids
-        return [i for word, _ in self.split(text) for i in self.words[word]]
+        return b"".join([self.words[word] for word, _ in self.split(text)])
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as the bytes of an array of unsigned integers."""
         if self.special_at is None:
             return self.encode_plain(text)
         out, low = [], 0
         for m in self.special_at.finditer(text):
-            out += self.encode_plain(text[low:m.start()])
-            out.append(self.special[m.group()])
+            out += self.encode_plain(text[low:m.start()]), array("I", [self.special[m.group()]]).tobytes()
             low = m.end()
-        return out + self.encode_plain(text[low:])
+        return b"".join(out) + self.encode_plain(text[low:]) if out else self.encode_plain(text)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
@@ -151,7 +161,7 @@ class _Pieces(Generations):
         self.codec = BytePairCodec(path)
 
     def value_of(self, piece: str) -> bytes:
-        return array("I", self.codec.encode(piece)).tobytes()
+        return self.codec.encode(piece)
 
     def kept(self, piece: str) -> bool:
         return len(piece) <= MEMO_CHARS

@@ -69,7 +69,7 @@ def test_stale_entries_leave_the_merge_order_alone():
             if not ranks:
                 break
             r, i = min(ranks)
-            symbols[i:i + 2] = [codec.merge[r][2]]
+            symbols[i:i + 2] = [codec.merged[r]]
         assert codec.encode_word(word) == symbols
 
 
