@@ -27,7 +27,7 @@ BOUNDARY = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 #: The memo holds pieces of at most so many characters, in two generations of at most so many pieces
 #: (about 150 bytes each).
 MEMO_CHARS = 48
-MEMO_PIECES = 400_000
+MEMO_PIECES = 700_000
 
 # Pre-tokenizer kinds for which the cut above is proven.
 _SPLITS = {"Split", "ByteLevel"}
