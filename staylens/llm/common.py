@@ -28,6 +28,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem in taken:
+            stem += "_"
+        taken.add(stem)
+        out.append(stem)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):

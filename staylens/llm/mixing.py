@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import stored
+from staylens.llm.common import stored, unused
 
 SEED = 20
 #: Without given weights, a source's target share is its share to this power, normalised.
@@ -73,14 +73,16 @@ def poisson_cdf(rate):
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, size: float = 1.0, seed: int = SEED,
                 id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns of ``docs``, with ``mix_copy`` (from 1) and ``mix_key``; rows are in the order of ``mix_key``."""
+    docs = docs.drop("mix_copy", "mix_key")
+    source, cdf, draw, n = unused(docs, "_mix_source", "_mix_cdf", "_mix_u", "_mix_n")
     rates = stored(source_rates(docs, weights, size, source_col, text_col)
-                   .select(F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf")), "mix-rates")
+                   .select(F.col("source").alias(source), poisson_cdf(F.col("rate")).alias(cdf)), "mix-rates")
     u = uniform(F.lit(seed), F.col(id_col))
-    drawn = (docs.drop("mix_copy", "mix_key").join(rates, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-             .withColumn("_mix_u", u)
-             .withColumn("_mix_n", F.size(F.filter("_mix_cdf", lambda c: c < F.col("_mix_u"))))
-             .drop("_mix_source", "_mix_cdf", "_mix_u").where(F.col("_mix_n") > 0))
-    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_n")
+    drawn = (docs.join(rates, F.col(source_col).eqNullSafe(F.col(source)))
+             .withColumn(draw, u)
+             .withColumn(n, F.size(F.filter(cdf, lambda c: c < F.col(draw))))
+             .drop(source, cdf, draw).where(F.col(n) > 0))
+    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
                             F.col("mix_copy").cast("string")))
     return copies.withColumn("mix_key", key).orderBy("mix_key", "mix_copy")

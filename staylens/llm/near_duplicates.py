@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.common import map_arrow, slices, stored
+from staylens.llm.common import map_arrow, slices, stored, unused
 from staylens.llm.components import components
 from staylens.llm.shingles import MULTIPLIER, digest, kmers, labelled, mix, with_digest, word_hashes
 
@@ -318,7 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class, with its columns: the row of the smallest id.  Texts without words all stay."""
     _, known = _classes(docs, id_col, text_col, options)
-    winners = known.where("digest = head").select(F.col("class_id").alias("_id"), F.col("digest").alias("_digest"))
+    mark_col, id_name, digest_name, n = unused(docs, "_mark", "_id", "_digest", "_n")
+    winners = known.where("digest = head").select(F.col("class_id").alias(id_name), F.col("digest").alias(digest_name))
     columns = docs.columns
     text_at = columns.index(text_col)
 
@@ -326,13 +327,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for b in slices(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(text_at).to_pylist()]
             digests = pa.array([digest(t) if t.split() else None for t in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, digests], [*columns, "_mark"])
+            yield pa.RecordBatch.from_arrays([*b.columns, digests], [*columns, mark_col])
 
-    marked = map_arrow(docs, mark, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _mark binary")
-    same = (F.col("_mark") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    marked = map_arrow(docs, mark, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", {mark_col} binary")
+    same = (F.col(mark_col) == F.col(digest_name)) & F.col(id_col).eqNullSafe(F.col(id_name))
     # Rows repeated with equal id and text: any one of them.
-    one = Window.partitionBy("_mark", id_col).orderBy("_mark")
-    first = (marked.where(F.col("_mark").isNotNull()).join(winners, same, "left_semi")
-             .withColumn("_n", F.row_number().over(one)).where("_n = 1"))
+    one = Window.partitionBy(mark_col, id_col).orderBy(mark_col)
+    first = (marked.where(F.col(mark_col).isNotNull()).join(winners, same, "left_semi")
+             .withColumn(n, F.row_number().over(one)).where(F.col(n) == 1))
     plain = [F.col(f"`{c}`") for c in columns]
-    return first.select(*plain).unionByName(marked.where(F.col("_mark").isNull()).select(*plain))
+    return first.select(*plain).unionByName(marked.where(F.col(mark_col).isNull()).select(*plain))
