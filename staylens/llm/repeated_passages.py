@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import map_arrow, slices, stored
+from staylens.llm.common import map_arrow, slices, stored, unused
 from staylens.llm.shingles import digest, range_hashes, with_digest, word_hashes
 
 MIN_WORDS = 50
@@ -271,8 +271,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the duplicate passages; documents that are left without words go.
 
     ``size_col``, if there is such a column, is the new text's number of code points."""
-    spans = (document_spans(docs, id_col, text_col).where("duplicate").groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
-             .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_spans")))
+    own_id, own_digest, mark_col, cuts_col = unused(docs, "_id", "_digest", "_mark", "_spans")
+    spans = (document_spans(docs, id_col, text_col).where("duplicate")
+             .groupBy(F.col("id").alias(own_id), F.col("digest").alias(own_digest))
+             .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias(cuts_col)))
     spans = stored(spans, "cuts")
     columns = docs.columns
     text_at = columns.index(text_col)
@@ -284,7 +286,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def mark(batches):
         for b in slices(batches):
             digests = pa.array([digest(t) if t.split() else None for t in raw_texts(b)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, digests], [*columns, "_mark"])
+            yield pa.RecordBatch.from_arrays([*b.columns, digests], [*columns, mark_col])
 
     def cut(batches):
         for b in slices(batches):
@@ -298,9 +300,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             arrays = [pa.array(texts, pa.string()) if i == text_at else b.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(kept, pa.bool_()))
 
-    marked = map_arrow(docs.drop("_id", "_digest", "_mark", "_spans"), mark, schema + ", _mark binary")
-    joined = (marked.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_digest")), "left")
-              .select(*[F.col(f"`{c}`") for c in columns], "_spans"))
+    marked = map_arrow(docs, mark, f"{schema}, {mark_col} binary")
+    joined = (marked.join(spans, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(mark_col) == F.col(own_digest)), "left")
+              .select(*[F.col(f"`{c}`") for c in columns], cuts_col))
     out = map_arrow(joined, cut, schema)
     if size_col not in columns:
         return out

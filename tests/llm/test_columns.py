@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from staylens.llm.mixing import mix_sources
 from staylens.llm.near_duplicates import drop_near_duplicates
+from staylens.llm.repeated_passages import remove_repeated
 
-NAMES = ["_mix_source", "_mix_cdf", "_mix_u", "_MIX_N", "_mark", "_id", "_Digest", "_n"]
+NAMES = ["_mix_source", "_mix_cdf", "_mix_u", "_MIX_N", "_mark", "_id", "_Digest", "_n", "_spans"]
 
 
 def clashing(spark):
@@ -32,3 +33,10 @@ def test_near_duplicates_keep_columns(spark):
     got = drop_near_duplicates(df)
     assert got.columns == df.columns
     assert checked(df, got) == drop_near_duplicates(odd_docs(spark)).count()
+
+
+def test_repeated_passages_keep_columns(spark):
+    df = clashing(spark)
+    got = remove_repeated(df)
+    assert got.columns == df.columns
+    assert checked(df, got) == remove_repeated(odd_docs(spark)).count()
