@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables stored in each of the open ``scratch`` blocks, the innermost last.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored in this block are deleted at its end.
+
+    What is needed afterwards is stored with ``keep``: written in full, it depends on none of the
+    others, so executors lost later can still make it again from files.  Kept tables belong to the
+    enclosing block, if any.
+    """
+    paths: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), paths))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        conf = spark._jsc.hadoopConfiguration()
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
 
-    Cuts the lineage of a table that several jobs read; the files survive lost executors.
+    Cuts the lineage of a table that several jobs read; the files survive lost executors.  Inside a
+    ``scratch`` block they are deleted at its end, unless ``keep``.
     """
     path = scratch_path(df.sparkSession, name)
+    blocks = _SCRATCH.get()[:-1] if keep else _SCRATCH.get()
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.common import map_arrow, slices, stored, unused
+from staylens.llm.common import map_arrow, scratch, slices, stored, unused
 from staylens.llm.components import components
 from staylens.llm.shingles import MULTIPLIER, digest, kmers, labelled, mix, with_digest, word_hashes
 
@@ -48,6 +48,8 @@ SAMPLE = 4
 #: Rows of a mixed bucket that meet in one group, and bits of a text's run parities.
 BLOCK = 512
 MARK_BITS = 1024
+#: Pairs of rows that a task looks at in one go, but for a single group with more.
+PAIRS_AT_ONCE = 1 << 18
 #: Nearest candidates of a row in the first round over mixed buckets; in later rounds so many times more.
 NEAREST, NEAREST_GROWTH = 4, 16
 
@@ -229,6 +231,19 @@ def open_pairs(mixed: DataFrame, marks: DataFrame, threshold: float, limit: int)
             a, b, cut = possible_pairs(np.cumsum(new), np.where(i == j, -1, own), node, component, n, marks, threshold, limit)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
 
+        def in_parts(cols):
+            # Candidates of a crowd are about as many as its pairs, so groups are taken a bounded number of pairs at a time.
+            key, i, j = cols[:3]
+            ends = np.append(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(key))
+            low, pairs = 0, 0
+            for start, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                size = (end - start) * (end - start - 1) // 2
+                if start > low and pairs + size > PAIRS_AT_ONCE:
+                    yield found([x[low:start] for x in cols])
+                    low, pairs = start, 0
+                pairs += size
+            yield found([x[low:] for x in cols])
+
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -241,9 +256,9 @@ def open_pairs(mixed: DataFrame, marks: DataFrame, threshold: float, limit: int)
             done = new[-1] + 1 if len(new) else 0  # the last group may go on in the next batch
             held = [x[done:] for x in cols]
             if done:
-                yield found([x[:done] for x in cols])
+                yield from in_parts([x[:done] for x in cols])
         if held is not None:
-            yield found(held)
+            yield from in_parts(held)
 
     dealt = rows.repartition("group").sortWithinPartitions("group", "key", "i", "j")
     return map_arrow(dealt, run, "a long, b long, cut boolean")
@@ -308,6 +323,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tupl
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, class_id, class_rows, links) of every row: the smallest id of its class of equal and near-equal
     texts, the rows of that class, and the number of different texts its own is verified against."""
+    with scratch(docs.sparkSession):
+        return stored(_members(docs, id_col, text_col, options), "members", keep=True)
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
     rows, known = _classes(docs, id_col, text_col, options)
     found = rows.where(F.col("digest").isNotNull()).join(known.drop("head"), "digest").select("id", "class_id", "class_rows", "links")
     alone = rows.where(F.col("digest").isNull()).select(
@@ -317,9 +337,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class, with its columns: the row of the smallest id.  Texts without words all stay."""
-    _, known = _classes(docs, id_col, text_col, options)
     mark_col, id_name, digest_name, n = unused(docs, "_mark", "_id", "_digest", "_n")
-    winners = known.where("digest = head").select(F.col("class_id").alias(id_name), F.col("digest").alias(digest_name))
+    with scratch(docs.sparkSession):
+        _, known = _classes(docs, id_col, text_col, options)
+        winners = stored(known.where("digest = head").select(F.col("class_id").alias(id_name), F.col("digest").alias(digest_name)),
+                         "winners", keep=True)
     columns = docs.columns
     text_at = columns.index(text_col)
 

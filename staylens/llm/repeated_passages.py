@@ -10,8 +10,10 @@ shared if another document has the same key, left and right words, and a duplica
 every window of a longer match has such a position of its own, so the union of these windows is the whole
 repeated passage and no context longer than 65 words is ever carried.
 
-Equal texts are collapsed first, and so are suffixes with equal context.  The windows of a key with at most
-``GROUP_ROWS`` contexts are compared in one task, those of the others by a grouping of windows by hash that is
+Equal texts are collapsed first, and so are suffixes with equal context.  The suffixes of keys with at most
+``GROUP_ROWS`` contexts are sorted (key, then the words after it).  Neighbours of one key are compared and their match
+is extended right and left; that settles keys of two contexts.  Where a key has more, a suffix's best partners need not
+be its neighbours: all windows around the key are compared.  Those of keys with still more contexts are grouped by hash,
 aggregated before the shuffle, so a passage that many documents share is not gathered anywhere.
 
 The earliest document (smallest id, then smallest hash of the text) keeps a passage; its later
@@ -30,10 +32,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.common import map_arrow, slices, stored, unused
+from staylens.llm.common import map_arrow, scratch, slices, stored, unused
 from staylens.llm.shingles import digest, range_hashes, with_digest, word_hashes
 
 MIN_WORDS = 50
@@ -107,11 +109,41 @@ def context_windows(lefts: bytes, rights: bytes):
         yield k, lefts[:w * k], rights[:w * (SIDE - k)]
 
 
+def common_words(a: bytes, b: bytes) -> int:
+    """Words that two contexts share, from the key outwards."""
+    n, k = min(len(a), len(b)), 0
+    while k < n and a[k:k + WORD_BYTES] == b[k:k + WORD_BYTES]:
+        k += WORD_BYTES
+    return k // WORD_BYTES
+
+
+def compare_neighbours(lo: list[int], hi: list[int], lefts: list[bytes], rights: list[bytes]):
+    """What ``compare_windows`` gives for the two suffixes of a key: the match is extended from the key to both sides."""
+    left, right = common_words(*lefts), common_words(*rights)
+    match = (left, right) if left + right >= SIDE else (-1, -1)
+    result = []
+    for i in (0, 1):
+        whole = (len(lefts[i]) // WORD_BYTES, len(rights[i]) // WORD_BYTES)
+        # A context of several documents matches in all of it, if it holds a window at all.
+        if lo[i] < hi[i] and sum(whole) >= SIDE:
+            some = whole
+        else:
+            some = match if min(lo) < max(hi) else (-1, -1)
+        result.append([*(match if lo[1 - i] < lo[i] else (-1, -1)), *some])
+    return result
+
+
 def compare_group(lo: list[int], hi: list[int], lefts: list[bytes], rights: list[bytes]):
-    """(words left, words right, same of any document) of the counted matches of each context of one key.
+    """(words left, words right, same of any document) of the counted matches of each suffix of one key, in sorted order.
 
     ``lo`` and ``hi`` are the first and last document of a context.  The first two are of matches with
-    documents before ``lo``; -1: none."""
+    documents before ``lo``; -1: none.  Two neighbours are settled by extending their match; among more, a suffix's
+    longest match on one side and its earliest partner need not stand beside it, so all windows are compared."""
+    return (compare_neighbours if len(lo) == 2 else compare_windows)(lo, hi, lefts, rights)
+
+
+def compare_windows(lo: list[int], hi: list[int], lefts: list[bytes], rights: list[bytes]):
+    """``compare_group`` by the windows of ``MIN_WORDS`` words around the key, exact for any number of contexts."""
     windows = [list(context_windows(a, b)) for a, b in zip(lefts, rights)]
     first: dict[tuple, int] = {}
     last: dict[tuple, int] = {}
@@ -128,7 +160,7 @@ def compare_group(lo: list[int], hi: list[int], lefts: list[bytes], rights: list
 
 
 def _compared(contents: DataFrame) -> DataFrame:
-    """(content, early_left, early_right, any_left, any_right) of the rows (key, content, lo, hi, lefts, rights), sorted by key."""
+    """(content, early_left, early_right, any_left, any_right) of the rows (key, content, lo, hi, lefts, rights), suffixes in sorted order."""
     def run(batches):
         rows = (r for b in slices(batches, 4096) for r in zip(*[c.to_pylist() for c in b.columns]))
         out: list[list] = []
@@ -165,26 +197,39 @@ NAMES = ["content", "early_left", "early_right", "any_left", "any_right"]
 TYPES = [pa.int64()] + [pa.int32()] * 4
 
 
-def merged(spans):
-    """Union of the intervals in an array of structs (low, high), as an array in order."""
-    def step(done, s):
-        last = F.element_at(done, -1)
-        longer = F.slice(done, 1, F.size(done) - 1)
-        return F.when((F.size(done) > 0) & (s["low"] <= F.get(done, F.size(done) - 1)["high"]),
-                      F.concat(longer, F.array(F.struct(last["low"].alias("low"), F.greatest(last["high"], s["high"]).alias("high"))))
-                      ).otherwise(F.concat(done, F.array(F.struct(s["low"].alias("low"), s["high"].alias("high")))))
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<low:int,high:int>>"), step)
+def merged(spans: DataFrame) -> DataFrame:
+    """Union of the intervals (low, high) of equal other columns, in one pass over them in order."""
+    of = [c for c in spans.columns if c not in ("low", "high")]
+    before = Window.partitionBy(*of).orderBy("low", "high")
+    reached = F.max("high").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reached >= F.col("low"), 0).otherwise(1)
+    numbered = (spans.withColumn("begins", begins)
+                .withColumn("part", F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, 0))))
+    return numbered.groupBy(*of, "part").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("part")
 
 
 def passage_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """rows (id, digest, n_words, first, copies) and spans (digest, duplicate, low, high) of their distinct texts."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            placed, nodes, found = _placed_contexts(docs, id_col, text_col)
+        return stored(placed, "placed", keep=True), stored(_spans(nodes, found), "spans", keep=True)
+
+
+def _placed_contexts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (id, digest, n_words, first, copies), nodes (node, digest, n_words) and the shared suffixes' contexts."""
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = stored(_anchor_rows(plain, kind).where(F.col("n_words") >= MIN_WORDS), "anchors")
     # One node per distinct text, numbered in the order of the documents.
     heads = (rows.groupBy("digest").agg(F.min(F.struct(F.col("id"))).alias("first"), F.count_distinct("id").alias("ids"),
-                                        F.count(F.lit(1)).alias("n")))
-    nodes = stored(heads.orderBy("first", "digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
+                                        F.min("n_words").alias("n_words")))
+    nodes = stored(heads.orderBy("first", "digest").withColumn("node", F.monotonically_increasing_id()), "nodes", keep=True)
+    placed = (rows.select("id", "digest", "n_words").distinct().join(nodes.select("digest", "first", "ids"), "digest")
+              .select("id", "digest", "n_words", F.col("id").eqNullSafe(F.col("first.id")).alias("first"),
+                      (F.col("ids") > 1).alias("copies")))
+    placed = stored(placed, "rows", keep=True)
     marks = rows.groupBy("digest").agg(F.min(F.struct("keys", "at")).alias("m")).select("digest", "m.*")
     # Read twice, by the same exchange: cheaper on disk than a written table of its own.
     suffixes = (marks.join(nodes.select("digest", "node"), "digest")
@@ -195,14 +240,18 @@ def passage_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = suffixes.join(shared, "key").groupBy("node").agg(F.collect_list("at").alias("wanted"))
     distinct = with_digest(plain).groupBy("digest").agg(F.min("text").alias("text"))
     texts = (distinct.join(wanted.join(nodes.select("node", "digest"), "node"), "digest").select("node", "text", "wanted"))
-    found = stored(_contexts(texts).withColumn("content", F.xxhash64("key", "lefts", "rights")), "contexts")
+    found = _contexts(texts).withColumn("content", F.xxhash64("key", "lefts", "rights"))
+    return placed, nodes.select("node", "digest", "n_words"), stored(found, "contexts", keep=True)
 
+
+def _spans(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(digest, duplicate, low, high) of the matches around the contexts ``found``."""
     contents = found.groupBy("key", "content").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
                                                    F.min(F.struct("lefts", "rights")).alias("c"))
     contents = stored(contents.select("key", "content", "lo", "hi", "c.*"), "contents")
     hot = contents.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select("key", F.lit(True).alias("hot"))
     placed = contents.join(hot, "key", "left")
-    few = placed.where("hot is null").drop("hot").repartition("key").sortWithinPartitions("key")
+    few = placed.where("hot is null").drop("hot").repartition("key").sortWithinPartitions("key", "rights", "lefts")
     many = placed.where("hot").drop("hot")
     compared = stored(_compared(few).unionByName(_compared_windows(many)), "compared")
 
@@ -219,18 +268,12 @@ def passage_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = F.when(F.col("is_shared"), F.struct(left_all.alias("l"), right_all.alias("r"))).when(
         F.col("any_left") >= 0, F.struct(F.col("any_left").alias("l"), F.col("any_right").alias("r")))
 
-    sizes = nodes.join(rows.groupBy("digest").agg(F.min("n_words").alias("n_words")), "digest").select("node", "digest", "n_words")
     both = judged.select("node", "at", F.explode(F.array(F.struct(F.lit(True).alias("duplicate"), early.alias("e")),
                                                          F.struct(F.lit(False).alias("duplicate"), some.alias("e")))).alias("x"))
-    spans = (both.where("x.e is not null").join(sizes, "node").select(
+    spans = (both.where("x.e is not null").join(nodes, "node").select(
         "digest", "x.duplicate", F.greatest(F.lit(0), F.col("at") - F.col("x.e.l")).alias("low"),
         F.least(F.col("n_words"), F.col("at") + KEY_WORDS + F.col("x.e.r")).alias("high")))
-    spans = (spans.groupBy("digest", "duplicate").agg(merged(F.collect_set(F.struct("low", "high"))).alias("s"))
-             .select("digest", "duplicate", F.explode("s").alias("s")).select("digest", "duplicate", "s.*"))
-    placed = (rows.select("id", "digest", "n_words").distinct().join(nodes.select("digest", "first", "ids"), "digest")
-              .select("id", "digest", "n_words", F.col("id").eqNullSafe(F.col("first.id")).alias("first"),
-                      (F.col("ids") > 1).alias("copies")))
-    return stored(placed, "placed"), stored(spans, "spans")
+    return merged(spans)
 
 
 def document_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,17 +287,16 @@ def document_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = (parts.where("first and duplicate").select("id", "digest", "low", "high")
              .unionByName(rows.where("copies and not first").select("id", "digest", F.lit(0).alias("low"), F.col("n_words").alias("high")))
              .withColumn("duplicate", F.lit(True)))
-    return (every.unionByName(later).groupBy("id", "digest", "duplicate")
-            .agg(merged(F.collect_set(F.struct("low", "high"))).alias("s"))
-            .select("id", "digest", "duplicate", F.explode("s").alias("s"))
-            .select("id", "digest", "s.low", "s.high", "duplicate"))
+    return merged(every.unionByName(later)).select("id", "digest", "low", "high", "duplicate")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, n_words, duplicate) of every repeated passage; see ``document_spans``."""
-    return document_spans(docs, id_col, text_col).select(
-        F.col("id").alias(id_col), F.col("low").alias("start_word"), F.col("high").alias("end_word"),
-        (F.col("high") - F.col("low")).alias("n_words"), "duplicate")
+    with scratch(docs.sparkSession):
+        found = document_spans(docs, id_col, text_col).select(
+            F.col("id").alias(id_col), F.col("low").alias("start_word"), F.col("high").alias("end_word"),
+            (F.col("high") - F.col("low")).alias("n_words"), "duplicate")
+        return stored(found, "passages", keep=True)
 
 
 def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -272,10 +314,11 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``size_col``, if there is such a column, is the new text's number of code points."""
     own_id, own_digest, mark_col, cuts_col = unused(docs, "_id", "_digest", "_mark", "_spans")
-    spans = (document_spans(docs, id_col, text_col).where("duplicate")
-             .groupBy(F.col("id").alias(own_id), F.col("digest").alias(own_digest))
-             .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias(cuts_col)))
-    spans = stored(spans, "cuts")
+    with scratch(docs.sparkSession):
+        spans = (document_spans(docs, id_col, text_col).where("duplicate")
+                 .groupBy(F.col("id").alias(own_id), F.col("digest").alias(own_digest))
+                 .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias(cuts_col)))
+        spans = stored(spans, "cuts", keep=True)
     columns = docs.columns
     text_at = columns.index(text_col)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -1,5 +1,6 @@
 """Near-duplicates and repeated passages against brute force, and their awkward cases."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from frames import no_docs, odd_docs, sentence_text, tuples, words
 
 from staylens.llm.components import components
 from staylens.llm.near_duplicates import (aligned_similarity, drop_near_duplicates, near_duplicates, order_minhash, runs)
-from staylens.llm.repeated_passages import cut_words, remove_repeated, repeated_passages
+from staylens.llm.repeated_passages import compare_neighbours, compare_windows, cut_words, remove_repeated, repeated_passages
 
 
 def corpus(seed, n=60):
@@ -236,6 +237,30 @@ def test_both_ways_to_compare_contexts_agree_with_brute_force(spark, monkeypatch
     test_repeated_passages_are_those_of_brute_force(spark, 1)
 
 
+def test_neighbours_extend_to_what_all_windows_give():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        sides = [[b"".join(rnd.choice([b"aaaaaa", b"bbbbbb"]) if rnd.random() < 0.1 else b"cccccc" for _ in range(rnd.choice([0, 4, 15, 15])))
+                  for _ in range(2)] for _ in range(2)]
+        spans = [sorted(rnd.choices(range(4), k=2)) for _ in range(2)]
+        if sides[0][0] == sides[0][1] and sides[1][0] == sides[1][1]:
+            continue  # equal contexts are one row
+        row = [[a for a, _ in spans], [b for _, b in spans], *sides]
+        assert compare_neighbours(*row) == [list(x) for x in compare_windows(*row)]
+
+
+def test_only_kept_tables_stay(spark, monkeypatch):
+    import staylens.llm.common as C
+    made = []
+    monkeypatch.setattr(C, "scratch_path", lambda s, name, old=C.scratch_path: made.append(old(s, name)) or made[-1])
+    df = spark.createDataFrame(corpus(2, 20), "doc_id long, text string").repartition(3)
+    for make in (near_duplicates, drop_near_duplicates, repeated_passages, remove_repeated):
+        made.clear()
+        out = make(df)
+        left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+        assert len(made) > 4 and len(left) == 1 and out.count() > 0
+
+
 def test_repeated_passages_of_awkward_rows(spark):
     docs = odd_docs(spark)
     spans = Counter(tuples(repeated_passages(docs), "doc_id", "start_word", "end_word", "duplicate"))
