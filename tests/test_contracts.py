@@ -1,5 +1,7 @@
 """Missing values, awkward names, many levels and clusters, raw CSV, model keys, segment rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -14,7 +16,7 @@ from staylens.operators import explore as X
 from staylens.operators import features as FT
 from staylens.operators import models as M
 from staylens.session import wide_projection_mode
-from staylens.sources.readers import load_or_infer_features, save_feature_catalog, scan_raw_csv
+from staylens.sources.readers import csv_records, load_or_infer_features, save_feature_catalog, scan_raw_csv
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("bedrooms", T.LongType()),
                        T.StructField("name", T.StringType()), T.StructField("rating", T.DoubleType())])
@@ -41,6 +43,44 @@ def test_csv_junk_fails_or_is_null(spark, tmp_path, value):
     assert scan_raw_csv(spark, p, SCHEMA, strict=False).first().bedrooms is None
 
 
+def awkward_csv(rnd, n, end):
+    def field():
+        text = "".join(rnd.choice(["a", "bc ", ",", '"', "\n", "\r\n", "\u00e9", " "]) for _ in range(rnd.randrange(40)))
+        return text.replace(",", "").replace('"', "").replace("\n", "").replace("\r", "") if rnd.random() < 0.5 else '"' + text.replace('"', '""') + '"'
+    return end.join(["id,name,rating", *[f"{i},{field()},{rnd.randrange(50) / 10}" for i in range(n)]]) + rnd.choice(["", end, end * 2])
+
+
+@pytest.mark.parametrize("seed,size,end", [(1, "64", "\n"), (2, "300", "\n"), (3, "1000", "\r\n"), (4, "64m", "\n")])
+def test_csv_by_ranges_reads_what_one_task_reads(spark, tmp_path, seed, size, end):
+    """Byte ranges far smaller than records, records over many ranges, several files of a folder."""
+    rnd = random.Random(seed)
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_bytes(awkward_csv(rnd, 40, end).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        key = lambda r: [(x is not None, x) for x in r]
+        got, want = [sorted(map(tuple, scan_raw_csv(spark, str(tmp_path), SCHEMA, ranges=by).collect()), key=key) for by in (True, False)]
+        tasks = csv_records(spark, str(tmp_path)).select("file").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    if end == "\r\n":  # the reader of whole files turns line ends in quotes of such files into \n, ranges keep them
+        got = sorted((tuple(x.replace(end, "\n") if isinstance(x, str) else x for x in r) for r in got), key=key)
+    assert tasks == 2 and len(got) == 80 and got == want
+
+
+def test_csv_by_ranges_refuses_stray_quotes_and_other_headers(spark, tmp_path):
+    p = write(tmp_path / "a.csv", 'id,name\n1,5" pipe\n2,7" pipe\n')
+    with pytest.raises(Exception, match="quote inside"):
+        scan_raw_csv(spark, p, SCHEMA).collect()
+    assert scan_raw_csv(spark, p, SCHEMA, ranges=False).count() == 2
+    (tmp_path / "two").mkdir()
+    write(tmp_path / "two" / "a.csv", "id,name\n1,x\n")
+    write(tmp_path / "two" / "b.csv", "id,rating\n1,2\n")
+    with pytest.raises(Exception, match="headers differ"):
+        scan_raw_csv(spark, str(tmp_path / "two"), SCHEMA).collect()
+
+
 def test_feature_list_is_loaded_or_inferred(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.0, "x", 3.0)], "a int, b double, c string, price double")
     path = str(tmp_path / "features")
