@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -76,14 +77,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(i, rows)
 
 
+def release_memory() -> None:
+    """Give unused memory of Arrow and of the C library (where it can) back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped to the executors; a worker gives back its unused
-    Arrow memory at the end of a task, as it lives on for the next one."""
+    memory at the end of a task, as it lives on for the next one."""
     ship_package(df.sparkSession)
 
     def run(batches):
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -91,11 +100,18 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 _MEMOS: dict = {}
 
 
+def drop_memos() -> None:
+    """For operators without a memo: those of earlier ones leave the worker."""
+    if _MEMOS:
+        _MEMOS.clear()
+        release_memory()
+
+
 def worker_memo(name, make):
     """The worker's memo of that name.  A worker holds one memo at a time: those that earlier
     operators left in it are dropped."""
     if name not in _MEMOS:
-        _MEMOS.clear()
+        drop_memos()
         _MEMOS[name] = make()
     return _MEMOS[name]
 

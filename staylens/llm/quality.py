@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.common import map_arrow, slices, stored
+from staylens.llm.common import drop_memos, map_arrow, slices, stored
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -126,6 +126,7 @@ def added(keys: np.ndarray, counts: np.ndarray, more: list) -> tuple[np.ndarray,
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all texts of ``docs`` (lang, text), summed by task and then by Spark."""
     def run(batches):
+        drop_memos()
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1)
             for lang, rows in by_language(langs).items():
@@ -203,6 +204,7 @@ def _lookup(df: DataFrame, schema: str, model: DataFrame, shard: int) -> DataFra
     sent = spark.sparkContext.broadcast(arrays)
 
     def run(batches):
+        drop_memos()
         for b in slices(batches, 512):
             langs, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
             cost = np.array(b.column(3).to_pylist(), np.float64)

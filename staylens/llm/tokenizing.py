@@ -15,6 +15,7 @@ import os
 import re
 import sys
 from array import array
+from functools import cached_property
 
 from staylens.llm.common import Generations, worker_memo
 
@@ -27,7 +28,7 @@ BOUNDARY = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 #: The memo holds pieces of at most so many characters, in two generations of at most so many pieces
 #: (about 150 bytes each).
 MEMO_CHARS = 48
-MEMO_PIECES = 700_000
+MEMO_PIECES = 550_000
 
 # Pre-tokenizer kinds for which the cut above is proven.
 _SPLITS = {"Split", "ByteLevel"}
@@ -58,7 +59,7 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-def encoder(path: str, library):
+def encoder(path: str):
     """text -> ids, as the library gives them without added special tokens.
 
     A byte-level vocabulary whose ids follow its merges gives the same ids by ranks, which a
@@ -73,6 +74,7 @@ def encoder(path: str, library):
               and all(model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] == 256 + i
                       for i, m in enumerate(model["merges"])))
     if not ranked:
+        library = load(path)
         return lambda text: library.encode(text, add_special_tokens=False).ids
     import tiktoken
 
@@ -95,9 +97,11 @@ class Memo(Generations):
 
     def __init__(self, path: str, make):
         super().__init__(MEMO_PIECES)
-        self.library = load(path)
-        self.encode = encoder(path, self.library)
-        self.make = make
+        self.path, self.encode, self.make = path, encoder(path), make
+
+    @cached_property
+    def library(self):
+        return load(self.path)
 
     def value_of(self, piece: str):
         if len(piece) > 1 and piece[-1] in ".," and piece[-2] in LATIN:
