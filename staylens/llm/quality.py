@@ -10,8 +10,13 @@ occurrence is left out of the counts that give its probability, lest every text
 Scoring looks grams up in sorted arrays of keys.  The model is cut into shards of at most
 ``SHARD_GRAMS`` grams, so what is broadcast at a time has a fixed bound; one pass over the texts
 adds the log-probabilities of one shard.  A document's score is its log-perplexity, the mean of
--ln p over its characters.  Each language accepts a band around the quartiles of its documents that
+-ln p over its characters.  Each language accepts a band around the median of its documents that
 pass the word rules; documents above (unlike the language) or below (machine-like repetition) go.
+The band's width comes from the median absolute deviation, and documents with equal figures (copies)
+count once, so neither an unlike source with a third of a language's rows nor a crowd of copies
+moves the centre out of the usual writing or widens the band beyond it.  As the model is counted over
+the corpus itself, it also knows writing that many documents share: the bands reject what is unlike
+the rest of its language, not a large source of another kind (code, tables) as such.
 
 Defined results: null texts hold no word; a text without words fails the word rules; null languages
 form a language of their own; a language whose documents all fail the word rules has no band and
@@ -34,8 +39,8 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: The band reaches so many interquartile ranges beyond the quartiles, at least FLOOR nats.
-BAND_RANGES, BAND_FLOOR = 6.0, 0.4
+#: The band reaches so many median absolute deviations from the median, at least FLOOR nats.
+BAND_DEVIATIONS, BAND_FLOOR = 12.0, 0.4
 SHARD_GRAMS = 4_000_000
 #: Characters whose grams are held at a time.
 WINDOW_CHARS = 400_000
@@ -235,6 +240,18 @@ RULE_TYPE = pa.struct([(c, pa.int64()) for c in RULES])
 _RULES_SQL = "struct<" + ", ".join(f"{c}: bigint" for c in RULES) + ">"
 
 
+def perplexity_bands(judged: DataFrame) -> DataFrame:
+    """(of, low, high) of every language ``of`` of the rows (lang, the five counts, log_perplexity)."""
+    # Scores have three decimals, so a language has few different ones, whatever its number of rows.
+    scores = (judged.select("lang", *RULES, "log_perplexity").distinct()
+              .groupBy(F.col("lang").alias("of"), "log_perplexity").agg(F.count(F.lit(1)).alias("n")))
+    centres = scores.groupBy(F.col("of").alias("lang")).agg(F.percentile("log_perplexity", F.lit(0.5), F.col("n")).alias("centre"))
+    away = scores.join(centres, F.col("of").eqNullSafe(F.col("lang"))).drop("lang")
+    reach = F.greatest(F.lit(BAND_FLOOR), BAND_DEVIATIONS * F.percentile(F.abs(F.col("log_perplexity") - F.col("centre")), F.lit(0.5), F.col("n")))
+    return (away.groupBy("of").agg(F.first("centre").alias("centre"), reach.alias("reach"))
+            .select("of", (F.col("centre") - F.col("reach")).alias("low"), (F.col("centre") + F.col("reach")).alias("high")))
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rest: list[str] | None) -> DataFrame:
     """(id, row, text, the five counts, base_failed, log_perplexity, kept); ``row`` and ``text`` with ``rest`` only."""
     carried = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.col(id_col)
@@ -255,10 +272,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rest: li
     judged = stored(scored.select("id", "lang", *(["text"] if rest else []), "rules.*",
                                   F.round(F.col("cost") / F.col("grams"), 3).alias("log_perplexity"))
                     .withColumn("base_failed", failed), "quality-scores")
-    bands = (judged.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of"))
-             .agg(F.percentile("log_perplexity", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-             .withColumn("reach", F.greatest(F.lit(BAND_FLOOR), BAND_RANGES * (F.col("q")[1] - F.col("q")[0])))
-             .select("of", (F.col("q")[0] - F.col("reach")).alias("low"), (F.col("q")[1] + F.col("reach")).alias("high")))
+    bands = perplexity_bands(judged.where(~F.col("base_failed")))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return (judged.join(stored(bands, "quality-bands"), F.col("lang").eqNullSafe(F.col("of")), "left")
             .withColumn("kept", ~F.col("base_failed") & inside))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from frames import no_docs, odd_docs, odd_rows, sentence_text
 
@@ -13,7 +14,7 @@ from staylens.llm.common import stored
 from staylens.llm.licenses import SENTENCES, scan_licenses
 from staylens.llm.mixing import mix_sources, poisson_cdf, source_rates, uniform
 from staylens.llm.oracles import ORACLE_SQL, license_sql, mixing_sql, url_sql
-from staylens.llm.quality import count_grams, filter_quality, judge_quality, kneser_ney, word_rules
+from staylens.llm.quality import count_grams, filter_quality, judge_quality, kneser_ney, perplexity_bands, word_rules
 from staylens.llm.url_filter import filter_urls
 
 SF = "/root/testdata/sf0.001"
@@ -117,6 +118,36 @@ def test_perplexity_bands_reject_other_writing_and_keep_the_rest(spark):
     assert not got[1000] and not got[1001] and all(got[i] for i in range(300))
 
 
+def test_perplexity_bands_hold_when_a_third_of_a_language_is_unlike(spark):
+    rnd = random.Random(3)
+    rows = [(i, sentence_text(rnd, rnd.randint(60, 200)), "en") for i in range(200)]
+    signs = ["{", "}", "();", "=>", "x1", "0x%04X", "&&", "||", "!=", "ret_", "++i", "[k]", "#define"]
+    rows += [(1000 + i, " ".join(rnd.choice(signs).replace("%04X", f"{rnd.randrange(65536):04X}") for _ in range(rnd.randint(60, 200))), "en")
+             for i in range(90)]
+    rows += [(2000 + i, " ".join(["to be fair we said so again and then left"] + [f"w{j}" for j in range(60)]), "en") for i in range(300)]
+    # Text like nothing else in its language: letters out of order, and letters at random.
+    rows += [(3000 + i, " ".join("".join(rnd.sample(w, len(w))) for w in sentence_text(rnd, 120).split()), "en") for i in range(3)]
+    rows += [(4000, " ".join("".join(rnd.choice("wvyhgfbp") for _ in range(6)) for _ in range(80)), "en")]
+    got = {r.doc_id: r.kept for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[i] for i in (3000, 3001, 3002, 4000))
+
+
+def test_perplexity_bands_are_median_and_deviation_of_distinct_rows(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["en", None]), rnd.randrange(60, 64), 0, 0, 0, 0, round(rnd.gauss(1.5, 0.2), 2)) for _ in range(200)]
+    schema = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+    got = {r["of"]: (r.low, r.high) for r in perplexity_bands(spark.createDataFrame(rows, schema)).collect()}
+    for lang in ("en", None):
+        x = np.array([r[-1] for r in set(rows) if r[0] == lang])
+        reach = max(0.4, 12 * np.median(np.abs(x - np.median(x))))
+        assert got[lang] == pytest.approx((np.median(x) - reach, np.median(x) + reach))
+    # A third of the rows in a mode of their own, and copies of one row: the band stays about the others.
+    rows = [("en", 60 + i, 0, 0, 0, 0, 1.5 + i % 5 / 100) for i in range(200)] + [("en", 900 + i, 0, 0, 0, 0, 2.6 + i % 9 / 100) for i in range(100)]
+    rows += [("en", 50, 0, 0, 0, 0, 2.9)] * 500
+    low, high = perplexity_bands(spark.createDataFrame(rows, schema)).first()[1:]
+    assert 1 < low < 1.5 and 1.55 < high < 2.5
+
+
 URLS = [(1, "HTTP://Sub.Example.ORG/es/x?y"), (2, "http://example.org"), (3, None), (4, "no scheme"), (5, ""),
         (6, "http://aexample.org/es/"), (7, "http://x.com/fr/a#b"), (8, "http://com/de/"), (9, "a://b://c/d"),
         (10, "http://example.org/en/12"), (11, "http://example.org/en/2"), (12, "x://É.NET/Ü?"), (12, "x://É.NET/Ü?"),
