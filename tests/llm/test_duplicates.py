@@ -9,7 +9,8 @@ import pytest
 from frames import no_docs, odd_docs, sentence_text, tuples, words
 
 from staylens.llm.components import components
-from staylens.llm.near_duplicates import (aligned_similarity, drop_near_duplicates, near_duplicates, order_minhash, runs)
+from staylens.llm.near_duplicates import (aligned_similarity, drop_near_duplicates, longest_short, near_duplicates, order_minhash, runs,
+                                           short_keys)
 from staylens.llm.repeated_passages import compare_neighbours, compare_windows, cut_words, remove_repeated, repeated_passages
 
 
@@ -95,6 +96,33 @@ def test_sketches_follow_order():
     assert (order_minhash(x) != order_minhash(x[::-1])).mean() > 0.8
 
 
+def test_short_texts_share_a_key_whenever_they_are_near():
+    rnd = random.Random(12)
+    for threshold in (0.6, 0.8, 0.9):
+        limit = longest_short(threshold)
+        for _ in range(1500):
+            a = [rnd.choice("abcd") for _ in range(rnd.randint(5, limit + 6))]
+            b = a[:]
+            for _ in range(rnd.choice([1, 1, 2])):
+                b.insert(rnd.choice([0, len(b)]), rnd.choice("abcd")) if rnd.random() < 0.6 else b.pop(rnd.choice([0, -1]))
+            x, y = runs(" ".join(a).encode()), runs(" ".join(b).encode())
+            short = len(x) + len(y) < 2 * (1 + threshold) / (1 - threshold) - 1e-9
+            if len(x) and len(y) and short and not np.array_equal(x, y) and aligned_similarity(x, y, threshold) >= threshold:
+                assert max(len(x), len(y)) <= limit and np.intersect1d(short_keys(x, threshold), short_keys(y, threshold)).size
+    assert longest_short() == 9 and longest_short(1.0) == 0
+    assert not short_keys(np.arange(3, dtype=np.uint64)).size  # below five runs in all, nothing but equal texts
+
+
+def test_no_near_pair_of_short_texts_is_missed(spark):
+    rnd, rows = random.Random(13), []
+    for i in range(2000):
+        t = words(rnd, rnd.randint(8, 12))
+        longer = [f"one{i}", *t] if rnd.random() < 0.5 else [*t, f"one{i}"]
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(longer))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_id == r.doc_id // 2 * 2 and r.class_rows == 2 and r.links == 1 for r in got)
+
+
 def test_long_chains_and_large_groups_make_one_class(spark):
     rnd = random.Random(11)
     base, rows = words(rnd, 150), []
