@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.scalar import quoted, x_of
 from staylens.operators.features import assemble_features
+from staylens.operators.lloyd import KMeansFit, kmeans_fits
 from staylens.session import default_parallelism, materialize
 
 #: Up to so many centroid cells, distances are written out as arithmetic (whole-stage code);
@@ -317,24 +318,12 @@ def _silhouette_term(cols, label, labels, n, s, q) -> Column:
 
 
 def kmeans_restart(df: DataFrame, cols: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
-                   max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None) -> KMeansModel:
-    """n_init k-means fits with seeds seed..seed+n_init-1; the lowest inertia wins.
+                   max_iter: int = 300, tol: float = 1e-4) -> KMeansFit:
+    """n_init k-means fits with seeds seed..seed+n_init-1; the lowest inertia wins, ties to the smaller seed.
 
-    The fits run from a bounded thread pool over one persisted vector frame.
+    All fits advance together, one pass over the distinct points per iteration (see ``lloyd``).
     """
-    vec = materialize(assemble_features(_complete(df, cols), cols, "_km_features").select("_km_features"))
-
-    def fit(i):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_km_features")
-        m = km.fit(vec)
-        return m.summary.trainingCost, i, m
-
-    workers = parallelism or default_parallelism(df.sparkSession)
-    with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    vec.unpersist()
-    fits.sort(key=lambda t: (t[0], t[1]))
-    return fits[0][2]
+    return min(kmeans_fits(df, cols, [k], n_init, seed, max_iter, tol)[k], key=lambda f: f.cost)
 
 
 def kmeans_spark(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42) -> KMeansModel:
@@ -343,7 +332,7 @@ def kmeans_spark(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42)
     return KMeans(k=k, seed=seed, featuresCol="_km_features").fit(vec)
 
 
-def model_centroids(model: KMeansModel) -> list[list[float]]:
+def model_centroids(model: KMeansModel | KMeansFit) -> list[list[float]]:
     return [list(map(float, c)) for c in model.clusterCenters()]
 
 
@@ -355,41 +344,28 @@ def k_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11)
 
 def k_sweep_models(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11), n_init: int = 10,
                    seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                   parallelism: int | None = None) -> tuple[DataFrame, dict[int, KMeansModel]]:
-    """The frame of ``k_sweep`` and the fit of each k.
+                   parallelism: int | None = None) -> tuple[DataFrame, dict[int, KMeansFit]]:
+    """The frame of ``k_sweep`` and the best fit of each k.
 
-    All len(ks) x n_init fits share one bounded thread pool over one checkpointed,
-    cached vector frame, so small fits overlap instead of running k by k.
+    All len(ks) x n_init fits advance together (see ``lloyd``); the indices of the ks are computed
+    from a bounded thread pool over one checkpointed, cached frame.
     """
     spark = df.sparkSession
     data = materialize(_complete(df, cols).select(*[_x(c).alias(c) for c in cols]))
-    vec = materialize(assemble_features(data, cols, "_km_features").select("_km_features"))
-
-    def fit(task):
-        k, i = task
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_km_features").fit(vec)
-        return k, m.summary.trainingCost, i, m
-
+    best = {k: min(fits, key=lambda f: f.cost) for k, fits in kmeans_fits(data, cols, list(ks), n_init, seed, max_iter, tol).items()}
     workers = parallelism or default_parallelism(spark)
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        fits = list(pool.map(fit, [(k, i) for k in ks for i in range(n_init)]))
-        best = {}
-        for k, cost, i, m in fits:
-            if k not in best or (cost, i) < best[k][:2]:
-                best[k] = (cost, i, m)
-
         def indices(k):
-            labelled = assign_clusters(data, cols, model_centroids(best[k][2]), "_label")
+            labelled = assign_clusters(data, cols, model_centroids(best[k]), "_label")
             return k, cluster_indices(labelled, cols, "_label")
 
         results = dict(pool.map(indices, list(ks)))
     data.unpersist()
-    vec.unpersist()
     rows = [(int(k), results[k]["inertia"], results[k]["silhouette"], results[k]["davies_bouldin"],
              results[k]["calinski_harabasz"]) for k in ks]
     frame = spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, "
                                         "calinski_harabasz double")
-    return frame, {k: m for k, (_, _, m) in best.items()}
+    return frame, best
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
