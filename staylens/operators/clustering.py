@@ -14,7 +14,6 @@ reference used only by tests on small fixtures.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -24,8 +23,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.scalar import quoted, x_of
 from staylens.operators.features import assemble_features
-from staylens.operators.lloyd import KMeansFit, kmeans_fits
-from staylens.session import default_parallelism, materialize
+from staylens.operators.lloyd import KMeansFit, fit_indices, kmeans_fits, weighted_points
 
 #: Up to so many centroid cells, distances are written out as arithmetic (whole-stage code);
 #: beyond, the same formulas run over array literals, so that plans stay small for any k.
@@ -347,20 +345,18 @@ def k_sweep_models(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range
                    parallelism: int | None = None) -> tuple[DataFrame, dict[int, KMeansFit]]:
     """The frame of ``k_sweep`` and the best fit of each k.
 
-    All len(ks) x n_init fits advance together (see ``lloyd``); the indices of the ks are computed
-    from a bounded thread pool over one checkpointed, cached frame.
+    All len(ks) x n_init fits advance together (see ``lloyd``), and the indices of all ks come from two passes; both
+    read the distinct weighted points, to which the rows are collapsed once.  ``parallelism`` is without effect:
+    no pass is for one k alone.
     """
     spark = df.sparkSession
-    data = materialize(_complete(df, cols).select(*[_x(c).alias(c) for c in cols]))
-    best = {k: min(fits, key=lambda f: f.cost) for k, fits in kmeans_fits(data, cols, list(ks), n_init, seed, max_iter, tol).items()}
-    workers = parallelism or default_parallelism(spark)
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        def indices(k):
-            labelled = assign_clusters(data, cols, model_centroids(best[k]), "_label")
-            return k, cluster_indices(labelled, cols, "_label")
-
-        results = dict(pool.map(indices, list(ks)))
-    data.unpersist()
+    points = weighted_points(df, cols)
+    try:
+        fits = kmeans_fits(df, cols, list(ks), n_init, seed, max_iter, tol, points)
+        best = {k: min(found, key=lambda f: f.cost) for k, found in fits.items()}
+        results = dict(zip(ks, fit_indices(points, [best[k].centers for k in ks])))
+    finally:
+        points.unpersist()
     rows = [(int(k), results[k]["inertia"], results[k]["silhouette"], results[k]["davies_bouldin"],
              results[k]["calinski_harabasz"]) for k in ks]
     frame = spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, "

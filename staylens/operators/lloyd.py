@@ -137,22 +137,106 @@ def lloyd_pass(points: DataFrame, shift: np.ndarray, centers: Sequence[np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(range(len(stacked)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))],
                                          ["centroid", "cells"])
 
-    rows = points.mapInArrow(run, "centroid int, cells array<double>")
-    cells = (rows.select("centroid", F.posexplode("cells").alias("j", "v")).groupBy("centroid", "j").agg(F.sum("v").alias("v"))
+    table = summed(points, run, len(stacked), d + 2)
+    return [(table[a:b, 0], table[a:b, 2:], float(table[a:b, 1].sum())) for a, b in zip(starts, ends)]
+
+
+def summed(points: DataFrame, run, rows: int, width: int) -> np.ndarray:
+    """The (centroid, cells) rows that ``run`` gives per task, added up by Spark."""
+    parts = points.mapInArrow(run, "centroid int, cells array<double>")
+    cells = (parts.select("centroid", F.posexplode("cells").alias("j", "v")).groupBy("centroid", "j").agg(F.sum("v").alias("v"))
              .groupBy("centroid").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cells")))
-    table = np.zeros((len(stacked), d + 2))
+    table = np.zeros((rows, width))
     for r in cells.collect():
         table[r.centroid] = [c.v for c in r.cells]
-    return [(table[a:b, 0], table[a:b, 2:], float(table[a:b, 1].sum())) for a, b in zip(starts, ends)]
+    return table
+
+
+def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each point, ties to the first; distances are added up as ``assign_clusters`` does."""
+    apart = np.zeros((len(x), len(centers)))
+    for j in range(x.shape[1]):
+        apart += (x[:, j, None] - centers[None, :, j]) ** 2
+    return np.argmin(apart, axis=1)
+
+
+def fit_indices(points: DataFrame, centers: Sequence[np.ndarray]) -> list[dict]:
+    """Inertia, silhouette (squared Euclidean), Davies-Bouldin and Calinski-Harabasz of every fit's labelling, from two
+    passes over the weighted points for all fits: sums per cluster, then distances to the means and silhouette
+    terms (the formulas of ``clustering.cluster_indices``, points counted by weight)."""
+    d = centers[0].shape[1]
+    ends = np.cumsum([len(c) for c in centers])
+    starts, size = ends - [len(c) for c in centers], int(ends[-1])
+    means = points.agg(*[(F.sum(F.col("point")[i] * F.col("w")) / F.sum("w")).alias(f"m{i}") for i in range(d)]).first()
+    shift = np.array([means[f"m{i}"] for i in range(d)])
+
+    def rows_of(total):
+        return pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))],
+                                          ["centroid", "cells"])
+
+    def sums(batches):
+        total = np.zeros((size, d + 2))
+        for plain, x, w in blocks(batches, shift):
+            cells = [w, (x ** 2).sum(axis=1) * w, *(x * w[:, None]).T]
+            for low, high, c in zip(starts, ends, centers):
+                label = nearest(plain, c)
+                for j, v in enumerate(cells):
+                    total[low:high, j] += np.bincount(label, v, high - low)
+        yield rows_of(total)
+
+    table = summed(points, sums, size, d + 2)
+    n, q, s = table[:, 0], table[:, 1], table[:, 2:]
+    mean = s / np.maximum(n, 1)[:, None]
+
+    def spreads(batches):
+        total = np.zeros((size, 3))
+        for plain, x, w in blocks(batches, shift):
+            own, at = (x ** 2).sum(axis=1), np.arange(len(x))
+            for low, high, c in zip(starts, ends, centers):
+                label = nearest(plain, c)
+                apart = ((x - mean[low:high][label]) ** 2).sum(axis=1)
+                to = n[low:high] * own[:, None] - 2.0 * (x @ s[low:high].T) + q[low:high]
+                mine = n[low:high][label]
+                a = np.maximum(to[at, label] / np.maximum(mine - 1, 1), 0.0)
+                other = np.where(n[low:high] > 0, to / np.maximum(n[low:high], 1), np.inf)
+                other[at, label] = np.inf
+                b = np.maximum(other.min(axis=1), 0.0)
+                top = np.maximum(a, b)
+                sil = np.zeros(len(x))
+                np.divide(b - a, top, out=sil, where=(mine > 1) & (top > 0) & np.isfinite(b))
+                for j, v in enumerate([apart * w, np.sqrt(apart) * w, sil * w]):
+                    total[low:high, j] += np.bincount(label, v, high - low)
+        yield rows_of(total)
+
+    spread = summed(points, spreads, size, 3)
+    out = []
+    for low, high in zip(starts, ends):
+        used = np.arange(low, high)[n[low:high] > 0]  # a centroid without points is no cluster
+        k, rows, within = len(used), n[used].sum(), float(spread[used, 0].sum())
+        found = {"inertia": within, "silhouette": None, "davies_bouldin": None, "calinski_harabasz": None}
+        if k > 1:
+            cent, radius = mean[used], spread[used, 1] / n[used]
+            found["silhouette"] = float(spread[used, 2].sum() / rows)
+            worst = []
+            for a in range(k):
+                m = np.sqrt(((cent[a] - np.delete(cent, a, 0)) ** 2).sum(1))
+                worst.append(float(np.max(np.where(m == 0, np.inf, (radius[a] + np.delete(radius, a)) / np.where(m == 0, 1, m)))))
+            found["davies_bouldin"] = float(np.mean(worst))
+            between = float((n[used] * ((cent - s[used].sum(0) / rows) ** 2).sum(1)).sum())
+            found["calinski_harabasz"] = None if within == 0 else float((between / (k - 1)) / (within / (rows - k)))
+        out.append(found)
+    return out
 
 
 def kmeans_fits(df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int = 10, seed: int = 42,
-                max_iter: int = 300, tol: float = 1e-4) -> dict[int, list[KMeansFit]]:
+                max_iter: int = 300, tol: float = 1e-4, points: DataFrame | None = None) -> dict[int, list[KMeansFit]]:
     """The ``n_init`` fits of every k, with seeds seed..seed+n_init-1.
 
-    A fit has converged when no centroid moves by more than ``tol``; it then leaves the passes."""
+    A fit has converged when no centroid moves by more than ``tol``; it then leaves the passes.  ``points``: the
+    ``weighted_points`` of ``df``, if the caller has them (and releases them)."""
     ship_package(df.sparkSession)
-    points = weighted_points(df, cols)
+    given = points is not None
+    points = points if given else weighted_points(df, cols)
     try:
         means = points.agg(F.count(F.lit(1)).alias("n"), *[(F.sum(F.col("point")[i] * F.col("w")) / F.sum("w")).alias(f"m{i}")
                                                          for i in range(len(cols))]).first()
@@ -179,4 +263,5 @@ def kmeans_fits(df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: i
             out[f[0]].append(KMeansFit(centers[f] + shift, cost, passes[f]))
         return out
     finally:
-        points.unpersist()
+        if not given:
+            points.unpersist()

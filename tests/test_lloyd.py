@@ -76,3 +76,25 @@ def test_few_points_nulls_and_partitions(spark):
     x = blobs()
     a, b = (CL.kmeans_restart(frame(spark, x, n), ["x", "y"], 3, n_init=2).centers for n in (1, 6))
     assert a == pytest.approx(b, abs=1e-7)
+
+
+def test_sweep_reads_rows_once_and_gives_the_indices_of_the_rows(spark, monkeypatch):
+    x = blobs()
+    df = frame(spark, x)
+    monkeypatch.setattr(CL, "cluster_indices", lambda *a: pytest.fail("the sweep labels all rows for each k"))
+    table, best = CL.k_sweep_models(df, ["x", "y"], [1, 2, 3, 4], n_init=2)
+    monkeypatch.undo()
+    got = {r["k"]: r.asDict() for r in table.collect()}
+    for k in (1, 2, 3, 4):
+        want = CL.cluster_indices(CL.assign_clusters(df, ["x", "y"], CL.model_centroids(best[k]), "c"), ["x", "y"], "c")
+        assert {n: got[k][n] for n in want} == {n: v if v is None else pytest.approx(v, rel=1e-7) for n, v in want.items()}
+
+
+def test_indices_of_empty_and_single_clusters(spark):
+    df = spark.createDataFrame([(0.0, 0.0)] * 3 + [(0.0, 1.0), (5.0, 5.0)], "x double, y double")
+    for centers in ([[0.0, 0.5], [5.0, 5.0], [99.0, 99.0]], [[0.0, 0.0], [0.0, 1.0], [5.0, 5.0]], [[9.0, 9.0]]):
+        want = CL.cluster_indices(CL.assign_clusters(df, ["x", "y"], centers, "c"), ["x", "y"], "c")
+        points = L.weighted_points(df, ["x", "y"])
+        got = L.fit_indices(points, [np.array(centers)])[0]
+        points.unpersist()
+        assert got == {n: v if v is None else pytest.approx(v, abs=1e-9) for n, v in want.items()}
