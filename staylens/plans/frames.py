@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.operators.cleaning import ListingCleaner
+from staylens.operators.cleaning import DEFAULT_DROP_COLS, ListingCleaner, drop_columns
 from staylens.operators.splits import hash_split, kfold
-from staylens.session import materialize
+from staylens.session import delete_path, written
 from staylens.sources.fixtures import listings_raw
 
 SPLIT_SEED = 42
@@ -42,23 +42,26 @@ def _shared(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
     """A table that every query of this application over ``sf`` reads: made and written once."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _SHARED:
-        _SHARED[key] = materialize(make(), cache=False, narrow=False)
-    return _SHARED[key]
+        _SHARED[key] = written(make(), name)
+    return _SHARED[key][0]
 
 
 def release(spark: SparkSession) -> None:
-    """Forget the shared tables of this application; their checkpoint files go with them
-    (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    """Forget the shared tables of this application and delete their files."""
     for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
-        del _SHARED[key]
+        delete_path(spark, _SHARED.pop(key)[1])
+
+
+#: Columns that the cleaner drops unread.
+UNREAD = [c for c in DEFAULT_DROP_COLS if c not in ("id", "bathrooms_text")]
 
 
 def shared_raw(spark: SparkSession, sf: str) -> DataFrame:
-    return _shared(spark, sf, "raw", lambda: raw(spark, sf))
+    return _shared(spark, sf, "raw", lambda: drop_columns(raw(spark, sf), UNREAD))
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    """The cleaned listings, written once to the checkpoint folder: no query re-runs the fixture
+    """The cleaned listings, written once to the shared folder: no query re-runs the fixture
     joins, the price cap and the deduplication."""
     r = shared_raw(spark, sf)
     return _shared(spark, sf, "clean", lambda: ListingCleaner().fit(r).transform(r))

@@ -37,12 +37,18 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
 
-    # Per-order aggregates; partial aggregation runs before the shuffle on l_orderkey.
-    per_order = lineitem.groupBy("l_orderkey").agg(
+    # Per-order aggregates: lines are dealt by order once, then counted per supplier and per order where they lie.
+    # Lines without an order join none.
+    dealt = lineitem.where(F.col("l_orderkey").isNotNull()).repartition("l_orderkey")
+    per_order = dealt.groupBy("l_orderkey", "l_suppkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.max("l_linenumber").alias("max_line"),
         F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
-        F.count_distinct("l_suppkey").alias("n_supp"),
+    ).groupBy("l_orderkey").agg(
+        F.sum("n_lines").alias("n_lines"),
+        F.max("max_line").alias("max_line"),
+        F.sum("qty").alias("qty"),
+        F.count("l_suppkey").alias("n_supp"),
     )
     per_host = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_host"))
 
