@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from staylens.functions.scalar import quoted, x_of
 from staylens.operators.features import assemble_features
 from staylens.operators.lloyd import KMeansFit, fit_indices, kmeans_fits, weighted_points
+from staylens.session import by_size
 
 #: Up to so many centroid cells, distances are written out as arithmetic (whole-stage code);
 #: beyond, the same formulas run over array literals, so that plans stay small for any k.
@@ -326,7 +327,9 @@ def kmeans_restart(df: DataFrame, cols: Sequence[str], k: int, n_init: int = 10,
 
 def kmeans_spark(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42) -> KMeansModel:
     """MLlib k-means|| with defaults on the given (imputed, unscaled) columns."""
-    vec = assemble_features(_complete(df, cols), cols, "_km_features")
+    # MLlib keeps a block of vectors and norms per partition.
+    rows = by_size(_complete(df, cols).select(*[F.col(quoted(c)) for c in cols]), 120 + 8 * len(cols))
+    vec = assemble_features(rows, cols, "_km_features")
     return KMeans(k=k, seed=seed, featuresCol="_km_features").fit(vec)
 
 

@@ -31,7 +31,8 @@ from staylens.functions.scalar import quoted, x_of
 from staylens.operators.features import (ColumnPipeline, ExactImputerModel, OneHotColumnsModel, assemble_features, gramian,
                                          gramian_matrix, normal_equations, scaler_pop, solve_ols)
 from staylens.operators.folds import FoldComplements, pipeline_cv  # noqa: F401
-from staylens.session import FIT_PARTITIONS, default_parallelism, durable_root, materialize, scratch_path, ship_package, wide_projection_mode
+from staylens.session import (FIT_PARTITIONS, by_size, default_parallelism, durable_root, materialize, scratch_path, ship_package,
+                              size_parts, wide_projection_mode)
 from staylens.sources.readers import path_exists
 
 
@@ -104,14 +105,31 @@ def param_report(spark: SparkSession, model) -> DataFrame:
     return spark.createDataFrame([(params,)], "params map<string,string>")
 
 
+#: Trees down to this depth are walked again for every level instead of caching each row's node per tree.
+WALKED_DEPTH = 5
+
+
+def tree_row_bytes(features: int, trees: int, node_ids: bool = False) -> int:
+    """Bytes that MLlib keeps of a training row: a bin per feature, a count per tree, node ids if cached (old, new
+    and the block read), and the objects around them (features once more as doubles, while rows are read)."""
+    return 160 + 12 * features + 4 * trees * (4 if node_ids else 1)
+
+
+def tree_rows(df: DataFrame, features: Sequence[str], label: str, trees: int, node_ids: bool) -> DataFrame:
+    """(features, label) of the labelled rows, in partitions of bounded size: MLlib keeps one block for each."""
+    rows = df.where(F.col(label).isNotNull()).select(label, *[F.col(quoted(c)) for c in features])
+    return assemble_features(by_size(rows, tree_row_bytes(len(features), trees, node_ids)), features, "features", invalid="keep").select("features", label)
+
+
 def rf_regressor(label: str, features_col: str = "features", **kw) -> RandomForestRegressor:
     """Random forest; keyword params override MLlib defaults.
 
-    Node-id caching and a larger node-statistics budget let MLlib grow many nodes
-    per pass over the data (fewer jobs for deep trees); they do not change the model.
+    A larger node-statistics budget lets MLlib grow many nodes per pass over the data. Cached node ids
+    cost one number per row and tree, twice while a level is grown, and save walks down the trees so far: they
+    are kept for trees deeper than ``WALKED_DEPTH`` only.  Neither changes the model.
     """
     kw.setdefault("seed", 42)
-    kw.setdefault("cacheNodeIds", True)
+    kw.setdefault("cacheNodeIds", kw.get("maxDepth", 5) > WALKED_DEPTH)
     kw.setdefault("maxMemoryInMB", 1024)
     return RandomForestRegressor(featuresCol=features_col, labelCol=label, **kw)
 
@@ -119,21 +137,21 @@ def rf_regressor(label: str, features_col: str = "features", **kw) -> RandomFore
 def gbt_regressor(label: str, features_col: str = "features", **kw) -> GBTRegressor:
     """Gradient-boosted trees."""
     kw.setdefault("seed", 42)
-    kw.setdefault("cacheNodeIds", True)
+    kw.setdefault("cacheNodeIds", kw.get("maxDepth", 5) > WALKED_DEPTH)
     kw.setdefault("maxMemoryInMB", 1024)
     return GBTRegressor(featuresCol=features_col, labelCol=label, **kw)
 
 
 def fit_forest(df: DataFrame, features: Sequence[str], label: str, **kw):
-    data = assemble_features(df.where(F.col(label).isNotNull()), features, "features", invalid="keep")
+    est = rf_regressor(label, **kw)
     with wide_projection_mode(df.sparkSession):
-        return rf_regressor(label, **kw).fit(data)
+        return est.fit(tree_rows(df, features, label, est.getNumTrees(), est.getCacheNodeIds()))
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, **kw):
-    data = assemble_features(df.where(F.col(label).isNotNull()), features, "features", invalid="keep")
+    est = gbt_regressor(label, **kw)
     with wide_projection_mode(df.sparkSession):
-        return gbt_regressor(label, **kw).fit(data)
+        return est.fit(tree_rows(df, features, label, 1, est.getCacheNodeIds()))
 
 
 class LinearPipeline:
@@ -233,8 +251,8 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
     """E3/E4 with D5: per-segment linear (elastic net) and forest, cross-validated.
 
     The labelled table is written once, partitioned by segment, and every fit reads its own
-    segment's files.  Each segment gets a stable hash split (key) into train/test; the fits run
-    from a bounded thread pool.  Returns (rows, models): one row per segment and model type with
+    segment's files.  Each segment gets a stable hash split (key) into train/test; the fits of small segments
+    run from a bounded thread pool, those of large ones one by one, in partitions of bounded size.  Returns (rows, models): one row per segment and model type with
     metrics on the test rows, fitted parameters and coefficients or importances; a segment below
     ``min_cluster_size`` has status 'skipped', one whose fit fails 'failed' with the error.
     """
@@ -258,13 +276,18 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
     # One row per segment: the models that follow are as many.
     sizes = {r["_segment"]: r["n"] for r in table.groupBy("_segment").agg(F.count(F.lit(1)).alias("n")).collect()}
 
+    # Most trees of any fit: the partitions of a segment hold bounded blocks in all of them.
+    trees = max([50, *spec.rf_grid.get("numTrees", [])]) if "rf" in spec.model_types else 0
+    parts = {seg: size_parts(n, tree_row_bytes(len(feats), trees)) for seg, n in sizes.items()}
+
     def run(task):
         seg, mtype = task
         if sizes[seg] < spec.min_cluster_size:
             return _segment_row(seg, mtype, "skipped", f"{sizes[seg]} rows, fewer than {spec.min_cluster_size}"), None
         part = VectorAssembler(inputCols=plain, outputCol="features", handleInvalid="error").transform(
-            table.where(F.col("_segment") == F.lit(seg))).select("features", "_y", "split", "_fold").coalesce(
-                int(spark.conf.get(FIT_PARTITIONS, str(default_parallelism(spark))))).persist()
+            table.where(F.col("_segment") == F.lit(seg))).select("features", "_y", "split", "_fold")
+        want = int(spark.conf.get(FIT_PARTITIONS, str(default_parallelism(spark))))
+        part = (part.repartition(max(parts[seg], want)) if parts[seg] > 1 else part.coalesce(want)).persist()
         try:
             train, test = part.where("split = 'train'"), part.where("split = 'test'")
             if mtype == "linear":
@@ -277,7 +300,7 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
                 grid = spec.rf_grid
             if tune:
                 model = cross_validator(est, grid, "_y", spec.cv_folds, spec.seed,
-                                        fold_col="_fold", parallelism=3).fit(train.drop("split")).bestModel
+                                        fold_col="_fold", parallelism=3 if parts[seg] == 1 else 1).fit(train.drop("split")).bestModel
             else:
                 model = est.fit(train)
             m = regression_metrics(model.transform(test), "_y").first()
@@ -288,8 +311,11 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
             part.unpersist()
 
     tasks = [(s, m) for s in sorted(sizes, key=str) for m in spec.model_types]
+    # Fits of small segments run side by side.  One that fills many tasks runs alone, lest several push each other's
+    # rows out of memory.
     with ThreadPoolExecutor(max_workers=max(1, spec.parallelism)) as pool:
-        results = list(pool.map(run, tasks))
+        done = dict(zip(small := [t for t in tasks if parts[t[0]] == 1], pool.map(run, small)))
+    results = [done[t] if t in done else run(t) for t in tasks]
     models = {task: model for task, (_, model) in zip(tasks, results) if model is not None}
     return spark.createDataFrame([row for row, _ in results], SEGMENT_SCHEMA), models
 
@@ -433,7 +459,7 @@ def rf_grid_search(df: DataFrame, features: Sequence[str], label: str, key: str,
     """
     spark = df.sparkSession
     data = kfold_rows(df, features, label, key, k, seed)
-    est = rf_regressor(label, seed=seed)
+    est = rf_regressor(label, seed=seed, cacheNodeIds=True)  # the grid's trees are deep
     try:
         content = hashlib.sha256(json.dumps([list(features), data_fingerprint(
             data.select(F.col(label), "_cv_fold", vector_to_array("features").alias("x")))], sort_keys=True).encode()).hexdigest()
