@@ -105,31 +105,26 @@ def param_report(spark: SparkSession, model) -> DataFrame:
     return spark.createDataFrame([(params,)], "params map<string,string>")
 
 
-#: Trees down to this depth are walked again for every level instead of caching each row's node per tree.
-WALKED_DEPTH = 5
+def tree_row_bytes(features: int, trees: int) -> int:
+    """Bytes that MLlib keeps of a training row: a bin per feature, a count and a cached node per tree (old, new and
+    read), and the objects around them (features once more as doubles, while rows are read)."""
+    return 160 + 12 * features + 16 * trees
 
 
-def tree_row_bytes(features: int, trees: int, node_ids: bool = False) -> int:
-    """Bytes that MLlib keeps of a training row: a bin per feature, a count per tree, node ids if cached (old, new
-    and the block read), and the objects around them (features once more as doubles, while rows are read)."""
-    return 160 + 12 * features + 4 * trees * (4 if node_ids else 1)
-
-
-def tree_rows(df: DataFrame, features: Sequence[str], label: str, trees: int, node_ids: bool) -> DataFrame:
+def tree_rows(df: DataFrame, features: Sequence[str], label: str, trees: int) -> DataFrame:
     """(features, label) of the labelled rows, in partitions of bounded size: MLlib keeps one block for each."""
     rows = df.where(F.col(label).isNotNull()).select(label, *[F.col(quoted(c)) for c in features])
-    return assemble_features(by_size(rows, tree_row_bytes(len(features), trees, node_ids)), features, "features", invalid="keep").select("features", label)
+    return assemble_features(by_size(rows, tree_row_bytes(len(features), trees)), features, "features", invalid="keep").select("features", label)
 
 
 def rf_regressor(label: str, features_col: str = "features", **kw) -> RandomForestRegressor:
     """Random forest; keyword params override MLlib defaults.
 
-    A larger node-statistics budget lets MLlib grow many nodes per pass over the data. Cached node ids
-    cost one number per row and tree, twice while a level is grown, and save walks down the trees so far: they
-    are kept for trees deeper than ``WALKED_DEPTH`` only.  Neither changes the model.
+    Node-id caching and a larger node-statistics budget let MLlib grow many nodes
+    per pass over the data (fewer jobs for deep trees); they do not change the model.
     """
     kw.setdefault("seed", 42)
-    kw.setdefault("cacheNodeIds", kw.get("maxDepth", 5) > WALKED_DEPTH)
+    kw.setdefault("cacheNodeIds", True)
     kw.setdefault("maxMemoryInMB", 1024)
     return RandomForestRegressor(featuresCol=features_col, labelCol=label, **kw)
 
@@ -137,7 +132,7 @@ def rf_regressor(label: str, features_col: str = "features", **kw) -> RandomFore
 def gbt_regressor(label: str, features_col: str = "features", **kw) -> GBTRegressor:
     """Gradient-boosted trees."""
     kw.setdefault("seed", 42)
-    kw.setdefault("cacheNodeIds", kw.get("maxDepth", 5) > WALKED_DEPTH)
+    kw.setdefault("cacheNodeIds", True)
     kw.setdefault("maxMemoryInMB", 1024)
     return GBTRegressor(featuresCol=features_col, labelCol=label, **kw)
 
@@ -145,13 +140,12 @@ def gbt_regressor(label: str, features_col: str = "features", **kw) -> GBTRegres
 def fit_forest(df: DataFrame, features: Sequence[str], label: str, **kw):
     est = rf_regressor(label, **kw)
     with wide_projection_mode(df.sparkSession):
-        return est.fit(tree_rows(df, features, label, est.getNumTrees(), est.getCacheNodeIds()))
+        return est.fit(tree_rows(df, features, label, est.getNumTrees()))
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, **kw):
-    est = gbt_regressor(label, **kw)
     with wide_projection_mode(df.sparkSession):
-        return est.fit(tree_rows(df, features, label, 1, est.getCacheNodeIds()))
+        return gbt_regressor(label, **kw).fit(tree_rows(df, features, label, 1))
 
 
 class LinearPipeline:
@@ -459,7 +453,7 @@ def rf_grid_search(df: DataFrame, features: Sequence[str], label: str, key: str,
     """
     spark = df.sparkSession
     data = kfold_rows(df, features, label, key, k, seed)
-    est = rf_regressor(label, seed=seed, cacheNodeIds=True)  # the grid's trees are deep
+    est = rf_regressor(label, seed=seed)
     try:
         content = hashlib.sha256(json.dumps([list(features), data_fingerprint(
             data.select(F.col(label), "_cv_fold", vector_to_array("features").alias("x")))], sort_keys=True).encode()).hexdigest()
