@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from frames import no_docs, odd_docs, sentence_text, tuples, words
 
-from staylens.llm.components import components
+from staylens.llm import components as graphs
+from staylens.llm.common import stored
+from staylens.llm.components import components, least_nodes
 from staylens.llm.near_duplicates import (aligned_similarity, drop_near_duplicates, longest_short, near_duplicates, order_minhash, runs,
                                            short_keys)
 from staylens.llm.repeated_passages import compare_neighbours, compare_windows, cut_words, remove_repeated, repeated_passages
@@ -315,3 +317,41 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[202] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def random_graph(seed):
+    """Edges (some null, turned round, repeated or from a node to itself) and the smallest node of each one's component."""
+    rnd = random.Random(seed)
+    path = rnd.sample(range(-500, 500), 120)
+    edges = list(zip(path[:60], path[1:60])) + [(path[60], x) for x in path[61:90]] + [(path[90 + i], path[90 + rnd.randrange(30)]) for i in range(30)]
+    edges += edges[:5] + [(b, a) for a, b in edges[5:9]]
+    part = {x: x for e in edges for x in e}
+    for _ in part:
+        for a, b in edges:
+            part[a] = part[b] = min(part[a], part[b])
+    placed = {x for a, b in edges if a != b for x in (a, b)}
+    return edges + [(None, 1), (2, None), (999, 999)], {x: part[x] for x in placed}
+
+
+@pytest.mark.parametrize("bound", [1 << 18, 40, 0])
+def test_components_in_one_task_and_by_stars(spark, monkeypatch, bound):
+    monkeypatch.setattr(graphs, "TASK_EDGES", bound)
+    for seed in (1, 2):
+        edges, want = random_graph(seed)
+        rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+
+
+def test_small_graphs_take_no_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graphs, "stored", lambda df, name: (written.append(name), stored(df, name))[1])
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r.component for r in components(path).collect()} == {0}
+    assert len(written) == 1
+
+
+def test_least_nodes_of_a_long_path():
+    rnd = random.Random(3)
+    at = np.array(rnd.sample(range(10 ** 6), 5000))
+    nodes, least = least_nodes(at[:-1], at[1:])
+    assert len(nodes) == 5000 and (least == at.min()).all()
