@@ -10,6 +10,7 @@ import pytest
 from frames import no_docs, odd_docs, odd_rows, sentence_text
 
 import __spark_entry__ as E
+from staylens.llm import quality
 from staylens.llm.common import stored
 from staylens.llm.licenses import SENTENCES, scan_licenses
 from staylens.llm.mixing import mix_sources, poisson_cdf, source_rates, uniform
@@ -270,3 +271,16 @@ def test_mixing_of_awkward_rows(spark, duck):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [r[:5] for r in odd_rows()])
     same_rows(mix_sources(docs.select("doc_id", "text", "lang", "source", "n_chars")), con.sql(mixing_sql()))
     assert mix_sources(no_docs(spark)).count() == 0
+
+
+def test_the_model_is_made_by_small_plans(spark, monkeypatch):
+    """The driver holds a plan, and a thread for each of its open shuffles, for as long as it runs."""
+    shuffles = []
+
+    def counted(df, name, **keep):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return stored(df, name, **keep)
+
+    monkeypatch.setattr(quality, "stored", counted)
+    judge_quality(odd_docs(spark)).count()
+    assert max(shuffles) <= 12
