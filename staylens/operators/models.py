@@ -241,14 +241,15 @@ def _segment_row(seg, mtype, status, error=None, m=None, feats=(), model=None) -
     return (None if seg is None else str(seg), mtype, status, error, *scores, len(feats), params, weights)
 
 
-def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True):
+def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True, strict: bool = False):
     """E3/E4 with D5: per-segment linear (elastic net) and forest, cross-validated.
 
     The labelled table is written once, partitioned by segment, and every fit reads its own
     segment's files.  Each segment gets a stable hash split (key) into train/test; the fits of small segments
     run from a bounded thread pool, those of large ones one by one, in partitions of bounded size.  Returns (rows, models): one row per segment and model type with
     metrics on the test rows, fitted parameters and coefficients or importances; a segment below
-    ``min_cluster_size`` has status 'skipped', one whose fit fails 'failed' with the error.
+    ``min_cluster_size`` or without training rows has status 'skipped', one whose fit fails 'failed' with the
+    error.  ``strict``: the first fit that fails ends the call, for callers whose results don't show the status.
     """
     from staylens.operators.splits import cross_validator, hash_split, kfold
     from staylens.operators.metrics import regression_metrics
@@ -268,7 +269,8 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
     table = spark.read.schema(T.StructType([f for f in data.schema.fields if f.name != "_segment"]
                                            + [T.StructField("_segment", kind)])).parquet(path)
     # One row per segment: the models that follow are as many.
-    sizes = {r["_segment"]: r["n"] for r in table.groupBy("_segment").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = table.groupBy("_segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("train")).collect()
+    sizes, trained = ({r["_segment"]: r[c] for r in counts} for c in ("n", "train"))
 
     # Most trees of any fit: the partitions of a segment hold bounded blocks in all of them.
     trees = max([50, *spec.rf_grid.get("numTrees", [])]) if "rf" in spec.model_types else 0
@@ -278,6 +280,8 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
         seg, mtype = task
         if sizes[seg] < spec.min_cluster_size:
             return _segment_row(seg, mtype, "skipped", f"{sizes[seg]} rows, fewer than {spec.min_cluster_size}"), None
+        if not trained[seg]:
+            return _segment_row(seg, mtype, "skipped", f"none of {sizes[seg]} rows to train on"), None
         part = VectorAssembler(inputCols=plain, outputCol="features", handleInvalid="error").transform(
             table.where(F.col("_segment") == F.lit(seg))).select("features", "_y", "split", "_fold")
         want = int(spark.conf.get(FIT_PARTITIONS, str(default_parallelism(spark))))
@@ -300,6 +304,8 @@ def train_segments(df: DataFrame, spec: SegmentSpec, key: str, tune: bool = True
             m = regression_metrics(model.transform(test), "_y").first()
             return _segment_row(seg, mtype, "ok", None, m, feats, model), model
         except Exception as e:  # noqa: BLE001  one segment's failure is its row, not the end of the others
+            if strict:
+                raise RuntimeError(f"the {mtype} fit of segment {seg!r} failed") from e
             return _segment_row(seg, mtype, "failed", f"{type(e).__name__}: {str(e)[:500]}", feats=feats), None
         finally:
             part.unpersist()

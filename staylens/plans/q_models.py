@@ -175,14 +175,14 @@ def param_grid_cv(spark, sf):
     return metrics
 
 
-def _price_segments(spark, sf):
+def _price_segments(spark, sf, strict: bool = False):
     """Rows of per-cluster forests of log_price (see ``train_segments``)."""
     data, feats = _imputed_split(spark, sf)
     km = CL.kmeans_spark(data, feats, k=3, seed=42)
     labelled = CL.assign_clusters(data, feats, CL.model_centroids(km), "cluster_assignment")
     spec = M.SegmentSpec(cluster_col="cluster_assignment", target_col="log_price", numeric_cols=feats,
                          model_types=["rf"], min_cluster_size=1)
-    return M.train_segments(labelled, spec, key="id", tune=False)[0]
+    return M.train_segments(labelled, spec, key="id", tune=False, strict=strict)[0]
 
 
 @register("segment_price_rf")
@@ -202,9 +202,11 @@ def global_models(spark, sf, in_sample: bool = False):
 
 @register("evaluate_all")
 def evaluate_all(spark, sf):
-    """Global models and per-cluster forests side by side, on held-out rows."""
+    """Global models and per-cluster forests side by side, on held-out rows.
+
+    The comparison has no status and drops rows without metrics, so a fit that fails ends the query."""
     from staylens.operators import metrics as MT
-    segments = _price_segments(spark, sf).withColumnRenamed("model_type", "model")
+    segments = _price_segments(spark, sf, strict=True).withColumnRenamed("model_type", "model")
     return MT.model_comparison(MT.global_metrics(global_models(spark, sf), "log_price"), segments)
 
 
