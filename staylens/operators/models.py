@@ -1,7 +1,7 @@
 """Models and scoring (E1-E8, E13-E16, D4, D5) on pyspark.ml.
 
 Closed forms (OLS per segment) are grouped Gramian aggregates; trees, forests,
-boosting and k-means are MLlib estimators.  Per-segment fits run from a bounded
+boosting and k-means are MLlib estimators, forests over many rows are grown by ``forest``.  Per-segment fits run from a bounded
 thread pool over one persisted input, after small segments are dropped by a
 single grouped count.
 """
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions.scalar import quoted, x_of
+from staylens.operators import forest
 from staylens.operators.features import (ColumnPipeline, ExactImputerModel, OneHotColumnsModel, assemble_features, gramian,
                                          gramian_matrix, normal_equations, scaler_pop, solve_ols)
 from staylens.operators.folds import FoldComplements, pipeline_cv  # noqa: F401
@@ -111,10 +112,10 @@ def tree_row_bytes(features: int, trees: int) -> int:
     return 160 + 12 * features + 16 * trees
 
 
-def tree_rows(df: DataFrame, features: Sequence[str], label: str, trees: int) -> DataFrame:
-    """(features, label) of the labelled rows, in partitions of bounded size: MLlib keeps one block for each."""
+def tree_rows(df: DataFrame, features: Sequence[str], label: str, trees: int, n: int | None = None) -> DataFrame:
+    """(features, label) of the ``n`` labelled rows, in partitions of bounded size: MLlib keeps one block for each."""
     rows = df.where(F.col(label).isNotNull()).select(label, *[F.col(quoted(c)) for c in features])
-    return assemble_features(by_size(rows, tree_row_bytes(len(features), trees)), features, "features", invalid="keep").select("features", label)
+    return assemble_features(by_size(rows, tree_row_bytes(len(features), trees), n), features, "features", invalid="keep").select("features", label)
 
 
 def rf_regressor(label: str, features_col: str = "features", **kw) -> RandomForestRegressor:
@@ -138,9 +139,15 @@ def gbt_regressor(label: str, features_col: str = "features", **kw) -> GBTRegres
 
 
 def fit_forest(df: DataFrame, features: Sequence[str], label: str, **kw):
+    """MLlib's fit, or ``forest.grow`` over many rows."""
     est = rf_regressor(label, **kw)
     with wide_projection_mode(df.sparkSession):
-        return est.fit(tree_rows(df, features, label, est.getNumTrees()))
+        labelled = df.where(F.col(label).isNotNull())
+        n = labelled.count()
+        if n >= forest.MANY_ROWS and forest.grows(est):
+            return forest.grow(labelled.select(F.col(label).cast("double").alias("_y"), *[
+                F.col(quoted(c)).cast("double").alias(f"_x{i}") for i, c in enumerate(features)]), n, est)
+        return est.fit(tree_rows(df, features, label, est.getNumTrees(), n))
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, **kw):
@@ -466,7 +473,8 @@ def rf_grid_search(df: DataFrame, features: Sequence[str], label: str, key: str,
         scores = ScoreStore(spark, store or f"{durable_root(spark)}/grid-scores")
         points, rows = grid_scores(data, est, mllib_grid(grid), label, "_cv_fold", scores, content, parallelism)
         summary: dict = {}
-        for r in rows.select("params", "rmse").collect():  # one row per point and fold
+        # One row per point and fold; by fold, lest sums of equal scores differ in their last bits.
+        for r in sorted(rows.select("params", "fold", "rmse").collect(), key=lambda r: r["fold"]):
             summary.setdefault(tuple(sorted(r["params"].items())), []).append(r["rmse"])
         table = []
         for p in points:
