@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.session import default_parallelism, delete_path, scratch_path, ship_package, size_parts, written
+from staylens.session import default_parallelism, delete_path, held_setting, scratch_path, ship_package, size_parts, written
 
 #: Training rows from which on forests are grown here; MLlib keeps fewer rows in memory.
 MANY_ROWS = 1 << 18
@@ -32,6 +32,8 @@ MANY_ROWS = 1 << 18
 CHUNK_ROWS = 1 << 15
 #: Bytes of histograms that one task holds; trees beyond that wait for another pass.
 PASS_BYTES = 256 << 20
+#: Chunks in an Arrow batch, which would else hold all those of a task, once in the JVM and once in Python.
+BATCH_CHUNKS = 8
 #: Deeper trees are left to MLlib: their last levels have a node for every few rows.
 MAX_DEPTH = 12
 #: Bits of the random number behind a bootstrap weight.
@@ -267,7 +269,6 @@ def grow_level(chunks: DataFrame, trees: dict[int, Tree], level: int, bins: np.n
         room -= tree.bytes()
     for group in groups:
         sums = chunks.mapInArrow(histograms(group, level, features, seed), "tree int, part long, sums binary")
-        # Few trees to a task, as an Arrow batch has a number of rows, not of bytes.
         found = sums.repartition(min(len(group), 4 * default_parallelism(chunks.sparkSession)), "tree").sortWithinPartitions("tree", "part").mapInArrow(
             best_splits(group, bins, est.getMinInstancesPerNode()), "tree int, stats binary, feature binary, bin binary, gain binary")
         for r in found.collect():  # one row per tree, of its nodes at this level
@@ -292,8 +293,9 @@ def grow(rows: DataFrame, n: int, est: RandomForestRegressor) -> RandomForestReg
     chunks, path = written(dealt, "forest-rows", compression="uncompressed")
     try:
         trees = {t: Tree() for t in range(est.getNumTrees())}
-        for level in range(est.getMaxDepth() + 1):
-            grow_level(chunks, trees, level, bins, est, level == est.getMaxDepth())
+        with held_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_CHUNKS)):
+            for level in range(est.getMaxDepth() + 1):
+                grow_level(chunks, trees, level, bins, est, level == est.getMaxDepth())
     finally:
         delete_path(spark, path)
     return model_of(spark, est, trees, splits)

@@ -86,6 +86,14 @@ def test_every_split_is_the_best_of_its_node(spark, monkeypatch):
     assert got.prediction == pytest.approx(np.mean(says))
 
 
+def test_passes_take_a_few_chunks_at_a_time(spark, monkeypatch):
+    key, seen, level = "spark.sql.execution.arrow.maxRecordsPerBatch", [], forest.grow_level
+    before = spark.conf.get(key)
+    monkeypatch.setattr(forest, "grow_level", lambda *a: seen.append(spark.conf.get(key)) or level(*a))
+    grown(monkeypatch, table(spark, 200), numTrees=2, maxDepth=2)
+    assert seen == [str(forest.BATCH_CHUNKS)] * 3 and spark.conf.get(key) == before
+
+
 def test_other_forests_are_left_to_mllib(spark, monkeypatch):
     for kw in ({"numTrees": 1}, {"maxDepth": 20}, {"subsamplingRate": 0.5}, {"featureSubsetStrategy": "0.4"}):
         assert not forest.grows(M.rf_regressor("y", **kw))
